@@ -47,9 +47,9 @@ def apportion(parties: DataFrame, group: list[str], weight: str, seats: str, ide
     p = p.withColumn("_low", F.greatest(F.lit(0).cast("long"), near - reach)).withColumn("_high", near + reach)
     listed = p.withColumn("_j", F.explode(F.sequence("_low", "_high"))).withColumn("_open", F.col(seats) - F.sum(F.when(F.col("_j") == F.col("_low"), F.col("_low")).otherwise(0)).over(whole))
     order = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy(F.desc(F.col(weight) / (2 * F.col("_j") + 1)), ident, "_j")
-    won = listed.withColumn("_rank", F.row_number().over(order))
+    won = listed.withColumn("_place", F.row_number().over(order))
     key = [*group, ident]
-    got = won.groupBy(*key).agg((F.max("_low") + F.sum((F.col("_rank") <= F.col("_open")).cast("long"))).alias(out))
+    got = won.groupBy(*key).agg((F.max("_low") + F.sum((F.col("_place") <= F.col("_open")).cast("long"))).alias(out))
     renamed = [F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]
     match = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)]
     return parties.join(got.select(*renamed, out), match, "left").drop(*[f"_k{i}" for i in range(len(key))])
