@@ -86,8 +86,8 @@ df AS (SELECT g FROM f GROUP BY g HAVING count(*) > 1),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
   FROM f a JOIN df USING (g) JOIN f b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
 e AS (SELECT a, b FROM p WHERE 100 * c >= 75 * (na + nb - c)),
-both AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-r(x, y) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.x, both.b FROM r JOIN both ON r.y = both.a)
+sym AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(x, y) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.x, sym.b FROM r JOIN sym ON r.y = sym.a)
 SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, min(r.y)::BIGINT AS component_id, max(c.n)::BIGINT AS n_copies, (min(r.y) = s.doc_id) AS kept
 FROM s JOIN r ON r.x = s.doc_id
 JOIN (SELECT doc_id, CASE WHEN len(sh) = 0 THEN 1 ELSE count(*) OVER (PARTITION BY list_sort(sh)) END AS n FROM s) c ON c.doc_id = s.doc_id
