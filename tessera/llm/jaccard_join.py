@@ -17,7 +17,9 @@ Every candidate is verified by exact set intersection. Rows stay linear in the s
   at again, across components;
 * a group of more than ``HOT`` members that still spans components (a passage that many documents
   share) is dropped for documents with other signatures enough to be found by, as its share of
-  theirs is under ``HOT_SHARE``; members above that share are compared across components exactly.
+  theirs is under ``HOT_SHARE``; members above that share are compared across components. Before a pair of
+  different components is emitted, the one-permutation sketches of both are compared, and a pair whose
+  sketches agree in fewer bins than ``SIGMAS`` deviations under what a link gives is no candidate.
 
 Null, empty and blank texts have the empty set and link with nothing. Repeated rows of one doc_id
 count as one document with the first text in order. Extra columns are ignored.
@@ -40,6 +42,8 @@ MISS = 1e-10
 BAND_RATIO = 1.5
 HOT = 64
 HOT_SHARE = 0.1
+BINS = 128
+SIGMAS = 5.0
 #: Document ids that may be broadcast when texts of candidates are read again (16 MB of longs).
 BROADCAST_IDS = 2_000_000
 
@@ -111,15 +115,24 @@ def n_signatures(size: int) -> int:
     return sum(3 * n1 * reps for _, _, _, n1, reps in bands_of(size))
 
 
+def sketch(features: np.ndarray) -> bytes:
+    """One-permutation sketch of a sorted set: a byte of the least hash in each bin, 0 for an empty bin."""
+    out = np.zeros(BINS, np.uint8)
+    bins, first = np.unique((features >> np.uint64(57)).astype(np.int64), return_index=True)
+    out[bins] = (features[first] % np.uint64(255)).astype(np.uint8) + 1
+    return out.tobytes()
+
+
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, buf, off in chunks(batch.column("text")):
-            n, h1, h2 = [], [], []
+            n, h1, h2, sk = [], [], [], []
             for s in shingle_sets(buf, off):
                 n.append(len(s))
                 h1.append(int(mix(s).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
+                sk.append(sketch(s))
                 h2.append(int(mix(s * _C[1]).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], ["doc_id", "n_shingles", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sk, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "sketch"])
 
 
 def _emit_signatures(n_buckets: int):
@@ -227,18 +240,28 @@ def _links(pairs: DataFrame, reps: DataFrame, sizes: DataFrame, work: Workspace,
 
 
 def _across(table: pa.Table) -> pa.Table:
-    """Pairs of one group's members that lie in different components and whose sizes allow a link."""
-    doc, comp, size = (table.column(c).to_numpy() for c in ("doc", "component", "n_shingles"))
-    order = np.argsort(size, kind="stable")
-    doc, comp, size = doc[order], comp[order], size[order]
-    a, b = [], []
-    for i in range(len(doc)):
-        end = int(np.searchsorted(size, size[i] * 4 // 3, side="right"))
-        other = doc[i + 1 : end][comp[i + 1 : end] != comp[i]]
-        a.append(np.minimum(other, doc[i]))
-        b.append(np.maximum(other, doc[i]))
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    """Pairs of one group's members, in different components, whose sizes and sketches allow a link."""
+    gid, doc, comp, size = (table.column(c).to_numpy() for c in ("gid", "doc", "component", "n_shingles"))
+    order = np.lexsort((size, gid))
+    gid, doc, comp, size = gid[order], doc[order], comp[order], size[order]
+    sk = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)[order]
+    bound = np.append(np.flatnonzero(np.concatenate(([True], gid[1:] != gid[:-1]))), len(gid))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for x, y in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True):
+        for i in range(x, y - 1):
+            end = x + int(np.searchsorted(size[x:y], size[i] * 4 // 3, side="right"))
+            j = np.arange(i + 1, end)
+            j = j[comp[i + 1 : end] != comp[i]]
+            if not len(j):
+                continue
+            some = (sk[j] != 0) | (sk[i] != 0)
+            n = some.sum(1)
+            same = ((sk[j] == sk[i]) & some).sum(1)
+            other = doc[j[same >= 0.75 * n - SIGMAS * np.sqrt(0.1875 * n)]]
+            a.append(np.minimum(other, doc[i]))
+            b.append(np.maximum(other, doc[i]))
+    pairs = np.unique(np.stack((np.concatenate(a), np.concatenate(b))), axis=1)
+    return pa.table([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
@@ -250,8 +273,8 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     spark = prepare(docs.sparkSession)
     work = Workspace(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    sized = docs.mapInArrow(_sizes, "doc_id long, n_shingles long, h1 long, h2 long")
-    sized = work.write(sized.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "h1", "h2")).alias("s")).select("doc_id", "s.*"), "sizes")
+    sized = docs.mapInArrow(_sizes, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary")
+    sized = work.write(sized.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "h1", "h2", "sketch")).alias("s")).select("doc_id", "s.*"), "sizes")
     classes = work.write(sized.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "classes")
     copies = sized.where("n_shingles > 0").join(classes.where("n_copies > 1"), ["n_shingles", "h1", "h2"]).where("doc_id <> rep")
     # later copies leave before signatures are made; their number decides how
@@ -268,16 +291,17 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     wide = groups.where("n > 2").dropDuplicates(["gid", "members"]).select("gid", "n", F.explode("members").alias("doc"))
     wide = wide.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     mixed = wide.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gid")
-    wide = work.write(wide.join(mixed, "gid", "left_semi").join(sized.select(F.col("doc_id").alias("doc"), "n_shingles"), "doc"), "mixed")
-    count = F.udf(n_signatures, "long")
+    wide = work.write(wide.join(mixed, "gid", "left_semi").join(sized.select(F.col("doc_id").alias("doc"), "n_shingles", "sketch"), "doc"), "mixed")
+    count = F.pandas_udf(lambda x: x.map(n_signatures), "long")
     often = wide.where(F.col("n") > HOT).groupBy("doc", "n_shingles").agg(F.count("*").alias("hot")).where(F.col("hot") > HOT_SHARE * count("n_shingles")).select("doc")
     rest = wide.where(F.col("n") <= HOT).unionByName(wide.where(F.col("n") > HOT).join(often, "doc", "left_semi"))
-    more = rest.groupBy("gid").applyInArrow(_across, "a long, b long").distinct().join(links, ["a", "b"], "left_anti")
+    rest = rest.withColumn("bucket", F.pmod(F.xxhash64("gid"), F.lit(4 * n)).cast("int"))
+    more = rest.groupBy("bucket").applyInArrow(_across, "a long, b long").distinct().join(links, ["a", "b"], "left_anti")
     more = _links(more, reps, sized, work, "rest")
     comp = work.write(components(links.unionByName(more), work, "cc2"), "final")
     work.drop("groups", "comp", "mixed")
     # the smallest doc_id of a component: the smallest over its classes' representatives
     found = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    found = sized.join(found, ["n_shingles", "h1", "h2"], "left")
+    found = sized.drop("sketch").join(found, ["n_shingles", "h1", "h2"], "left")
     own = F.coalesce("component", "doc_id")
     return found.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), (own == F.col("doc_id")).alias("kept"))
