@@ -1,4 +1,571 @@
-"""Every registered query with its SQL oracle."""
+"""Every registered query of the pyramid and delivery engine, with its SQL oracle where one exists."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.functions import geometry as G
+from tessera.functions import hashing as H
+from tessera.functions import messages as M
+from tessera.operators import cache, control, pyramid, viewport
+from tessera.plans import fixtures as X
+from tessera.sources import tile_store
+from tessera.streaming import ingest
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+IMAGES = [(40000, 30131), (108199, 81503), (176393, 176393), (36743, 36743), (5775, 5775), (75471, 75471), (96922, 96922), (136325, 136325)]
+IMAGES_SQL = "imgs(img, w0, h0) AS (VALUES " + ", ".join(f"({i}, {w}, {h})" for i, (w, h) in enumerate(IMAGES)) + ")"
+LEVELS_SQL = f"""{IMAGES_SQL}, ns AS (SELECT *, (SELECT min(k) + 1 FROM range(41) t(k) WHERE (greatest(w0, h0) + (1::BIGINT << k) - 1) // (1::BIGINT << k) <= 256) AS n FROM imgs),
+lv AS (SELECT img, n::INT AS n, unnest(range(n))::INT AS z, w0, h0 FROM ns),
+dim AS (SELECT img, n, z, ((w0 + (1 << (n - 1 - z)) - 1) // (1 << (n - 1 - z)))::BIGINT AS w, ((h0 + (1 << (n - 1 - z)) - 1) // (1 << (n - 1 - z)))::BIGINT AS h FROM lv),
+levels AS (SELECT *, (w + 255) // 256 AS cols, (h + 255) // 256 AS rows, ((w + 255) // 256) * ((h + 255) // 256) AS tiles FROM dim)"""
+
+
+def _levels(spark: SparkSession) -> DataFrame:
+    return pyramid.levels(spark.createDataFrame([(i, w, h) for i, (w, h) in enumerate(IMAGES)], "img int, width int, height int"))
+
+
+@query(f"WITH {LEVELS_SQL} SELECT * FROM levels")
+def pyramid_plan(spark, sf):
+    return _levels(spark)
+
+
+@query(f"WITH {LEVELS_SQL} SELECT img, max(n) AS n_levels, sum(tiles)::BIGINT AS total_tiles, max(tiles) AS top_tiles FROM levels GROUP BY img")
+def pyramid_totals(spark, sf):
+    return _levels(spark).groupBy("img").agg(F.max("n").alias("n_levels"), F.sum("tiles").alias("total_tiles"), F.max("tiles").alias("top_tiles"))
+
+
+def _chain(first: str, channels: list[str], levels: int) -> str:
+    """CTEs l{z} from the finest level down, each the half-up mean of the next finer one's 2x2 blocks."""
+    parts, top = [first.format(z=levels - 1)], levels - 1
+    for z in range(top - 1, -1, -1):
+        mean = ", ".join(f"floor((2 * sum({c}) + count(*)) / (2 * count(*))::DOUBLE)::INT AS {c}" for c in channels)
+        parts.append(f"l{z} AS (SELECT x // 2 AS x, y // 2 AS y, {mean} FROM l{z + 1} GROUP BY 1, 2)")
+    union = " UNION ALL ".join(f"SELECT {z}::INT AS z, * FROM l{z}" for z in range(levels))
+    return ", ".join(parts) + f", pyr AS ({union})"
+
+
+R1_SQL = _chain("l{z} AS (SELECT (generate_subscripts(embedding, 1) - 1)::BIGINT AS x, vec_id AS y, floor((unnest(embedding)::DOUBLE + 1.0) * 127.5)::INT AS v FROM embeddings)", ["v"], 6)
+R2_SQL = _chain(
+    "l{z} AS (SELECT x, vec_id AS y, floor((embedding[x + 1]::DOUBLE + 1.0) * 127.5)::INT AS b, floor((embedding[x + 22]::DOUBLE + 1.0) * 127.5)::INT AS g, floor((embedding[x + 43]::DOUBLE + 1.0) * 127.5)::INT AS r FROM embeddings, range(21) t(x))",
+    ["b", "g", "r"],
+    6,
+)
+R_TILE = 16
+
+
+def _pyramid(spark: SparkSession, sf: str, rgb: bool = False) -> DataFrame:
+    pixels = (X.raster_rgb if rgb else X.raster)(spark, sf)
+    height = pixels.agg(F.max("y") + 1).first()[0]
+    return pyramid.build(pixels, 21 if rgb else 64, height, ["b", "g", "r"] if rgb else ["v"], R_TILE)
+
+
+STATS_SQL = f"WITH {R1_SQL} SELECT z, x // 16 AS tx, y // 16 AS ty, (max(x) - min(x) + 1)::BIGINT AS w, (max(y) - min(y) + 1)::BIGINT AS h, sum(v)::BIGINT AS total, min(v) AS low, max(v) AS high FROM pyr GROUP BY 1, 2, 3"
+
+
+@query(f"WITH {R1_SQL} SELECT z, x // 16 AS tx, y // 16 AS ty, count(*) AS n, sum(v)::BIGINT AS total FROM pyr GROUP BY 1, 2, 3")
+def pyramid_build_level_means(spark, sf):
+    p = _pyramid(spark, sf)
+    return p.groupBy("z", G.floor_div("x", R_TILE).alias("tx"), G.floor_div("y", R_TILE).alias("ty")).agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+
+
+@query(f"WITH {R2_SQL} SELECT z, x::BIGINT AS x, y::BIGINT AS y, b, g, r FROM pyr")
+def pyramid_rgb_edges(spark, sf):
+    return _pyramid(spark, sf, rgb=True).select("z", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "b", "g", "r")
+
+
+@query(STATS_SQL)
+def tile_cut_stats(spark, sf):
+    return pyramid.cut_stats(_pyramid(spark, sf), "v", R_TILE)
+
+
+@query(f"""WITH {R2_SQL} SELECT z, x // 16 AS tx, y // 16 AS ty, md5(string_agg(lpad(hex(b), 2, '0') || lpad(hex(g), 2, '0') || lpad(hex(r), 2, '0'), '' ORDER BY y, x)) AS bytes_md5, (3 * count(*))::BIGINT AS length FROM pyr GROUP BY 1, 2, 3""")
+def tile_bytes(spark, sf):
+    t = pyramid.cut_tiles(_pyramid(spark, sf, rgb=True), ["b", "g", "r"], R_TILE)
+    return t.select("z", "tx", "ty", F.md5(F.hex("bytes")).alias("bytes_md5"), F.length("bytes").cast("long").alias("length"))
+
+
+TILES_SQL = "tiles AS (SELECT 7 AS z, doc_id % 64 AS x, doc_id // 64 AS y, doc_id, coalesce(text, '') AS text, strlen(coalesce(text, ''))::BIGINT AS length FROM documents)"
+
+
+def _index(spark, sf):
+    t = X.tiles(spark, sf).select("z", "x", "y", F.length("payload").cast("long").alias("length"))
+    return pyramid.index(t, 64)
+
+
+INDEX_SQL = f"{TILES_SQL}, idx AS (SELECT z, x, y, length, coalesce(sum(length) OVER (PARTITION BY z ORDER BY y, x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\", y * 64 + x AS slot FROM tiles)"
+
+
+@query(f"WITH {INDEX_SQL} SELECT * FROM idx")
+def tile_index(spark, sf):
+    return _index(spark, sf)
+
+
+@query(f"""WITH {INDEX_SQL}, g AS (SELECT 7 AS z, x, y FROM range(64) a(x), range((SELECT max(y) + 2 FROM idx)) b(y))
+SELECT g.z, g.x, g.y, coalesce(length, 0)::BIGINT AS length, coalesce("offset", 0)::BIGINT AS "offset" FROM g LEFT JOIN idx ON g.x = idx.x AND g.y = idx.y""")
+def tile_dense_index(spark, sf):
+    idx = _index(spark, sf).drop("slot")
+    rows = idx.agg(F.max("y") + 2).first()[0]
+    grid = spark.range(64).select(F.lit(7).alias("z"), F.col("id").alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))))
+    return pyramid.dense_index(idx, grid)
+
+
+@query(f"""WITH {INDEX_SQL}, rq AS (SELECT event_id, 7 AS z, event_id * 7 % 64 AS x, event_id * 3 % 20 AS y FROM events)
+SELECT event_id, rq.z, rq.x, rq.y, "offset", length FROM rq LEFT JOIN idx ON rq.z = idx.z AND rq.x = idx.x AND rq.y = idx.y""")
+def tile_lookup(spark, sf):
+    rq = X.table(spark, sf, "events").select("event_id", F.lit(7).alias("z"), (F.col("event_id") * 7 % 64).alias("x"), (F.col("event_id") * 3 % 20).alias("y"))
+    return pyramid.lookup(rq, _index(spark, sf)).select("event_id", "z", "x", "y", "offset", "length")
+
+
+@query(f"""WITH {LEVELS_SQL}, t AS (SELECT img, z, n, unnest(range(least(cols, 8))) AS x, w, h, cols, rows FROM levels)
+SELECT img, z, x::BIGINT AS x, least(256, w - x * 256)::BIGINT AS tw, x // 2 AS parent_x, x // 8 AS anc3_x, ((z::BIGINT << 56) | (x::BIGINT << 28) | 3) AS key, (z BETWEEN 0 AND n - 1 AND x < cols AND 3 < rows) AS there FROM t""")
+def tile_geometry(spark, sf):
+    t = _levels(spark).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("cols"), F.lit(8)) - 1)))
+    return t.select("img", "z", "x", G.tile_extent("w", "x").alias("tw"), G.ancestor("x", 1).alias("parent_x"), G.ancestor("x", 3).alias("anc3_x"), G.tile_key("z", "x", F.lit(3)).alias("key"), G.tile_exists("z", "x", F.lit(3), "cols", "rows", "n").alias("there"))
+
+
+@query(f"""WITH {X.GRID_SQL}, p AS (SELECT grid.z AS pz, x AS px, y AS py FROM grid, range(24) a(x), range(24) b(y) WHERE x < cols AND y < cols)
+SELECT pz, px, py, (pz + 1)::INT AS z, 2 * px + i AS x, 2 * py + j AS y FROM p, range(2) c(i), range(2) d(j) JOIN grid ON grid.z = pz + 1 WHERE 2 * px + i < cols AND 2 * py + j < cols""")
+def tile_children(spark, sf):
+    g = X.grid(spark)
+    t = g.select("z", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)).alias("x"), "rows").select("z", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("y"))
+    return pyramid.children(t, g.drop("w"))
+
+
+CAMERA_SQL = "cam AS (SELECT event_id, (event_id * 97 % 6000)::DOUBLE AS cx, (event_id * 61 % 6000)::DOUBLE AS cy, value / 40 + 0.01::DOUBLE AS zoom FROM events)"
+
+
+def _camera(spark, sf):
+    i = F.col("event_id")
+    return X.table(spark, sf, "events").select(i, (i * 97 % 6000).cast("double").alias("cx"), (i * 61 % 6000).cast("double").alias("cy"), (F.col("value") / 40 + F.lit(0.01)).alias("zoom"))
+
+
+@query(f"""WITH {CAMERA_SQL}, c AS (SELECT *, least(16.0::DOUBLE, greatest(least(1280 / 5775.0::DOUBLE, 720 / 5775.0::DOUBLE) / 2, zoom)) AS zm FROM cam),
+l AS (SELECT *, greatest(0, least(5, 5 + floor(log2(zm) + 0.5)::BIGINT))::INT AS z FROM c),
+d AS (SELECT *, pow(2.0::DOUBLE, 5 - z) AS d FROM l)
+SELECT event_id, zm, z, floor((cx - 1280 / (2 * zm)) / d + 0.5)::BIGINT AS vx, floor((cy - 720 / (2 * zm)) / d + 0.5)::BIGINT AS vy, least(4096, ceil(1280 / (zm * d)))::BIGINT AS vw, least(4096, ceil(720 / (zm * d)))::BIGINT AS vh,
+  CASE WHEN floor(cx + (100 - 1280 / 2.0::DOUBLE) / zm) BETWEEN 0 AND 5774 AND floor(cy + (50 - 720 / 2.0::DOUBLE) / zm) BETWEEN 0 AND 5774 THEN floor(cx + (100 - 1280 / 2.0::DOUBLE) / zm)::BIGINT END AS px FROM d""")
+def camera_views(spark, sf):
+    c = _camera(spark, sf).withColumn("zm", G.zoom_clamp("zoom", 1280, 720, 5775, 5775)).withColumn("z", G.zoom_level("zm", 5))
+    vx, vy, vw, vh = G.screen_view("cx", "cy", "zm", 1280, 720, "z", 5)
+    px, _ = G.pixel_under("cx", "cy", "zm", 1280, 720, 100, 50, 5775, 5775)
+    return c.select("event_id", "zm", "z", vx.alias("vx"), vy.alias("vy"), vw.alias("vw"), vh.alias("vh"), px.alias("px"))
+
+
+@query(f"WITH {X.VIEWS_SQL} SELECT session, ord, seq, code FROM coded")
+def viewport_errors(spark, sf):
+    return viewport.classify(X.views(spark, sf), X.LEVELS).select("session", "ord", "seq", "code")
+
+
+def _visible(spark, sf):
+    ok = viewport.classify(X.views(spark, sf), X.LEVELS).where("code is null")
+    return viewport.visible(ok, X.grid(spark).drop("w"))
+
+
+@query(f"WITH {X.VISIBLE_SQL} SELECT session, seq, z, tx, ty, dist, rank FROM vis")
+def viewport_visible(spark, sf):
+    return _visible(spark, sf).select("session", "seq", "z", "tx", "ty", "dist", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {X.NEW_SQL} SELECT session, seq, z, tx, ty, rank FROM news")
+def viewport_new_tiles(spark, sf):
+    return viewport.new_tiles(_visible(spark, sf)).select("session", "seq", "z", "tx", "ty", F.col("rank").cast("long").alias("rank"))
+
+
+def _scheduled(spark, sf):
+    return viewport.schedule(viewport.new_tiles(_visible(spark, sf)))
+
+
+@query(f"WITH {X.NEW_SQL} SELECT session, seq, z, tx, ty, deadline, turn FROM sched")
+def edf_schedule(spark, sf):
+    return _scheduled(spark, sf).select("session", "seq", "z", "tx", "ty", "deadline", F.col("turn").cast("long").alias("turn"))
+
+
+@query(f"WITH {X.PARITY_SQL} SELECT session, seq, grp, members, first_rank, deadline FROM par")
+def fec_groups(spark, sf):
+    return viewport.parity_groups(_scheduled(spark, sf)).select("session", "seq", "grp", "members", F.col("first_rank").cast("long").alias("first_rank"), "deadline")
+
+
+SUMMARY_SQL = f"""WITH {X.PARITY_SQL},
+v AS (SELECT session, seq, count(*) AS visible FROM vis GROUP BY 1, 2), nw AS (SELECT session, seq, count(*) AS fresh FROM news GROUP BY 1, 2), p AS (SELECT session, seq, count(*) AS parities FROM par GROUP BY 1, 2)
+SELECT v.session, v.seq, visible, coalesce(fresh, 0) AS fresh, visible - coalesce(fresh, 0) AS held, coalesce(parities, 0) AS parities FROM v LEFT JOIN nw USING (session, seq) LEFT JOIN p USING (session, seq)"""
+
+
+@query(SUMMARY_SQL)
+def viewport_summary(spark, sf):
+    seen, sched = _visible(spark, sf), _scheduled(spark, sf)
+    key = ["session", "seq"]
+    v, n, p = seen.groupBy(*key).agg(F.count("*").alias("visible")), sched.groupBy(*key).agg(F.count("*").alias("fresh")), viewport.parity_groups(sched).groupBy(*key).agg(F.count("*").alias("parities"))
+    out = v.join(n, key, "left").join(p, key, "left").na.fill(0, ["fresh", "parities"])
+    return out.select(*key, "visible", "fresh", (F.col("visible") - F.col("fresh")).alias("held"), "parities")
+
+
+PACE = 40.0
+PACED_SQL = f"""{X.NEW_SQL}, nxt AS (SELECT session, seq, lead(t0) OVER (PARTITION BY session ORDER BY seq) AS next_t0 FROM coded WHERE code IS NULL),
+paced AS (SELECT sched.*, next_t0, t0 + floor(turn * 25000000.0::DOUBLE)::BIGINT AS sent_ns FROM sched JOIN nxt USING (session, seq)),
+flags AS (SELECT *, (next_t0 IS NULL OR sent_ns < next_t0) AS sent FROM paced), final AS (SELECT *, sent AND sent_ns > deadline AS late FROM flags)"""
+
+
+def _paced(spark, sf):
+    ok = viewport.classify(X.views(spark, sf), X.LEVELS).where("code is null")
+    nxt = ok.select("session", "seq", F.lead("t0").over(Window.partitionBy("session").orderBy("seq")).alias("next_t0"))
+    return viewport.paced(_scheduled(spark, sf).join(nxt, ["session", "seq"]), PACE)
+
+
+@query(f"WITH {PACED_SQL} SELECT session, seq, count(*) FILTER (WHERE sent) AS sent, count(*) FILTER (WHERE late) AS late, bool_and(sent) AS done FROM final GROUP BY 1, 2")
+def view_done(spark, sf):
+    return _paced(spark, sf).groupBy("session", "seq").agg(F.count_if("sent").alias("sent"), F.count_if("late").alias("late"), F.bool_and("sent").alias("done"))
+
+
+@query(f"WITH {PACED_SQL} SELECT session, count(*) FILTER (WHERE sent) AS served, count(*) FILTER (WHERE late) AS late, CASE WHEN count(*) FILTER (WHERE sent) > 0 THEN 100.0::DOUBLE * count(*) FILTER (WHERE late) / count(*) FILTER (WHERE sent) ELSE 0.0::DOUBLE END AS late_pct FROM final GROUP BY 1")
+def late_pct(spark, sf):
+    g = _paced(spark, sf).groupBy("session").agg(F.count_if("sent").alias("served"), F.count_if("late").alias("late"))
+    return g.withColumn("late_pct", F.when(F.col("served") > 0, F.lit(100.0) * F.col("late") / F.col("served")).otherwise(F.lit(0.0)))
+
+
+@query(f"WITH {PACED_SQL} SELECT session, seq, z, tx, ty, row_number() OVER (PARTITION BY session ORDER BY sent_ns, seq, turn) AS num FROM final WHERE sent")
+def send_numbers(spark, sf):
+    w = Window.partitionBy("session").orderBy("sent_ns", "seq", "turn")
+    return _paced(spark, sf).where("sent").select("session", "seq", "z", "tx", "ty", F.row_number().over(w).cast("long").alias("num"))
+
+
+@query(f"WITH {PACED_SQL}, c AS (SELECT session, max(seq) // 2 AS n FROM final GROUP BY 1) SELECT session, any_value(n) AS cancelled_to, count(*) FILTER (WHERE seq <= n AND NOT sent) AS removed FROM final JOIN c USING (session) GROUP BY 1")
+def cancel_queue(spark, sf):
+    p = _paced(spark, sf)
+    c = p.groupBy("session").agg(F.floor(F.max("seq") / 2).alias("n"))
+    return p.join(c, "session").groupBy("session").agg(F.first("n").alias("cancelled_to"), F.count_if((F.col("seq") <= F.col("n")) & ~F.col("sent")).alias("removed"))
+
+
+MEMBERS_SQL = "mem AS (SELECT doc_id // 4 AS grp, doc_id % 4 AS m, encode(coalesce(text, '')) AS payload, hex(encode(coalesce(text, ''))) AS hx FROM documents WHERE doc_id < 64)"
+
+
+def _members(spark, sf):
+    # a parity group set protects 16 tiles: four views' worth of tiles here
+    return X.tiles(spark, sf).where("doc_id < 64").select(F.floor(F.col("doc_id") / 4).cast("long").alias("grp"), (F.col("doc_id") % 4).alias("m"), "payload")
+
+
+@query(f"""WITH {MEMBERS_SQL}, b AS (SELECT grp, unnest(range(length(hx) // 2)) AS pos, hx FROM mem), x AS (SELECT grp, pos, bit_xor(('0x' || substr(hx, pos * 2 + 1, 2))::INT) AS v FROM b GROUP BY 1, 2)
+SELECT grp, count(*) AS length, md5(string_agg(lpad(hex(v), 2, '0'), '' ORDER BY pos)) AS parity_md5 FROM x GROUP BY grp""")
+def fec_parity(spark, sf):
+    return viewport.parity_bytes(_members(spark, sf), "grp").select("grp", F.length("parity").cast("long").alias("length"), F.md5(F.hex("parity")).alias("parity_md5"))
+
+
+@query(f"WITH {MEMBERS_SQL} SELECT grp, true AS recovered FROM mem WHERE m = 0 AND length(hx) > 0")
+def fec_reconstruct(spark, sf):
+    """Drops member 0 of each group and rebuilds it from the parity and the others."""
+    m = _members(spark, sf)
+    parity = viewport.parity_bytes(m, "grp").select("grp", F.col("parity").alias("payload"))
+    back = viewport.parity_bytes(m.where("m <> 0").select("grp", "payload").unionByName(parity), "grp")
+    lost = m.where("m = 0 and length(payload) > 0").select("grp", "payload")
+    return lost.join(back, "grp").select("grp", (F.substr("parity", F.lit(1), F.length("payload")) == F.col("payload")).alias("recovered"))
+
+
+@query("""WITH g AS (SELECT doc_id // 4 AS grp, count(*) AS k, sum(strlen(coalesce(text, '')))::BIGINT AS data_bytes, max(strlen(coalesce(text, '')))::BIGINT AS longest FROM documents GROUP BY 1)
+SELECT grp, data_bytes, 19 + 18 * k + longest AS parity_bytes, 100.0::DOUBLE * (19 + 18 * k + longest) / data_bytes AS overhead_pct FROM g""")
+def fec_overhead(spark, sf):
+    g = X.tiles(spark, sf).groupBy(F.floor(F.col("doc_id") / 4).cast("long").alias("grp")).agg(F.count("*").alias("k"), F.sum(F.length("payload")).alias("data_bytes"), F.max(F.length("payload")).cast("long").alias("longest"))
+    p = 19 + 18 * F.col("k") + F.col("longest")
+    return g.select("grp", "data_bytes", p.alias("parity_bytes"), (F.lit(100.0) * p / F.col("data_bytes")).alias("overhead_pct"))
+
+
+@query("""WITH t AS (SELECT doc_id, doc_id % 3 AS lost FROM documents), g AS (SELECT doc_id // 4 AS grp, sum(CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END) AS missing, count(*) AS k FROM t GROUP BY 1)
+SELECT grp, CASE WHEN missing = 0 THEN 'unneeded' WHEN missing = 1 THEN 'recoverable' ELSE 'irrecoverable' END AS outcome FROM g WHERE k >= 2""")
+def fec_outcomes(spark, sf):
+    g = X.tiles(spark, sf).groupBy(F.floor(F.col("doc_id") / 4).cast("long").alias("grp")).agg(F.count_if(F.col("doc_id") % 7 == 0).alias("missing"), F.count("*").alias("k")).where("k >= 2")
+    return g.select("grp", F.when(F.col("missing") == 0, "unneeded").when(F.col("missing") == 1, "recoverable").otherwise("irrecoverable").alias("outcome"))
+
+
+_MUL = "((({h}) & 65535) * {c} + (((({h}) >> 16) * {c}) & 65535) * 65536) & 4294967295"
+
+
+def _bloom_sql() -> str:
+    parts = [f"(({v}) >> {8 * (n - 1 - i)}) & 255" for v, n in (("sem", 4), ("z", 1), ("x", 4), ("y", 4)) for i in range(n)]
+    ctes, last = [], "2166136261"
+    for i, b in enumerate(parts):
+        ctes.append(f"h{i} AS (SELECT *, ({_MUL.format(h=f'xor({last}::BIGINT, ({b})::BIGINT)', c=16777619)}) AS f{i} FROM {'k' if i == 0 else f'h{i - 1}'})")
+        last = f"f{i}"
+    n = len(parts) - 1
+    a = f"xor({last}, {last} >> 16)"
+    ctes.append(f"m1 AS (SELECT *, ({_MUL.format(h=a, c=0x85EBCA6B)}) AS g1 FROM h{n})")
+    ctes.append(f"m2 AS (SELECT *, ({_MUL.format(h='xor(g1, g1 >> 13)', c=0xC2B2AE35)}) AS g2 FROM m1)")
+    ctes.append(f"hp AS (SELECT session, sem, z, x, y, {last} AS h1, xor(g2, g2 >> 16) | 1 AS h2 FROM m2)")
+    return "k AS (SELECT user_id AS session, (event_id % 3)::BIGINT AS sem, (event_id % 8)::BIGINT AS z, (event_id * 7 % 100)::BIGINT AS x, (event_id * 11 % 100)::BIGINT AS y FROM events), " + ", ".join(ctes)
+
+
+BLOOM_SQL = _bloom_sql()
+
+
+def _keys(spark, sf):
+    i = F.col("event_id")
+    k = X.table(spark, sf, "events").select(F.col("user_id").alias("session"), (i % 3).alias("sem"), (i % 8).alias("z"), (i * 7 % 100).alias("x"), (i * 11 % 100).alias("y"))
+    h1, h2 = H.hash_pair("sem", "z", "x", "y")
+    # two steps, so that the hash chain is evaluated once a row
+    return k.withColumn("h1", h1).withColumn("h2", H.fmix32(F.col("h1")).bitwiseOR(F.lit(1)))
+
+
+@query(f"WITH {BLOOM_SQL} SELECT session, sem, z, x, y, h1, h2, ((h1 + i * h2) & 4294967295) % 4096 AS pos FROM hp, range(7) t(i)")
+def bloom_positions(spark, sf):
+    return _keys(spark, sf).select("session", "sem", "z", "x", "y", "h1", "h2", F.explode(H.positions_of(F.col("h1"), F.col("h2"))).alias("pos")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"WITH {BLOOM_SQL}, b AS (SELECT DISTINCT session, sem, ((h1 + i * h2) & 4294967295) % 4096 AS pos FROM hp, range(7) t(i)) SELECT session, sem, count(*) AS popcount, md5(string_agg(pos::VARCHAR, ',' ORDER BY pos)) AS bits_md5 FROM b GROUP BY 1, 2")
+def bloom_build(spark, sf):
+    f = viewport.holdings_filter(_keys(spark, sf).withColumn("positions", H.positions_of(F.col("h1"), F.col("h2"))), ["session", "sem"])
+    return f.select("session", "sem", "popcount", F.md5(F.concat_ws(",", F.transform("bits", lambda b: b.cast("string")))).alias("bits_md5"))
+
+
+@query(f"""WITH {BLOOM_SQL}, b AS (SELECT DISTINCT session, sem, ((h1 + i * h2) & 4294967295) % 4096 AS pos FROM hp, range(7) t(i)),
+q AS (SELECT DISTINCT a.session AS fs, p.session, p.sem, p.z, p.x, p.y, p.h1, p.h2 FROM (SELECT DISTINCT session FROM hp WHERE session % 10 = 0) a, hp p WHERE p.sem = 0),
+m AS (SELECT fs, q.session, z, x, y, count(b.pos) AS found, count(*) AS want FROM q, range(7) t(i) LEFT JOIN b ON b.session = q.fs AND b.sem = 0 AND b.pos = ((h1 + i * h2) & 4294967295) % 4096 GROUP BY ALL)
+SELECT fs AS filter_session, count(*) AS probes, count(*) FILTER (WHERE found = want) AS positives FROM m GROUP BY 1""")
+def bloom_fp_rate(spark, sf):
+    k = _keys(spark, sf).where("sem = 0").withColumn("positions", H.positions_of(F.col("h1"), F.col("h2")))
+    f = viewport.holdings_filter(k, ["session"]).where("session % 10 = 0").select(F.col("session").alias("filter_session"), "bits")
+    probes = k.select("session", "z", "x", "y", "h1", "h2").distinct()
+    # the stated filters (a tenth of the sessions, 512 bytes each) meet every probe
+    hit = probes.join(F.broadcast(f), F.lit(True)).withColumn("hit", viewport.contains(F.col("bits"), F.col("h1"), F.col("h2")))
+    return hit.groupBy("filter_session").agg(F.count("*").alias("probes"), F.count_if("hit").alias("positives"))
+
+
+@query("SELECT n::BIGINT AS n, round(pow(1 - exp(-7 * n / 4096.0::DOUBLE), 7.0::DOUBLE), 9) AS rate FROM range(0, 1000, 50) t(n)")
+def bloom_theory(spark, sf):
+    return spark.range(0, 1000, 50).select(F.col("id").alias("n"), F.round(H.false_positive_theory("id"), 9).alias("rate"))
+
+
+LINK_SQL = f"{X.EVENTS_SQL}, msg AS (SELECT session, n AS ord, t0 AS now_ns, 500 + floor(value * 100)::BIGINT AS bytes FROM ev)"
+
+
+def _messages(spark, sf):
+    return X.events(spark, sf).select("session", F.col("n").alias("ord"), F.col("t0").alias("now_ns"), (500 + F.floor(F.col("value") * 100)).alias("bytes"))
+
+
+@query(f"""WITH RECURSIVE {LINK_SQL}, r(session, ord, free_ns) AS (
+  SELECT session, ord, now_ns + bytes * 1000000 // 1 FROM msg WHERE ord = 1
+  UNION ALL SELECT m.session, m.ord, greatest(m.now_ns, r.free_ns) + m.bytes * 1000000 // 1 FROM r JOIN msg m ON m.session = r.session AND m.ord = r.ord + 1)
+SELECT r.session, r.ord, now_ns, bytes, free_ns, free_ns + 80000000 AS out_ns FROM r JOIN msg USING (session, ord)""")
+def link_departure(spark, sf):
+    return control.link_departures(_messages(spark, sf), 1, 80)
+
+
+@query()
+def link_loss(spark, sf):
+    m = X.events(spark, sf).select("session", F.col("n").alias("ord"), (F.col("event_id") % 4 != 0).alias("is_binary"))
+    return control.random_loss(m, 5)
+
+
+@query(f"""WITH {X.EVENTS_SQL}, f AS (SELECT session, n AS ord, n + event_id % 4 AS num FROM ev)
+SELECT session, ord, num, greatest(num - coalesce(max(num) OVER (PARTITION BY session ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1, 0)::BIGINT AS lost FROM f""")
+def num_gaps(spark, sf):
+    return control.num_gaps(X.events(spark, sf).select("session", F.col("n").alias("ord"), (F.col("n") + F.col("event_id") % 4).alias("num")))
+
+
+@query(f"""WITH RECURSIVE {X.EVENTS_SQL}, a AS (SELECT session, n AS ord, (t0 / 1000000)::DOUBLE AS t FROM ev),
+r(session, ord, t, delta, jitter) AS (SELECT session, ord, t, NULL::DOUBLE, 0.0::DOUBLE FROM a WHERE ord = 1
+  UNION ALL SELECT a.session, a.ord, a.t, a.t - r.t, CASE WHEN r.delta IS NULL THEN r.jitter ELSE r.jitter + (abs((a.t - r.t) - r.delta) - r.jitter) / 16.0::DOUBLE END FROM r JOIN a ON a.session = r.session AND a.ord = r.ord + 1)
+SELECT session, ord, jitter FROM r""")
+def report_jitter(spark, sf):
+    return control.jitter(X.events(spark, sf).select("session", F.col("n").alias("ord"), (F.col("t0") / F.lit(1000000)).alias("t_ms")))
+
+
+@query(f"""WITH RECURSIVE {X.EVENTS_SQL}, a AS (SELECT session, n AS ord, value AS ms, CASE WHEN event_id % 3 = 0 THEN 1 ELSE -1 END AS d FROM ev),
+r(session, ord, mean, queue) AS (SELECT session, 0::BIGINT, 0.0::DOUBLE, 0 FROM (SELECT DISTINCT session FROM a)
+  UNION ALL SELECT a.session, a.ord, CASE WHEN d < 0 THEN r.mean + (a.ms - r.mean) / 8.0::DOUBLE ELSE r.mean END, greatest(0, r.queue + d)::INT FROM r JOIN a ON a.session = r.session AND a.ord = r.ord + 1)
+SELECT session, ord, mean, queue FROM r WHERE ord > 0""")
+def report_ewma(spark, sf):
+    return control.decode_ewma(X.events(spark, sf).select("session", F.col("n").alias("ord"), F.col("value").alias("ms"), F.when(F.col("event_id") % 3 == 0, 1).otherwise(-1).alias("d")))
+
+
+@query(f"""WITH {X.REPORTS_SQL}, snd AS (SELECT session, t0 + 500000000 AS t_ns, n AS num FROM ev)
+SELECT reps.session, ord, (greatest(0, coalesce(snd.num, 0) - max_num) + cola)::BIGINT AS q FROM reps ASOF LEFT JOIN snd ON reps.session = snd.session AND reps.t_ns >= snd.t_ns""")
+def occupancy_asof(spark, sf):
+    r = X.reports(spark, sf)
+    return control.occupancy(r, r.select("session", (F.col("t_ns") + 500_000_000).alias("t_ns"), F.col("ord").alias("num")))
+
+
+@query(f"""WITH RECURSIVE {X.REPORTS_SQL}, e AS (SELECT session, ord, 8.0::DOUBLE - cola::DOUBLE AS e, demand FROM reps),
+r(session, ord, rate, integral) AS (SELECT session, 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE FROM (SELECT DISTINCT session FROM e)
+  UNION ALL SELECT session, ord, greatest(4.0::DOUBLE, least(400.0::DOUBLE, 40.0::DOUBLE + 4.0::DOUBLE * e + 8.0::DOUBLE * i)), i FROM (
+    SELECT e.session, e.ord, e.e, CASE WHEN (40.0::DOUBLE + 4.0::DOUBLE * e.e + 8.0::DOUBLE * r.integral >= 400 AND e.e > 0) OR (40.0::DOUBLE + 4.0::DOUBLE * e.e + 8.0::DOUBLE * r.integral <= 4 AND e.e < 0) OR (NOT demand AND e.e > 0)
+      THEN r.integral ELSE r.integral + e.e * 0.1::DOUBLE END AS i FROM r JOIN e ON e.session = r.session AND e.ord = r.ord + 1))
+SELECT session, ord, rate, integral FROM r WHERE ord > 0""")
+def pi_controller(spark, sf):
+    return control.pi_series(X.reports(spark, sf).select("session", "ord", F.col("cola").alias("q"), F.lit(0.1).alias("dt"), "demand"))
+
+
+@query(f"WITH {X.REPORTS_SQL} SELECT session, ord, coalesce(least(0.5::DOUBLE, (t_ns - lag(t_ns) OVER (PARTITION BY session ORDER BY t_ns, ord)) / 1e9::DOUBLE), 0.1::DOUBLE) AS dt FROM reps")
+def report_dt(spark, sf):
+    return control.report_dt(X.reports(spark, sf)).select("session", "ord", "dt")
+
+
+@query(f"""WITH {X.EVENTS_SQL}, p AS (SELECT session, n, t0 // 1000000000 AS t_s, value AS rate, (floor(value)::BIGINT % 64) AS q FROM ev)
+SELECT session, n, max(rate) OVER w AS r_top, max(q) OVER w AS q_top, count(*) OVER w AS n_points FROM p WINDOW w AS (PARTITION BY session ORDER BY t_s RANGE BETWEEN 7200 PRECEDING AND CURRENT ROW)""")
+def chart_buffer(spark, sf):
+    p = X.events(spark, sf).select("session", F.col("n").alias("k"), F.floor(F.col("t0") / 1_000_000_000).alias("t_s"), F.col("value").alias("rate"), (F.floor("value").cast("long") % 64).alias("q"))
+    return control.chart_window(p, 7200).select("session", F.col("k").alias("n"), "r_top", "q_top", F.col("n").alias("n_points"))
+
+
+@query(f"WITH {X.EVENTS_SQL} SELECT session, n, coalesce(t0 // 1000000000 - lag(t0 // 1000000000) OVER (PARTITION BY session ORDER BY t0, n) > 30, false) AS closed FROM ev")
+def idle_sessions(spark, sf):
+    e = X.events(spark, sf).select("session", F.col("n").alias("ord"), F.floor(F.col("t0") / 1_000_000_000).alias("t_s"))
+    return control.idle_gaps(e).select("session", F.col("ord").alias("n"), "closed")
+
+
+LRU_LIMIT = 200_000
+
+
+@query(f"""WITH {X.ACCESS_SQL}, u AS (SELECT *, lag(ord) OVER w AS prev, lead(ord) OVER w AS nxt FROM acc WINDOW w AS (PARTITION BY trace, key ORDER BY ord)),
+g AS (SELECT a.trace, a.ord, sum(b.bytes) AS between_bytes FROM u a JOIN u b ON a.trace = b.trace AND b.ord > a.prev AND b.ord < a.ord AND (b.nxt IS NULL OR b.nxt >= a.ord) WHERE a.prev IS NOT NULL GROUP BY 1, 2)
+SELECT u.trace, u.ord, key, (prev IS NOT NULL AND coalesce(between_bytes, 0) + bytes <= {LRU_LIMIT}) AS hit FROM u LEFT JOIN g ON u.trace = g.trace AND u.ord = g.ord""")
+def lru_hits(spark, sf):
+    return cache.replay(X.accesses(spark, sf).withColumn("op", F.lit("get")), "lru", LRU_LIMIT).select("trace", "ord", "key", "hit")
+
+
+@query()
+def arc_hits(spark, sf):
+    return cache.hit_rates(cache.replay(X.accesses(spark, sf), "arc", LRU_LIMIT))
+
+
+PAGES_SQL = "n AS (SELECT page_id, regexp_extract(url, '[^/]*$') || CASE page_id % 6 WHEN 0 THEN '.png' WHEN 1 THEN '.tmp' WHEN 2 THEN '' WHEN 3 THEN ' (copy).tar.gz' WHEN 4 THEN '.PART' ELSE '.tif' END AS name FROM pages)"
+
+
+def _names(spark, sf):
+    m = F.col("page_id") % 6
+    tail = F.when(m == 0, ".png").when(m == 1, ".tmp").when(m == 2, "").when(m == 3, " (copy).tar.gz").when(m == 4, ".PART").otherwise(".tif")
+    return X.table(spark, sf, "pages").select("page_id", F.concat(F.regexp_extract("url", "[^/]*$", 0), tail).alias("name"))
+
+
+@query(rf"""WITH {PAGES_SQL}, s AS (SELECT page_id, name, substr(regexp_replace(CASE WHEN regexp_matches(name, '^.+\.[^.]*$') THEN regexp_replace(name, '\.[^.]*$', '') ELSE name END, '[^A-Za-z0-9_-]', '_', 'g'), 1, 64) AS s FROM n)
+SELECT page_id, CASE WHEN s = '' THEN 'imagen' ELSE s END AS id, NOT (starts_with(name, '.') OR lower(name) IN ('desktop.ini', 'thumbs.db') OR lower(name) LIKE '%.tmp' OR lower(name) LIKE '%.part' OR lower(name) LIKE '%.crdownload') AS candidate, regexp_full_match(name, '[A-Za-z0-9_-]{{1,64}}') AS valid FROM s""")
+def image_id(spark, sf):
+    return _names(spark, sf).select("page_id", M.image_id("name").alias("id"), M.is_candidate("name").alias("candidate"), M.is_image_id("name").alias("valid"))
+
+
+MSG_SQL = r"""m AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'report|MAX:1' WHEN 1 THEN 'REPORT|MAX' WHEN 2 THEN 'REPORT|MAX:1|MAX:2' WHEN 3 THEN 'REPORT|:5' WHEN 4 THEN 'PING' ELSE 'REPORT|MAX:' || event_id || '|COLA:+' || (event_id % 64) || '|TXT:a:b' END AS t FROM events),
+p AS (SELECT event_id, t, string_split(t, '|') AS parts FROM m), k AS (SELECT *, parts[2:] AS rest, list_transform(parts[2:], lambda x: split_part(x, ':', 1)) AS keys FROM p),
+g AS (SELECT *, regexp_full_match(parts[1], '[A-Z_]+') AND len(list_filter(rest, lambda x: NOT (instr(x, ':') > 1 AND regexp_full_match(split_part(x, ':', 1), '[A-Z_]+')))) = 0 AND len(list_distinct(keys)) = len(keys) AS ok FROM k),
+f AS (SELECT *, list_filter(rest, lambda x: split_part(x, ':', 1) = 'COLA')[1] AS cola, list_filter(rest, lambda x: split_part(x, ':', 1) = 'TXT')[1] AS txt FROM g)"""
+
+
+@query(f"WITH {MSG_SQL} SELECT event_id, CASE WHEN ok THEN parts[1] END AS cmd, CASE WHEN ok THEN len(rest) END::INT AS n_fields, CASE WHEN NOT ok THEN 400 END::INT AS error, CASE WHEN ok AND TRY_CAST(substr(cola, 6) AS BIGINT) BETWEEN 0 AND 50 THEN TRY_CAST(substr(cola, 6) AS BIGINT) END AS cola, CASE WHEN ok THEN substr(txt, 5) END AS txt FROM f")
+def message_parse(spark, sf):
+    i = F.col("event_id")
+    made = F.concat(F.lit("REPORT|MAX:"), i.cast("string"), F.lit("|COLA:+"), (i % 64).cast("string"), F.lit("|TXT:a:b"))
+    text = F.when(i % 7 == 0, "report|MAX:1").when(i % 7 == 1, "REPORT|MAX").when(i % 7 == 2, "REPORT|MAX:1|MAX:2").when(i % 7 == 3, "REPORT|:5").when(i % 7 == 4, "PING").otherwise(made)
+    m = X.table(spark, sf, "events").select(i, M.parse_message(text).alias("m"))
+    return m.select("event_id", "m.cmd", F.when(F.col("m.fields").isNotNull(), F.size("m.fields")).alias("n_fields"), "m.error", M.int_field(F.col("m.fields"), "COLA", 0, 50).alias("cola"), F.try_element_at("m.fields", F.lit("TXT")).alias("txt"))
+
+
+@query("""WITH c AS (SELECT event_type, user_id % 40 AS img, (event_id % 101)::INT AS progress FROM events), o AS (SELECT event_type, 'img' || img AS id, max(progress) AS p FROM c GROUP BY 1, 2)
+SELECT event_type, string_agg(id || ',' || CASE WHEN p >= 100 THEN 'READY' ELSE 'PROCESSING' END || ',' || p, ';' ORDER BY id) AS list FROM o GROUP BY 1""")
+def list_codec(spark, sf):
+    c = X.table(spark, sf, "events").groupBy("event_type", F.concat(F.lit("img"), (F.col("user_id") % 40).cast("string")).alias("id")).agg(F.max(F.col("event_id") % 101).alias("p"))
+    one = M.encode_list("id", F.when(F.col("p") >= 100, "READY").otherwise("PROCESSING"), "p")
+    rows = c.groupBy("event_type").agg(F.array_sort(F.collect_list(F.struct("id", one.alias("t")))).alias("r"))
+    return rows.select("event_type", F.array_join(F.transform("r", lambda r: r["t"]), ";").alias("list"))
+
+
+@query("""WITH s AS (SELECT DISTINCT user_id % 60 AS i FROM events), g AS (SELECT user_id % 90 AS i, (max(event_id) % 100)::INT AS p FROM events WHERE event_type = 'error' GROUP BY 1)
+SELECT coalesce(s.i, g.i)::VARCHAR AS id, CASE WHEN g.i IS NULL THEN 'READY' ELSE 'PROCESSING' END AS state, coalesce(g.p, 100)::INT AS progress FROM s FULL JOIN g ON s.i = g.i""")
+def catalog_list(spark, sf):
+    e = X.table(spark, sf, "events")
+    stored = e.select((F.col("user_id") % 60).cast("string").alias("id")).distinct()
+    busy = e.where("event_type = 'error'").groupBy((F.col("user_id") % 90).cast("string").alias("id")).agg((F.max("event_id") % 100).cast("int").alias("progress")).withColumn("state", F.lit("PROCESSING"))
+    return tile_store.catalog(stored, busy)
+
+
+@query("""WITH a AS (SELECT event_type || '/' || (user_id % 20) AS path, ts, event_id FROM events), l AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 1800000000 THEN 0 ELSE 1 END AS brk FROM a WINDOW w AS (PARTITION BY path ORDER BY ts)),
+i AS (SELECT *, sum(brk) OVER (PARTITION BY path ORDER BY ts ROWS UNBOUNDED PRECEDING) AS isle FROM l)
+SELECT path, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_events FROM i GROUP BY path, isle""")
+def ingest_quiet_period(spark, sf):
+    e = X.table(spark, sf, "events").select(F.concat(F.col("event_type"), F.lit("/"), (F.col("user_id") % 20).cast("string")).alias("path"), "ts")
+    return ingest.quiet_periods(e, 1800).drop("isle")
+
+
+@query("""WITH f AS (SELECT DISTINCT user_id AS path, event_id % 5 AS size, event_id % 3 AS mtime FROM events), s AS (SELECT DISTINCT user_id AS path, event_id % 5 AS size, event_id % 3 AS mtime FROM events WHERE event_type = 'error')
+SELECT f.* FROM f ANTI JOIN s ON f.path = s.path AND f.size = s.size AND f.mtime = s.mtime""")
+def fingerprint_new(spark, sf):
+    cols = [F.col("user_id").alias("path"), (F.col("event_id") % 5).alias("size"), (F.col("event_id") % 3).alias("mtime")]
+    e = X.table(spark, sf, "events")
+    return ingest.unseen(e.select(*cols).distinct(), e.where("event_type = 'error'").select(*cols).distinct())
+
+
+@query()
+def session_states(spark, sf):
+    cmds = F.array(*[F.lit(c) for c in ("HELLO", "LIST", "OPEN", "VIEWPORT", "REPORT", "BLOOM", "RESUME", "NOPE")])
+    e = X.events(spark, sf)
+    return ingest.session_states(e.select("session", F.col("n").alias("ord"), F.when(F.col("n") == 1, "HELLO").otherwise(F.element_at(cmds, (F.col("event_id") % 8 + 1).cast("int"))).alias("cmd")))
+
+
+@query("""SELECT doc_id, '0201' || lpad(hex(doc_id), 8, '0') || lpad(hex(doc_id + 1), 8, '0') || '07' || lpad(hex(doc_id % 64), 8, '0') || lpad(hex(doc_id // 64), 8, '0') || '02' || lpad(hex(strlen(coalesce(text, ''))), 8, '0') AS head, true AS same FROM documents""")
+def frame_header(spark, sf):
+    t = X.tiles(spark, sf)
+    t = t.withColumn("frame", M.tile_frame("doc_id", F.col("doc_id") + 1, "z", "x", "y", F.lit(2), "payload")).withColumn("f", M.read_tile_frame("frame"))
+    same = (F.col("f.data") == F.col("payload")) & (F.col("f.seq") == F.col("doc_id")) & (F.col("f.x") == F.col("x")) & (F.col("f.crc") == F.crc32("payload"))
+    return t.select("doc_id", F.hex(F.substr("frame", F.lit(1), F.lit(24))).alias("head"), same.alias("same"))
+
+
+@query()
+def tile_crc(spark, sf):
+    return X.tiles(spark, sf).select("z", "x", "y", F.crc32("payload").alias("crc"))
+
+
+ANC_SQL = """t AS (SELECT DISTINCT user_id AS session, 5 AS z, event_id * 7 % 23 AS x, event_id * 11 % 23 AS y FROM events WHERE event_id % 2 = 0),
+c AS (SELECT DISTINCT user_id AS session, event_id % 5 AS z, (event_id * 7 % 23) >> (5 - event_id % 5)::INT AS x, (event_id * 11 % 23) >> (5 - event_id % 5)::INT AS y FROM events WHERE event_id % 3 = 0),
+h AS (SELECT t.session, t.z, t.x, t.y, c.z AS az, c.x AS ax, c.y AS ay, row_number() OVER (PARTITION BY t.session, t.z, t.x, t.y ORDER BY c.z DESC) AS rk FROM t JOIN c ON t.session = c.session AND c.z < t.z AND c.x = t.x >> (t.z - c.z)::INT AND c.y = t.y >> (t.z - c.z)::INT)"""
+
+
+@query(f"WITH {ANC_SQL} SELECT t.session, t.z::INT AS z, t.x, t.y, az::INT AS az, ax, ay FROM t LEFT JOIN (SELECT * FROM h WHERE rk = 1) h ON t.session = h.session AND t.x = h.x AND t.y = h.y")
+def nearest_ancestor(spark, sf):
+    e = X.table(spark, sf, "events")
+    i = F.col("event_id")
+    s = F.col("user_id").alias("session")
+    t = e.where("event_id % 2 = 0").select(s, F.lit(5).alias("z"), (i * 7 % 23).alias("x"), (i * 11 % 23).alias("y")).distinct()
+    c = e.where("event_id % 3 = 0").select(s, (i % 5).cast("int").alias("z"), F.expr("shiftright(event_id * 7 % 23, int(5 - event_id % 5))").alias("x"), F.expr("shiftright(event_id * 11 % 23, int(5 - event_id % 5))").alias("y")).distinct()
+    return viewport.nearest_ancestor(t, c, 5)
+
+
+@query("SELECT k::INT AS z, ((doc_id % 64) >> (7 - k)::INT)::BIGINT AS x, ((doc_id // 64) >> (7 - k)::INT)::BIGINT AS y, count(*) AS n, sum(strlen(coalesce(text, '')))::BIGINT AS bytes FROM documents, range(8) t(k) GROUP BY 1, 2, 3")
+def quadtree_rollup(spark, sf):
+    t = X.tiles(spark, sf).select(F.col("x"), F.col("y"), F.length("payload").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
+    return t.groupBy(F.col("k").alias("z"), F.expr("shiftright(x, 7 - k)").alias("x"), F.expr("shiftright(y, 7 - k)").alias("y")).agg(F.count("*").alias("n"), F.sum("b").alias("bytes"))
+
+
+RECV_SQL = f"""{X.EVENTS_SQL}, f AS (SELECT session, n, CASE WHEN event_id % 13 = 0 THEN 'version' WHEN event_id % 11 = 0 THEN 'length' WHEN event_id % 7 = 0 THEN 'stale' WHEN event_id % 5 = 0 THEN 'crc' ELSE 'ok' END AS verdict, 28 + floor(value * 100)::BIGINT AS bytes FROM ev)"""
+
+
+@query(f"WITH {RECV_SQL} SELECT session, count(*) AS frames, count(*) FILTER (WHERE verdict = 'ok') AS tiles, count(*) FILTER (WHERE verdict = 'crc') AS bad_crc, count(*) FILTER (WHERE verdict IN ('version', 'length', 'stale')) AS dropped, sum(bytes)::BIGINT AS bytes, 100.0::DOUBLE * sum(bytes) / (5775 * 5775 * 3) AS pct_of_original FROM f GROUP BY 1")
+def transfer_summary(spark, sf):
+    i = F.col("event_id")
+    f = X.events(spark, sf).select("session", F.when(i % 13 == 0, "version").when(i % 11 == 0, "length").when(i % 7 == 0, "stale").when(i % 5 == 0, "crc").otherwise("ok").alias("verdict"), (28 + F.floor(F.col("value") * 100)).alias("bytes"))
+    v = F.col("verdict")
+    g = f.groupBy("session").agg(F.count("*").alias("frames"), F.count_if(v == "ok").alias("tiles"), F.count_if(v == "crc").alias("bad_crc"), F.count_if(v.isin("version", "length", "stale")).alias("dropped"), F.sum("bytes").alias("bytes"))
+    return g.withColumn("pct_of_original", F.lit(100.0) * F.col("bytes") / (5775 * 5775 * 3))
+
+
+@query("SELECT event_id, (event_id // 3600) || ':' || lpad((event_id % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((event_id % 60)::VARCHAR, 2, '0') AS took, value / (event_id % 10 + 1) * (20 - event_id % 10 - 1) AS eta_s, least(99, 100 * (event_id % 30) // 29)::INT AS progress, least(30.0::DOUBLE, pow(2.0::DOUBLE, event_id % 8)) AS backoff, (4294967290 + event_id % 10 + 1) & 4294967295 AS next_seed FROM events")
+def scalar_codecs(spark, sf):
+    i = F.col("event_id")
+    line = F.concat(F.lit("Franja "), (i % 30).cast("string"), F.lit("/29"))
+    return X.table(spark, sf, "events").select("event_id", M.duration("event_id").alias("took"), M.eta("value", i % 10, F.lit(20)).alias("eta_s"), M.progress_of(line).alias("progress"), M.backoff_s(i % 8).alias("backoff"), H.rotate_seed(F.lit(4294967290) + i % 10).alias("next_seed"))
+
+
+@query("""WITH p AS (SELECT event_id, (event_id * 7 % 256)::INT AS a, (event_id * 13 % 256)::INT AS b, (event_id * 29 % 256)::INT AS c FROM events)
+SELECT event_id, CASE WHEN abs(b - c) <= abs(a - c) AND abs(b - c) <= abs(a + b - 2 * c) THEN a WHEN abs(a - c) <= abs(a + b - 2 * c) THEN b ELSE c END AS paeth FROM p""")
+def paeth_predictor(spark, sf):
+    i = F.col("event_id")
+    byte = lambda k: (i * k % 256).cast("int")
+    return X.table(spark, sf, "events").select("event_id", G.paeth(byte(7), byte(13), byte(29)).alias("paeth"))
