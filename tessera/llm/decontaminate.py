@@ -29,6 +29,8 @@ Q = 8
 RATE = 0.08
 LONG, SEGMENT, STRIDE = 160, 120, 60
 BLOCK_ITEMS = 20_000
+#: Bytes of text searched at once; the hits of a chunk are the largest thing a worker holds.
+CHUNK = 1 << 18
 
 _W = (mix(np.arange(1, Q + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint64)
 
@@ -116,60 +118,66 @@ def banded(pattern: np.ndarray, text: np.ndarray, budget: int) -> int:
 
 def _search(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low_need = int(index.need.min()) if len(index.need) else 0
         for batch in batches:
             doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            rows = []
-            for a, _, buf, off in chunks(batch.column("text")):
-                if not len(index.keys):
-                    continue
-                cps, off = decode(buf, off)
-                stream, off, src = folded(cps, off, "alnum")
-                pos, seg, at = index.hits(stream)
-                if len(pos) < low_need:
-                    continue
-                owner = np.searchsorted(off, pos, side="right") - 1
-                inside = pos + Q <= off[owner + 1]
-                pos, seg, at, owner = pos[inside], seg[inside], at[inside], owner[inside]
-                width = index.budget[seg] + 1
-                diag = pos - at - off[owner] + (index.length[seg] + 2)  # not negative
-                for shift in (0, 1):  # overlapping bands: each hit counts in two
-                    band = diag // width - shift
-                    order = np.lexsort((at, band, seg, owner))
-                    o, s, b, t = owner[order], seg[order], band[order], at[order]
-                    new = np.ones(len(o), bool)
-                    new[1:] = (o[1:] != o[:-1]) | (s[1:] != s[:-1]) | (b[1:] != b[:-1])
-                    fresh = new.copy()
-                    fresh[1:] |= t[1:] != t[:-1]
-                    first = np.flatnonzero(new)
-                    rows.append((a, off, stream, src, o[first], s[first], b[first], np.add.reduceat(fresh.astype(np.int64), first) if len(first) else first, shift))
-            yield from _verified(index, doc, rows)
+            for a, b, buf, off in chunks(batch.column("text"), CHUNK):
+                if len(index.keys):
+                    yield from _regions(index, doc[a:b], buf, off)
 
     return run
 
 
-def _verified(index: Index, doc: np.ndarray, rows: list) -> Iterator[pa.RecordBatch]:
+def _regions(index: Index, doc: np.ndarray, buf: np.ndarray, off: np.ndarray) -> Iterator[pa.RecordBatch]:
+    cps, off = decode(buf, off)
+    stream, off, src = folded(cps, off, "alnum")
+    pos, seg, at = index.hits(stream)
+    owner = np.searchsorted(off, pos, side="right") - 1
+    keep = pos + Q <= off[owner + 1]
+    # a segment with fewer hits in the whole document than one region needs is out
+    pair = owner * len(index.item) + seg
+    keep &= np.bincount(pair[keep], minlength=len(doc) * len(index.item))[pair] >= index.need[seg]
+    pos, seg, at, owner, pair = pos[keep], seg[keep], at[keep], owner[keep], pair[keep]
+    if not len(pos):
+        return
+    width = index.budget[seg] + 1
+    half = (pos - at - off[owner] + index.length[seg] + 2) // width  # half-bands, numbered from 0
+    order = np.lexsort((at, half, pair))
+    p, h, t = pair[order], half[order], at[order]
+    new = np.ones(len(p), bool)
+    new[1:] = (p[1:] != p[:-1]) | (h[1:] != h[:-1])
+    fresh = new.copy()
+    fresh[1:] |= t[1:] != t[:-1]
+    first = np.flatnonzero(new)
+    count = np.add.reduceat(fresh.astype(np.int64), first)
+    p, h = p[first], h[first]
+    # band b is half-bands b and b + 1, so neighbouring bands overlap by one
+    after = np.zeros(len(p), np.int64)
+    joined = (p[1:] == p[:-1]) & (h[1:] == h[:-1] + 1)
+    after[:-1][joined] = count[1:][joined]
+    alone = np.ones(len(p), bool)  # the band that ends with this half-band, where no half-band precedes it
+    alone[1:] = ~joined
+    found = [(int(x), int(y)) for x, y, c in zip(p, h, count + after, strict=True) if c >= index.need[x % len(index.item)]]
+    found += [(int(x), int(y) - 1) for x, y, c in zip(p[alone], h[alone], count[alone], strict=True) if c >= index.need[x % len(index.item)]]
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    by_band: dict[tuple, list] = {}
-    for a, off, stream, src, owner, seg, band, n, _ in rows:
-        for o, s, b, c in zip(owner.tolist(), seg.tolist(), band.tolist(), n.tolist(), strict=True):
-            by_band.setdefault((a, o, s, b), [0, off, stream, src])[0] += c
-    for (a, o, s, b), (c, off, stream, src) in by_band.items():
-        if c < index.need[s]:
-            continue
-        key, e, length = (a + o, index.item[s]), int(index.budget[s]), int(index.length[s])
+    for x, b in found:
+        o, s = divmod(x, len(index.item))
+        e, length, key = int(index.budget[s]), int(index.length[s]), (o, index.item[s])
         if best.get(key, (e + 1,))[0] == 0:
             continue
-        lo = off[o] + b * (e + 1) - (length + 2)
-        lo, hi = max(int(lo), int(off[o])), min(int(lo + 2 * (e + 1) + length + e), int(off[o + 1]))
-        edits = banded(index.text[s], stream[lo:hi], e)
+        lo = int(off[o]) + b * (e + 1) - (length + 2)
+        hi = min(lo + 2 * (e + 1) + length + e, int(off[o + 1]))
+        lo = max(lo, int(off[o]))
+        region = stream[lo:hi]
+        exact = region.tobytes().find(index.text[s].tobytes()) % 4 == 0  # -1 is no find; only whole characters count
+        edits = 0 if exact else banded(index.text[s], region, e)
         if edits <= e and edits < best.get(key, (e + 1,))[0]:
             best[key] = (edits, int(src[lo] - src[off[o]]), int(src[hi - 1] - src[off[o]]))
     keys = sorted(best)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([int(doc[k[0]]) for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), *(pa.array([best[k][i] for k in keys], pa.int64()) for i in range(3))],
-        ["doc_id", "item_id", "edits", "region_start", "region_end"],
-    )
+    if keys:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([int(doc[k[0]]) for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), *(pa.array([best[k][i] for k in keys], pa.int64()) for i in range(3))],
+            ["doc_id", "item_id", "edits", "region_start", "region_end"],
+        )
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

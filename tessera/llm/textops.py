@@ -66,12 +66,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) for runs of rows of about CHUNK_BYTES."""
+def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) for runs of rows of about ``size`` bytes."""
     buf, off = buffers(column)
     row, n = 0, len(off) - 1
     while row < n:
-        end = int(np.searchsorted(off, off[row] + CHUNK_BYTES, side="right")) - 1
+        end = int(np.searchsorted(off, off[row] + size, side="right")) - 1
         end = min(max(end, row + 1), n)
         yield row, end, buf[off[row] : off[end]], off[row : end + 1] - off[row]
         row = end
