@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,15 +132,15 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _merge(table: pa.Table) -> pa.Table:
     """The best K of all lists of each vector in one bucket."""
-    n = np.array([len(x) for x in table.column("nbr").to_pylist()])
-    rep = np.repeat(table.column("rep").to_numpy(), n)
-    nbr = np.concatenate([np.array(x, np.int64) for x in table.column("nbr").to_pylist()])
-    sim = np.concatenate([np.array(x) for x in table.column("sim").to_pylist()])
-    order = np.lexsort((nbr, -sim, rep))
+    lists, values = (table.column(c).combine_chunks() for c in ("nbr", "sim"))
+    rep = np.repeat(table.column("rep").to_numpy(), pc.list_value_length(lists).to_numpy())
+    nbr, sim = lists.flatten().to_numpy(), values.flatten().to_numpy()
+    order = np.lexsort((-sim, nbr, rep))
     rep, nbr, sim = rep[order], nbr[order], sim[order]
-    _, first = np.unique(np.stack((rep, nbr)), axis=1, return_index=True)
-    keep = np.sort(first)
+    keep = np.concatenate(([True], (rep[1:] != rep[:-1]) | (nbr[1:] != nbr[:-1])))
     rep, nbr, sim = rep[keep], nbr[keep], sim[keep]
+    order = np.lexsort((nbr, -sim, rep))
+    rep, nbr, sim = rep[order], nbr[order], sim[order]
     begin = np.flatnonzero(np.concatenate(([True], rep[1:] != rep[:-1])))
     rank = np.arange(len(rep)) - np.repeat(begin, np.diff(np.append(begin, len(rep))))
     keep = rank < K
