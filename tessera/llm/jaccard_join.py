@@ -15,14 +15,19 @@ Every candidate is verified by exact set intersection. Rows stay linear in the s
 * a signature group is first linked as a star to its smallest member; components of the verified
   star edges then show which groups still span several components, and only those are looked
   at again, across components;
-* a group of more than ``HOT`` members that still spans components (a passage that many documents
-  share) is dropped for documents with other signatures enough to be found by, as its share of
-  theirs is under ``HOT_SHARE``; members above that share are compared across components. Before a pair of
-  different components is emitted, the one-permutation sketches of both are compared, and a pair whose
-  sketches agree in fewer bins than ``SIGMAS`` deviations under what a link gives is no candidate.
+* a group of at most ``HOT`` members that still spans components is compared across them;
+* members of a larger one (a passage that many documents share) are looked at again by their rarest
+  shingles: two linked documents share one of the first ``n - ceil(3n/4) + 1`` shingles of each in
+  order of frequency, so documents that have that many to themselves need no comparison at all, and
+  the passage itself is reached only in documents that are hardly more than it. This step is exact.
+  Groups over ``TILE`` members are compared tile by tile, in as many tasks;
+* before a pair of different components is emitted, the one-permutation sketches of both are compared.
+  The bins are a sample without replacement of the union, so Serfling's inequality gives the least
+  agreement that a link shows but for a probability under ``MISS``; pairs under it are no candidates.
 
 Null, empty and blank texts have the empty set and link with nothing. Repeated rows of one doc_id
-count as one document with the first text in order. Extra columns are ignored.
+count as one document with the first non-null text in order; rows without doc_id are no documents.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,9 +46,10 @@ from tessera.llm.textops import chunks, mix, shingle_sets, split_by_bucket
 MISS = 1e-10
 BAND_RATIO = 1.5
 HOT = 64
-HOT_SHARE = 0.1
+TILE = 2048
 BINS = 128
-SIGMAS = 5.0
+#: Copies of a shingle's frequency, so that a frequent one is not joined in a single task.
+SALTS = 16
 #: Document ids that may be broadcast when texts of candidates are read again (16 MB of longs).
 BROADCAST_IDS = 2_000_000
 
@@ -111,10 +117,6 @@ def signatures(features: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def n_signatures(size: int) -> int:
-    return sum(3 * n1 * reps for _, _, _, n1, reps in bands_of(size))
-
-
 def sketch(features: np.ndarray) -> bytes:
     """One-permutation sketch of a sorted set: a byte of the least hash in each bin, 0 for an empty bin."""
     out = np.zeros(BINS, np.uint8)
@@ -211,6 +213,14 @@ def _emit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([s.tobytes() for s in shingle_sets(buf, off)], pa.binary())], ["doc_id", "feats"])
 
 
+def _emit_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        for a, b, buf, off in chunks(batch.column("text")):
+            sets = shingle_sets(buf, off)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(doc[a:b], [len(s) for s in sets])), pa.array(np.concatenate(sets).view(np.int64))], ["doc", "feat"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -239,6 +249,27 @@ def _links(pairs: DataFrame, reps: DataFrame, sizes: DataFrame, work: Workspace,
     return found
 
 
+def least_agreement(n: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bins of ``n`` filled ones in which linked sets of ``sizes`` features together agree, but for ``MISS``."""
+    union = np.maximum(n, sizes / 1.75)
+    left = 1 - (n - 1) / np.maximum(union, 1)
+    return 0.75 * n - np.sqrt(left * n * -math.log(MISS) / 2)
+
+
+def _by_rarest(suspects: DataFrame, reps: DataFrame, work: Workspace) -> DataFrame:
+    """(gid, doc): documents of ``suspects`` (doc, n_shingles) by each of their rarest shingles that others have too."""
+    ids = suspects.select(F.col("doc").alias("doc_id"))
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    feats = work.write(reps.join(ids, "doc_id", "left_semi").mapInArrow(_emit_features, "doc long, feat long"), "feats")
+    df = feats.groupBy("feat").agg(F.count("*").alias("df")).where("df > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    common = feats.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(df, ["feat", "salt"])
+    common = common.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "feat"))).alias("common")).join(suspects, "doc")
+    # shingles of one document only come first in the order; what they leave of the prefix is taken here
+    take = (F.size("common") + 1 - F.ceil(F.col("n_shingles") * 3 / 4)).cast("int")
+    return common.where(take > 0).select(F.explode(F.slice("common", F.lit(1), take)).alias("f"), "doc").select(F.col("f.feat").alias("gid"), "doc")
+
+
 def _across(table: pa.Table) -> pa.Table:
     """Pairs of one group's members, in different components, whose sizes and sketches allow a link."""
     gid, doc, comp, size = (table.column(c).to_numpy() for c in ("gid", "doc", "component", "n_shingles"))
@@ -257,7 +288,7 @@ def _across(table: pa.Table) -> pa.Table:
             some = (sk[j] != 0) | (sk[i] != 0)
             n = some.sum(1)
             same = ((sk[j] == sk[i]) & some).sum(1)
-            other = doc[j[same >= 0.75 * n - SIGMAS * np.sqrt(0.1875 * n)]]
+            other = doc[j[same >= least_agreement(n, size[i] + size[j])]]
             a.append(np.minimum(other, doc[i]))
             b.append(np.maximum(other, doc[i]))
     pairs = np.unique(np.stack((np.concatenate(a), np.concatenate(b))), axis=1)
@@ -273,8 +304,16 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     spark = prepare(docs.sparkSession)
     work = Workspace(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    sized = docs.mapInArrow(_sizes, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary")
-    sized = work.write(sized.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "h1", "h2", "sketch")).alias("s")).select("doc_id", "s.*"), "sizes")
+
+    def size_up(docs: DataFrame, name: str) -> DataFrame:
+        found = docs.mapInArrow(_sizes, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary")
+        return work.write(found.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "h1", "h2", "sketch")).alias("s"), F.count("*").alias("n_rows")).select("doc_id", "s.*", "n_rows"), name)
+
+    sized = size_up(docs, "sizes")
+    if not sized.where("n_rows > 1").isEmpty():
+        docs = work.write(docs.groupBy("doc_id").agg(F.min("text").alias("text")), "once")
+        sized = size_up(docs, "sizes-once")
+    sized = sized.drop("n_rows")
     classes = work.write(sized.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "classes")
     copies = sized.where("n_shingles > 0").join(classes.where("n_copies > 1"), ["n_shingles", "h1", "h2"]).where("doc_id <> rep")
     # later copies leave before signatures are made; their number decides how
@@ -292,14 +331,21 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     wide = wide.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     mixed = wide.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gid")
     wide = work.write(wide.join(mixed, "gid", "left_semi").join(sized.select(F.col("doc_id").alias("doc"), "n_shingles", "sketch"), "doc"), "mixed")
-    count = F.pandas_udf(lambda x: x.map(n_signatures), "long")
-    often = wide.where(F.col("n") > HOT).groupBy("doc", "n_shingles").agg(F.count("*").alias("hot")).where(F.col("hot") > HOT_SHARE * count("n_shingles")).select("doc")
-    rest = wide.where(F.col("n") <= HOT).unionByName(wide.where(F.col("n") > HOT).join(often, "doc", "left_semi"))
+    suspects = work.write(wide.where(F.col("n") > HOT).select("doc", "component", "n_shingles", "sketch").dropDuplicates(["doc"]), "suspects")
+    near = work.write(_by_rarest(suspects.select("doc", "n_shingles"), reps, work).join(suspects.select("doc", "component"), "doc"), "near")
+    again = near.groupBy("gid").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gid", "n")
+    # a large group's members are dealt to blocks, and each goes to every pair of blocks that its own is in
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    own, other = F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int"), F.col("other")
+    tiled = near.drop("component").join(again, "gid").withColumn("tiles", tiles).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiled = tiled.select(F.xxhash64("gid", F.least(own, other), F.greatest(own, other)).alias("gid"), "doc").join(suspects, "doc")
+    columns = ["gid", "doc", "component", "n_shingles", "sketch"]
+    rest = wide.where(F.col("n") <= HOT).select(columns).unionByName(tiled.select(columns))
     rest = rest.withColumn("bucket", F.pmod(F.xxhash64("gid"), F.lit(4 * n)).cast("int"))
     more = rest.groupBy("bucket").applyInArrow(_across, "a long, b long").distinct().join(links, ["a", "b"], "left_anti")
     more = _links(more, reps, sized, work, "rest")
     comp = work.write(components(links.unionByName(more), work, "cc2"), "final")
-    work.drop("groups", "comp", "mixed")
+    work.drop("groups", "comp", "mixed", "suspects", "feats", "near")
     # the smallest doc_id of a component: the smallest over its classes' representatives
     found = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     found = sized.drop("sketch").join(found, ["n_shingles", "h1", "h2"], "left")

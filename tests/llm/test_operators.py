@@ -43,14 +43,14 @@ def corpus():
     return out
 
 
-def test_jaccard_join(spark, corpus):
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(docs_of(spark, corpus)).collect()}
+def linked(rows):
+    """Set size and component of each document, by brute force over all pairs."""
 
     def shingles(t):
         w = words(t)
         return frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[i : i + 5]) for i in range(len(w) - 4)])
 
-    sets = {i: shingles(t) for i, t in corpus}
+    sets = {i: shingles(t) for i, t in rows}
     root = {i: i for i in sets}
 
     def find(x):
@@ -65,7 +65,40 @@ def test_jaccard_join(spark, corpus):
             if both and 100 * both >= 75 * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
-    assert got == {i: (len(sets[i]), find(i)) for i in ids}
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def joined(spark, rows):
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(docs_of(spark, rows)).collect()}
+
+
+def test_jaccard_join(spark, corpus):
+    assert joined(spark, corpus) == linked(corpus)
+
+
+@pytest.mark.parametrize("shared", [40, 150, 400])
+def test_jaccard_join_on_a_passage_that_many_documents_share(spark, monkeypatch, shared):
+    monkeypatch.setattr(jaccard_join, "TILE", 32)
+    rng = np.random.default_rng(shared)
+    passage = prose(rng, shared, 10_000)
+    rows = [(i, passage + " " + prose(rng, 120, 10_000)) for i in range(150)]
+    for i in range(0, 60, 2):  # near copies about the threshold, with changes at the end or scattered
+        w = rows[i][1].split()
+        for at in range(0, i // 2):
+            w[-1 - at if i % 4 else at * len(w) // 30] = f"x{at}"
+        rows.append((200 + i, " ".join(w)))
+    got = linked(rows)
+    assert len({c for _, c in got.values()}) > (100 if shared < 400 else 0)
+    assert joined(spark, rows) == got
+
+
+def test_jaccard_join_on_repeated_ids(spark):
+    rng = np.random.default_rng(5)
+    one, two = prose(rng, 40), prose(rng, 60)
+    least = min(one, two)
+    got = joined(spark, [(1, one), (1, two), (1, None), (2, least), (3, max(one, two))])
+    n = linked([(1, least), (3, max(one, two))])
+    assert got == {1: n[1], 2: n[1], 3: n[3]}
 
 
 @pytest.mark.parametrize("k", [1, 2, 7, 40])
