@@ -47,7 +47,7 @@ MISS = 1e-10
 BAND_RATIO = 1.5
 HOT = 64
 TILE = 2048
-BINS = 128
+BINS = 512
 #: Copies of a shingle's frequency, so that a frequent one is not joined in a single task.
 SALTS = 16
 #: Document ids that may be broadcast when texts of candidates are read again (16 MB of longs).
@@ -120,7 +120,7 @@ def signatures(features: np.ndarray) -> np.ndarray:
 def sketch(features: np.ndarray) -> bytes:
     """One-permutation sketch of a sorted set: a byte of the least hash in each bin, 0 for an empty bin."""
     out = np.zeros(BINS, np.uint8)
-    bins, first = np.unique((features >> np.uint64(57)).astype(np.int64), return_index=True)
+    bins, first = np.unique((features >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), return_index=True)
     out[bins] = (features[first] % np.uint64(255)).astype(np.uint8) + 1
     return out.tobytes()
 
@@ -333,7 +333,8 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     wide = work.write(wide.join(mixed, "gid", "left_semi").join(sized.select(F.col("doc_id").alias("doc"), "n_shingles", "sketch"), "doc"), "mixed")
     suspects = work.write(wide.where(F.col("n") > HOT).select("doc", "component", "n_shingles", "sketch").dropDuplicates(["doc"]), "suspects")
     near = work.write(_by_rarest(suspects.select("doc", "n_shingles"), reps, work).join(suspects.select("doc", "component"), "doc"), "near")
-    again = near.groupBy("gid").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gid", "n")
+    again = near.groupBy("gid").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y"))
+    again = again.where("lo < hi").groupBy("n", "x", "y").agg(F.min("gid").alias("gid"))  # shingles with the same documents count once
     # a large group's members are dealt to blocks, and each goes to every pair of blocks that its own is in
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     own, other = F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int"), F.col("other")
