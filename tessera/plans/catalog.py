@@ -253,25 +253,46 @@ def cancel_queue(spark, sf):
 MEMBERS_SQL = "mem AS (SELECT doc_id // 4 AS grp, doc_id % 4 AS m, encode(coalesce(text, '')) AS payload, hex(encode(coalesce(text, ''))) AS hx FROM documents WHERE doc_id < 64)"
 
 
+def _all_members(spark, sf):
+    return X.tiles(spark, sf).select(F.floor(F.col("doc_id") / 4).cast("long").alias("grp"), (F.col("doc_id") % 4).alias("m"), "payload", "doc_id")
+
+
 def _members(spark, sf):
-    # a parity group set protects 16 tiles: four views' worth of tiles here
-    return X.tiles(spark, sf).where("doc_id < 64").select(F.floor(F.col("doc_id") / 4).cast("long").alias("grp"), (F.col("doc_id") % 4).alias("m"), "payload")
+    # the subset of MEMBERS_SQL; the queries named _all take every document
+    return _all_members(spark, sf).where("doc_id < 64").drop("doc_id")
+
+
+def _parity(members: DataFrame) -> DataFrame:
+    return viewport.parity_bytes(members, "grp").select("grp", F.length("parity").cast("long").alias("length"), F.md5(F.hex("parity")).alias("parity_md5"))
+
+
+def _reconstructed(members: DataFrame) -> DataFrame:
+    """Drops member 0 of each group and rebuilds it from the parity and the others."""
+    parity = viewport.parity_bytes(members, "grp").select("grp", F.col("parity").alias("payload"))
+    back = viewport.parity_bytes(members.where("m <> 0").select("grp", "payload").unionByName(parity), "grp")
+    lost = members.where("m = 0 and length(payload) > 0").select("grp", "payload")
+    return lost.join(back, "grp").select("grp", (F.substr("parity", F.lit(1), F.length("payload")) == F.col("payload")).alias("recovered"))
 
 
 @query(f"""WITH {MEMBERS_SQL}, b AS (SELECT grp, unnest(range(length(hx) // 2)) AS pos, hx FROM mem), x AS (SELECT grp, pos, bit_xor(('0x' || substr(hx, pos * 2 + 1, 2))::INT) AS v FROM b GROUP BY 1, 2)
 SELECT grp, count(*) AS length, md5(string_agg(lpad(hex(v), 2, '0'), '' ORDER BY pos)) AS parity_md5 FROM x GROUP BY grp""")
 def fec_parity(spark, sf):
-    return viewport.parity_bytes(_members(spark, sf), "grp").select("grp", F.length("parity").cast("long").alias("length"), F.md5(F.hex("parity")).alias("parity_md5"))
+    return _parity(_members(spark, sf))
+
+
+@query()
+def fec_parity_all(spark, sf):
+    return _parity(_all_members(spark, sf))
 
 
 @query(f"WITH {MEMBERS_SQL} SELECT grp, true AS recovered FROM mem WHERE m = 0 AND length(hx) > 0")
 def fec_reconstruct(spark, sf):
-    """Drops member 0 of each group and rebuilds it from the parity and the others."""
-    m = _members(spark, sf)
-    parity = viewport.parity_bytes(m, "grp").select("grp", F.col("parity").alias("payload"))
-    back = viewport.parity_bytes(m.where("m <> 0").select("grp", "payload").unionByName(parity), "grp")
-    lost = m.where("m = 0 and length(payload) > 0").select("grp", "payload")
-    return lost.join(back, "grp").select("grp", (F.substr("parity", F.lit(1), F.length("payload")) == F.col("payload")).alias("recovered"))
+    return _reconstructed(_members(spark, sf))
+
+
+@query()
+def fec_reconstruct_all(spark, sf):
+    return _reconstructed(_all_members(spark, sf))
 
 
 @query("""WITH g AS (SELECT doc_id // 4 AS grp, count(*) AS k, sum(strlen(coalesce(text, '')))::BIGINT AS data_bytes, max(strlen(coalesce(text, '')))::BIGINT AS longest FROM documents GROUP BY 1)
