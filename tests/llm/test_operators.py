@@ -253,6 +253,46 @@ def test_near_embeddings(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in range(900, 906))
 
 
+def near(spark, x):
+    """(n_links, component_id) of each row of x by the operator and by brute force."""
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x.astype(np.float32))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_embed.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    c = u @ u.T >= 0.9
+    np.fill_diagonal(c, False)
+    label = np.arange(len(x))
+    while True:
+        low = np.minimum(label, np.where(c, label[None, :], len(x)).min(1))
+        if (low == label).all():
+            return [got[i] for i in range(len(x))], [(int(k), int(v)) for k, v in zip(c.sum(1), label, strict=True)]
+        label = low
+
+
+def at_cosine(rng, v, c):
+    """A unit vector of cosine c with the unit vector v."""
+    w = rng.standard_normal(len(v))
+    w -= (w @ v) * v
+    return c * v + np.sqrt(1 - c * c) * w / np.linalg.norm(w)
+
+
+def few_orders(monkeypatch):
+    monkeypatch.setattr(near_embed, "ORDERS", 1)
+    monkeypatch.setattr(near_embed, "MORE_ORDERS", 0, raising=False)
+    monkeypatch.setattr(near_embed, "_orders", lambda n: 1, raising=False)
+
+
+def test_near_embeddings_finds_pairs_beside_a_hot_group(spark, monkeypatch):
+    few_orders(monkeypatch)
+    rng = np.random.default_rng(21)
+    x = rng.standard_normal((2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:700] = x[0]
+    x[1001:2000:2] = [at_cosine(rng, v, 0.91) for v in x[1000:2000:2]]
+    got, want = near(spark, x)
+    assert got == want
+
+
 def test_language_id(spark):
     rng = np.random.default_rng(3)
     parts = {"aa": ["ba", "da", "ka"], "bb": ["xi", "yi", "zo"]}
