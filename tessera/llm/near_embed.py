@@ -4,7 +4,10 @@ The neighbour graph starts from sorted orders: vectors lie in the order of a ran
 overlapping windows find each vector's nearest within the window. There are so many orders that a pair at the
 threshold misses every window with a probability of ``1 - RECALL`` at most, so their number grows with the table.
 Rounds of neighbours-of-neighbours joins then refine the graph until no more listed pairs link: at each vector meet
-its neighbours and the ``K`` best of those that list it, and all of that small set are compared with each other. Every compared pair of cosine >= ``THRESHOLD`` joins components at once. Links are then counted within components, without listing them.
+its neighbours and those that list it (in parts of ``K``, so none is left out), and all of that small set are compared
+with each other. Every compared pair of cosine >= ``THRESHOLD`` joins components at once. A vector whose list is
+saturated (its worst member is still above the threshold) may have further links that no list shows: it is
+compared with every other vector in tiles. Links are then counted within components, without listing them.
 
 A recall audit holds ``AUDIT`` vectors of large components and ``AUDIT`` of the others against all vectors, equal
 vectors counting once. While the mean recall of either group is under ``RECALL``, orders are added and windows
@@ -255,7 +258,7 @@ def near_embeddings(vectors: DataFrame) -> DataFrame:
     packed = work.write(packed.groupBy("vec_id").agg(F.min("v").alias("v")), "packed")
     reps = work.write(packed.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n_copies")), "reps")
     size = reps.count()
-    orders, links = _orders(size), []
+    orders, links, done = _orders(size), [], None
     lists: list[DataFrame] = []
     for attempt in range(ATTEMPTS + 1):
         if attempt == ATTEMPTS:
@@ -275,6 +278,11 @@ def near_embeddings(vectors: DataFrame) -> DataFrame:
                 links.append(new.select("a", "b"))
                 linked = _linked(graph)
             lists.append(graph.groupBy("rep").agg(F.collect_list("nbr").alias("nbr"), F.collect_list("sim").alias("sim")).select("rep", "nbr", "sim"))
+            full = graph.groupBy("rep").agg(F.count("*").alias("m"), F.min("sim").alias("worst")).where((F.col("m") >= K) & (F.col("worst") >= THRESHOLD)).select("rep")
+            full = work.write((full if done is None else full.join(done, "rep", "left_anti")).join(reps, "rep").select("rep", "v"), f"full-{attempt}")
+            if not full.isEmpty():
+                links.append(work.write(_exact(full, reps), f"exact-{attempt}"))
+                done = full.select("rep") if done is None else done.unionByName(full.select("rep"))
         comp = work.write(components(_all(links).where("a is not null").distinct(), work, f"cc-{attempt}"), f"comp-{attempt}")
         members = reps.join(comp.withColumnRenamed("node", "rep"), "rep")
         result = work.write(_counted(members, work, attempt), f"counted-{attempt}")
@@ -298,10 +306,9 @@ def _linked(graph: DataFrame) -> int:
 
 
 def _round(graph: DataFrame, reps: DataFrame, n: int) -> DataFrame:
-    """At each pivot meet itself, its list and the K best of those that list it."""
+    """At each pivot meet itself, its list and those that list it, K of the latter in each part of the pivot."""
     best = Window.partitionBy("nbr").orderBy(F.desc("sim"), "rep")
     back = graph.select(F.col("nbr").alias("pivot"), F.floor((F.row_number().over(best) - 1) / K).cast("int").alias("part"), "rep")
-    back = back.where("part = 0")
     parts = back.groupBy("pivot").agg(F.max("part").alias("last"))
     own = graph.select(F.col("rep").alias("pivot"), F.col("nbr").alias("rep")).unionByName(reps.select(F.col("rep").alias("pivot"), "rep"))
     own = own.join(parts, "pivot", "left").select("pivot", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))).alias("part"), "rep")

@@ -293,6 +293,18 @@ def test_near_embeddings_finds_pairs_beside_a_hot_group(spark, monkeypatch):
     assert got == want
 
 
+def test_near_embeddings_bridges_saturated_groups(spark, monkeypatch):
+    few_orders(monkeypatch)
+    monkeypatch.setattr(near_embed, "audit", lambda *a: 1.0)  # the lists alone, without further attempts
+    rng = np.random.default_rng(22)
+    x = rng.standard_normal((60, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[1::2] = [at_cosine(rng, v, 0.91) for v in x[::2]]
+    x = np.concatenate([x, *([at_cosine(rng, v, 0.985) for _ in range(24)] for v in x)])
+    got, want = near(spark, x)
+    assert got == want
+
+
 def test_language_id(spark):
     rng = np.random.default_rng(3)
     parts = {"aa": ["ba", "da", "ka"], "bb": ["xi", "yi", "zo"]}
