@@ -362,6 +362,23 @@ def bloom_fp_rate(spark, sf):
     return hit.groupBy("filter_session").agg(F.count("*").alias("probes"), F.count_if("hit").alias("positives"))
 
 
+@query()
+def bloom_fp_rate_all(spark, sf):
+    """Every session's filter of every seed against all (session, tile) probes of that seed.
+
+    A tile is probed once for all sessions that hold it, and meets only the filters that share a bit with it.
+    """
+    k = _keys(spark, sf).withColumn("positions", H.positions_of(F.col("h1"), F.col("h2")))
+    bits = k.select(F.col("session").alias("filter_session"), "sem", F.explode("positions").alias("bit")).distinct()
+    tile = ["sem", "z", "x", "y"]
+    probes = k.groupBy(*tile).agg(F.countDistinct("session").alias("weight"), F.array_distinct(F.first("positions")).alias("positions"))
+    probed = probes.select(*tile, "weight", F.size("positions").alias("want"), F.explode("positions").alias("bit"))
+    met = probed.join(bits, ["sem", "bit"]).groupBy("filter_session", *tile).agg(F.count("*").alias("found"), F.first("weight").alias("weight"), F.first("want").alias("want"))
+    positives = met.where("found = want").groupBy("filter_session", "sem").agg(F.sum("weight").alias("positives"))
+    # every filter holds its own tiles, so each has a positive
+    return positives.join(F.broadcast(probes.groupBy("sem").agg(F.sum("weight").alias("probes"))), "sem").select("filter_session", "sem", "probes", "positives")
+
+
 @query("SELECT n::BIGINT AS n, round(pow(1 - exp(-7 * n / 4096.0::DOUBLE), 7.0::DOUBLE), 9) AS rate FROM range(0, 1000, 50) t(n)")
 def bloom_theory(spark, sf):
     return spark.range(0, 1000, 50).select(F.col("id").alias("n"), F.round(H.false_positive_theory("id"), 9).alias("rate"))

@@ -189,6 +189,20 @@ def test_parity_covers_every_document(spark, tmp_path):
     assert back == {i // 4: True for i, t in texts.items() if i % 4 == 0 and t}
 
 
+def test_every_holdings_filter_is_measured(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(int(i), int(u)) for i, u in enumerate(rng.zipf(1.3, 3000) % 37)]
+    spark.createDataFrame(rows, "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    keys = {tuple(r) for r in catalog.QUERIES["bloom_positions"](spark, str(tmp_path)).groupBy("session", "sem", "z", "x", "y").agg(F.sort_array(F.collect_set("pos"))).collect() for r in [(*r[:5], tuple(r[5]))]}
+    held = {}
+    for session, sem, *_, pos in keys:
+        held.setdefault((session, sem), set()).update(pos)
+    want = {(s, m, sum(k[1] == m for k in keys), sum(k[1] == m and b.issuperset(k[5]) for k in keys)) for (s, m), b in held.items()}
+    got = catalog.QUERIES["bloom_fp_rate_all"](spark, str(tmp_path))
+    assert {tuple(r) for r in got.collect()} == want
+    assert {(r.filter_session, r.probes, r.positives) for r in got.where("sem = 0 and filter_session % 10 = 0").collect()} == {tuple(r) for r in catalog.QUERIES["bloom_fp_rate"](spark, str(tmp_path)).collect()}
+
+
 def test_streams(spark, tmp_path):
     from tessera.streaming import ingest
 
