@@ -1,8 +1,11 @@
 """Benchmark decontamination by the q-gram lemma and banded alignment.
 
 Texts and benchmark items are folded: letters and digits lower-cased, every other run one separator.
-An item longer than ``LONG`` folded characters is cut into overlapping segments of ``SEGMENT``, so a
-passage of an item is found as well as the whole. For a segment of length L the edit budget is
+An item of up to ``LONG`` folded characters is sought as a whole, a longer one in overlapping segments of
+``SEGMENT``. Besides, every item of ``SHORT`` or more is cut into segments of ``SHORT`` at steps of ``STEP``, so
+any verbatim passage of ``PASSAGE`` folded characters (some 13 words) holds a whole segment and is found; one
+with edits is found if a segment in it is within its budget. Shorter passages of an item, other than a whole
+short item, are not sought. For a segment of length L the edit budget is
 ``e = floor(RATE * L)``; a region within it shares at least ``L - q + 1 - q*e`` q-grams. Hits are counted
 in overlapping diagonal bands of width ``2(e+1)``, so every region within the budget lies wholly in one
 band; regions that meet the bound are verified by a banded alignment of the segment against the text.
@@ -28,9 +31,13 @@ from tessera.llm.textops import chunks, mix
 Q = 8
 RATE = 0.08
 LONG, SEGMENT, STRIDE = 160, 120, 60
+SHORT, STEP = 64, 16
+PASSAGE = SHORT + STEP - 1
 BLOCK_ITEMS = 20_000
 #: Bytes of text searched at once; the hits of a chunk are the largest thing a worker holds.
 CHUNK = 1 << 18
+#: Pairs of document and segment up to which hits are counted in a dense array.
+DENSE = 1 << 23
 
 _W = (mix(np.arange(1, Q + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint64)
 
@@ -53,43 +60,55 @@ def segments(stream: np.ndarray) -> list[tuple[int, int]]:
     if n < Q:
         return []
     if n <= LONG:
-        return [(0, n)]
-    starts = [*range(0, n - SEGMENT, STRIDE), n - SEGMENT]
-    return [(s, s + SEGMENT) for s in starts]
+        out = [(0, n)]
+    else:
+        out = [(s, s + SEGMENT) for s in (*range(0, n - SEGMENT, STRIDE), n - SEGMENT)]
+    if n > SHORT:
+        out += [(s, s + SHORT) for s in (*range(0, n - SHORT, STEP), n - SHORT)]
+    return out
 
 
 class Index:
     """q-gram index of one block of benchmark items."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.item, self.text, keys, seg, at = [], [], [], [], []
-        for item_id, text in items:
+        self.item, self.text, keys, of, place, seg, at, n = [], [], [], [], [], [], [], 0
+        for k, (item_id, text) in enumerate(items):
             raw = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
             cps, off = decode(raw, np.array([0, len(raw)]))
             stream, _, _ = folded(cps, off, "alnum")
             stream = stream[1:-1] if len(stream) > 2 and stream[-1] == 0 else stream[1:]
+            g = grams(stream)
+            keys.append(g)
+            of.append(np.full(len(g), k))
             for a, b in segments(stream):
-                part = stream[a:b]
-                g = grams(part)
-                keys.append(g)
-                seg.append(np.full(len(g), len(self.item)))
-                at.append(np.arange(len(g)))
+                m = b - a - Q + 1
+                place.append(n + np.arange(a, a + m))
+                seg.append(np.full(m, len(self.item)))
+                at.append(np.arange(m))
                 self.item.append(item_id)
-                self.text.append(part)
-        keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.first, self.count = np.unique(keys[order], return_index=True, return_counts=True)
-        self.seg = (np.concatenate(seg) if seg else np.zeros(0, np.int64)).astype(np.int64)[order]
-        self.at = (np.concatenate(at) if at else np.zeros(0, np.int64)).astype(np.int64)[order]
+                self.text.append(stream[a:b])
+            n += len(g)
+        join = lambda parts, kind: (np.concatenate(parts) if parts else np.zeros(0)).astype(kind)
+        keys, self.of, place = join(keys, np.uint64), join(of, np.int64), join(place, np.int64)
+        # the items' q-grams by hash, and the segments over each of them
+        self.place = np.argsort(keys, kind="stable")
+        self.keys, self.first, self.count = np.unique(keys[self.place], return_index=True, return_counts=True)
+        order = np.argsort(place, kind="stable")
+        self.seg, self.at = join(seg, np.int64)[order], join(at, np.int64)[order]
+        self.over = np.searchsorted(place[order], np.arange(n + 1))
         self.length = np.array([len(t) for t in self.text], dtype=np.int64)
         self.budget = np.floor(RATE * self.length).astype(np.int64)
         self.need = np.maximum(1, self.length - Q + 1 - Q * self.budget)
+        self.least = np.full(len(items), np.iinfo(np.int64).max)
+        np.minimum.at(self.least, self.of[place[order]], self.need[self.seg])
+        self.reach = int((self.length + 2 * self.budget).max(initial=1))
         self.bits = max(16, int(np.ceil(np.log2(len(self.keys) * 64 + 1))))
         self.filter = np.zeros(1 << self.bits, bool)
         self.filter[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
 
-    def hits(self, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position in the stream, segment, position in the segment) of every shared q-gram."""
+    def hits(self, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position in the stream, place among the items' q-grams) of every shared q-gram."""
         g = grams(stream)
         pos = np.flatnonzero(self.filter[(g >> np.uint64(64 - self.bits)).astype(np.int64)])
         g = g[pos]
@@ -97,9 +116,29 @@ class Index:
         k[k == len(self.keys)] = 0
         same = self.keys[k] == g
         pos, k = pos[same], k[same]
-        n = self.count[k]
-        flat = np.repeat(self.first[k] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        return np.repeat(pos, n), self.seg[flat], self.at[flat]
+        which, flat = _spread(self.first[k], self.count[k])
+        return pos[which], self.place[flat]
+
+    def near(self, pos: np.ndarray, place: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Which hits have, within the reach of a region, as many others of their item as its easiest segment needs."""
+        if not len(pos):
+            return np.zeros(0, bool)
+        item = self.of[place]
+        block = pos // self.reach
+        # no region is longer than a block, so each lies in two neighbouring ones
+        key = (owner * len(self.least) + item) * (int(block.max()) + 2) + block
+        found, which, n = np.unique(key, return_inverse=True, return_counts=True)
+        side = np.zeros(len(found), np.int64)
+        touch = np.flatnonzero(found[1:] == found[:-1] + 1)
+        side[touch] = n[touch + 1]
+        side[touch + 1] = np.maximum(side[touch + 1], n[touch])
+        return (n + side)[which] >= self.least[item]
+
+
+def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(k, first[k] + i) for every k and every i below count[k]."""
+    which = np.repeat(np.arange(len(count)), count)
+    return which, np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum()) if len(count) else which
 
 
 def banded(pattern: np.ndarray, text: np.ndarray, budget: int) -> int:
@@ -127,15 +166,28 @@ def _search(index: Index):
     return run
 
 
+def _times(values: np.ndarray, end: int) -> np.ndarray:
+    """How often each value, from 0 to end - 1, occurs among all."""
+    if end <= DENSE:
+        return np.bincount(values, minlength=end)[values]
+    _, which, n = np.unique(values, return_inverse=True, return_counts=True)
+    return n[which]
+
+
 def _regions(index: Index, doc: np.ndarray, buf: np.ndarray, off: np.ndarray) -> Iterator[pa.RecordBatch]:
     cps, off = decode(buf, off)
     stream, off, src = folded(cps, off, "alnum")
-    pos, seg, at = index.hits(stream)
+    pos, place = index.hits(stream)
     owner = np.searchsorted(off, pos, side="right") - 1
     keep = pos + Q <= off[owner + 1]
+    pos, place, owner = pos[keep], place[keep], owner[keep]
+    keep = index.near(pos, place, owner)
+    pos, place, owner = pos[keep], place[keep], owner[keep]
+    which, flat = _spread(index.over[place], index.over[place + 1] - index.over[place])
+    pos, owner, seg, at = pos[which], owner[which], index.seg[flat], index.at[flat]
     # a segment with fewer hits in the whole document than one region needs is out
     pair = owner * len(index.item) + seg
-    keep &= np.bincount(pair[keep], minlength=len(doc) * len(index.item))[pair] >= index.need[seg]
+    keep = _times(pair, len(doc) * len(index.item)) >= index.need[seg]
     pos, seg, at, owner, pair = pos[keep], seg[keep], at[keep], owner[keep], pair[keep]
     if not len(pos):
         return

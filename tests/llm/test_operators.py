@@ -147,6 +147,26 @@ def test_decontaminate(spark):
     assert got == {(base + i, i) for base in (100, 200, 300) for i in range(4)} | {(400, 3)}
 
 
+def test_decontaminate_finds_every_passage(spark):
+    rng = np.random.default_rng(12)
+    say = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(3, 8)))) for _ in range(n))
+    items = [(i, say(60)[:n].strip()) for i, n in enumerate((90, 141, 158, 161, 300))]
+    rows, want = [(k, say(60)) for k in range(5)], set()
+    for i, t in items:
+        for a in range(0, len(t) - 81, 7):
+            rows.append((1000 * (i + 1) + a, say(30) + " " + t[a : a + 82] + " " + say(30)))
+            want.add((1000 * (i + 1) + a, i))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want
+
+
+def test_counts_of_hits_sparse_and_dense(monkeypatch):
+    v = np.random.default_rng(1).integers(0, 50, 300)
+    dense = decontaminate._times(v, 50)
+    monkeypatch.setattr(decontaminate, "DENSE", 1)
+    assert (decontaminate._times(v, 50) == dense).all()
+
+
 def test_banded_alignment():
     def brute(p, t):
         row = [0] * (len(t) + 1)
