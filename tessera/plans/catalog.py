@@ -138,6 +138,14 @@ def tile_geometry(spark, sf):
     return t.select("img", "z", "x", G.tile_extent("w", "x").alias("tw"), G.ancestor("x", 1).alias("parent_x"), G.ancestor("x", 3).alias("anc3_x"), G.tile_key("z", "x", F.lit(3)).alias("key"), G.tile_exists("z", "x", F.lit(3), "cols", "rows", "n").alias("there"))
 
 
+@query()
+def tile_geometry_all(spark, sf):
+    """Every tile of every level; the last column and row are narrower and lower."""
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    t = _levels(spark).withColumn("y", upto("rows")).repartition("img", "z", "y").withColumn("x", upto("cols"))
+    return t.select("img", "z", "x", "y", G.tile_extent("w", "x").alias("tw"), G.tile_extent("h", "y").alias("th"), G.ancestor("x", 1).alias("parent_x"), G.ancestor("y", 1).alias("parent_y"), G.ancestor("x", 3).alias("anc3_x"), G.ancestor("y", 3).alias("anc3_y"), G.tile_key("z", "x", F.col("y")).alias("key"), G.tile_exists("z", "x", F.col("y"), "cols", "rows", "n").alias("there"))
+
+
 @query(f"""WITH {X.GRID_SQL}, p AS (SELECT grid.z AS pz, x AS px, y AS py FROM grid, range(24) a(x), range(24) b(y) WHERE x < cols AND y < cols)
 SELECT pz, px, py, (pz + 1)::INT AS z, 2 * px + i AS x, 2 * py + j AS y FROM p, range(2) c(i), range(2) d(j) JOIN grid ON grid.z = pz + 1 WHERE 2 * px + i < cols AND 2 * py + j < cols""")
 def tile_children(spark, sf):

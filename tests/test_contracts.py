@@ -203,6 +203,16 @@ def test_every_holdings_filter_is_measured(spark, tmp_path):
     assert {(r.filter_session, r.probes, r.positives) for r in got.where("sem = 0 and filter_session % 10 = 0").collect()} == {tuple(r) for r in catalog.QUERIES["bloom_fp_rate"](spark, str(tmp_path)).collect()}
 
 
+def test_geometry_of_every_tile(spark):
+    t = catalog.QUERIES["tile_geometry_all"](spark, "")
+    got = {(r.img, r.z): r for r in t.groupBy("img", "z").agg(F.count("*").alias("tiles"), F.countDistinct("key").alias("keys"), F.bool_and("there").alias("there"), F.sum(F.when(F.col("y") == 0, F.col("tw"))).alias("w"), F.sum(F.when(F.col("x") == 0, F.col("th"))).alias("h"), F.max_by("tw", "x").alias("tw"), F.max_by("th", "y").alias("th"), F.bool_and((F.col("parent_x") == F.floor(F.col("x") / 2)) & (F.col("parent_y") == F.floor(F.col("y") / 2)) & (F.col("anc3_x") == F.floor(F.col("x") / 8)) & (F.col("anc3_y") == F.floor(F.col("y") / 8))).alias("up")).collect()}
+    plan = catalog.QUERIES["pyramid_plan"](spark, "").collect()
+    assert len(got) == len(plan)
+    for p in plan:
+        r = got[p.img, p.z]
+        assert (r.tiles, r.keys, r.w, r.h, r.tw, r.th) == (p.tiles, p.tiles, p.w, p.h, (p.w - 1) % 256 + 1, (p.h - 1) % 256 + 1) and r.there and r.up
+
+
 def test_streams(spark, tmp_path):
     from tessera.streaming import ingest
 
