@@ -1,39 +1,38 @@
 """N-gram Jaccard self-join with PartEnum signatures.
 
-The feature domain (64-bit shingle hashes) is partitioned by hash into ``n1`` first-level
-partitions of three cells each, and for every partition the three subsets of two cells are
-enumerated; a signature is the hash of a document's features within one such subset. Documents
-are banded by size: a document joins each band that can hold the smaller side of a pair it is
-part of, so the two sides of a similar pair always meet in the smaller side's band. There their
-symmetric difference is at most ``k = floor(size/3)`` (Jaccard >= 3/4), and ``n1`` and the number
-of repetitions are chosen so that at least one subset is untouched by those ``k`` differences,
-and not empty, but for a probability under ``MISS`` per pair.
+The feature domain (64-bit shingle hashes) is partitioned by hash into cells, and the subsets enumerated are single
+cells: a signature is the hash of a document's features within one. Documents are banded by size: a document joins
+each band that can hold the smaller side of a pair it is part of, so the two sides of a similar pair always meet in
+the smaller side's band. There their symmetric difference is at most ``k = floor(size/3)`` (Jaccard >= 3/4), and a band
+has ``k + 1 + slack`` cells. ``k`` differences leave ``slack + 1`` cells as they are; a document with at most ``slack``
+empty cells therefore shares the signature of a filled one with every partner. One with more empty cells also joins the
+next family of cells, under another hash, and one that has too many in all ``FAMILIES`` lets every feature be a
+signature. Both sides of a pair are in the first family in which either has few empty cells, so no link is lost.
 
-Every candidate is verified by exact set intersection. Rows stay linear in the signatures:
+Every link is verified by exact set intersection. Rows stay linear in the signatures:
 
 * equal sets are one representative (a copy costs one row);
-* a signature group is first linked as a star to its smallest member; components of the verified
-  star edges then show which groups still span several components, and only those are looked
-  at again, across components;
-* a group of at most ``HOT`` members that still spans components is compared across them;
-* members of a larger one (a passage that many documents share) are looked at again by their rarest
-  shingles: two linked documents share one of the first ``n - ceil(3n/4) + 1`` shingles of each in
-  order of frequency, so documents that have that many to themselves need no comparison at all, and
-  the passage itself is reached only in documents that are hardly more than it. This step is exact.
-  Groups over ``TILE`` members are compared tile by tile, in as many tasks;
-* before a pair of different components is emitted, the one-permutation sketches of both are compared.
-  The bins are a sample without replacement of the union, so Serfling's inequality gives the least
-  agreement that a link shows but for a probability under ``MISS``; pairs under it are no candidates.
+* a signature group is first linked as a star to its smallest member; components of the verified star edges then show
+  which groups still span several components, and only those are looked at again, across components;
+* a larger group than ``HOT`` (a passage that many documents share) is split by its members' rarest shingles: two linked
+  documents share one of the first ``n - ceil(3n/4) + 1`` shingles of each in any common order, here with the
+  shingles of more than ``HOT`` such documents last, so the passage itself is reached only in documents that are hardly
+  more than it. Groups over ``TILE`` members are compared tile by tile, in as many tasks;
+* in a group, members whose sizes and parity sketches allow a link across components are told first, one row each; the
+  sets of those are sent there, and each group yields a forest of verified links, never more than its members.
+
+A parity sketch has a bit for each of ``2^b`` bins, set where a bin holds an odd number of features: two sketches differ in
+no more bits than the sets in features, so that what it rules out is no link.
 
 Null, empty and blank texts have the empty set and link with nothing. Repeated rows of one doc_id
-count as one document with the first non-null text in order; rows without doc_id are no documents.
-Extra columns are ignored.
+count as one document with the least non-null text; rows without doc_id are no documents.
+Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,45 +42,40 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import Workspace, components, partitions, prepare
 from tessera.llm.textops import chunks, mix, shingle_sets, split_by_bucket
 
-MISS = 1e-10
-BAND_RATIO = 1.5
+BAND_RATIO = 4 / 3
+FAMILIES = 8
 HOT = 64
 TILE = 2048
-BINS = 512
-#: Copies of a shingle's frequency, so that a frequent one is not joined in a single task.
-SALTS = 16
+#: Least bits of a parity sketch; larger sets have two bits a feature or more.
+SKETCH_BITS = 1024
+#: Frequent shingles known to every worker (16 MB); those beyond count as rare, which changes the order alone.
+HOT_SHINGLES = 1_000_000
 #: Document ids that may be broadcast when texts of candidates are read again (16 MB of longs).
 BROADCAST_IDS = 2_000_000
 
 _C = np.array([0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
 
 
-def _plan(low: int, high: int) -> tuple[int, int, int]:
-    """Differences allowed, first-level partitions and repetitions for smaller sides of low..high-1 features."""
-    k, common = (high - 1) // 3, max(1, math.ceil(low * 6 / 7))
-    best = None
-    for reps in range(1, 41):
-        for n1 in range(max(1, k // 6), 2 * k + 3):
-            p, q = math.exp(-k / (3 * n1)), 1 - math.exp(-2 * common / (3 * n1))
-            if k < n1 * 2:  # some partition has at most one difference
-                p = max(p, 0.5)
-            hit = (3 * p * p * (1 - p) + p**3) * q
-            if hit >= 1 or n1 * reps * math.log1p(-hit) <= math.log(MISS):
-                if best is None or n1 * reps < best[1] * best[2]:
-                    best = (k, n1, reps)
-                break
-        if best and best[2] < reps - 4:
-            break
-    return best
+def slack(low: int, k: int) -> int:
+    """Empty cells allowed for: what a set of ``low`` features has, and two and a half deviations more."""
+    s = 0
+    while True:
+        n = k + 1 + s
+        load = low / n
+        empty = math.exp(-load)
+        if n * empty + 2.5 * math.sqrt(n * empty * (1 - (1 + load) * empty)) <= s:
+            return s
+        s += 1
 
 
 def bands(largest: int) -> list[tuple[int, int, int, int]]:
-    """(low, high, n1, repetitions) of every size band up to ``largest``; sizes under 3 match only equal sets."""
+    """(low, high, cells, slack) of every size band up to ``largest``; sizes under 3 match only equal sets."""
     out, low = [], 3
     while low <= largest:
         high = max(low + 1, int(low * BAND_RATIO))
-        _, n1, reps = _plan(low, high)
-        out.append((low, high, n1, reps))
+        k = (high - 1) // 3
+        spare = slack(low, k)
+        out.append((low, high, k + 1 + spare, spare))
         low = high
     return out
 
@@ -98,31 +92,51 @@ def bands_of(size: int) -> list[tuple[int, int, int, int, int]]:
     return [(i, *b) for i, b in enumerate(_bands) if b[0] <= size and b[1] > least]
 
 
+def _seed(*numbers: int) -> np.uint64:
+    out = 0
+    for x in numbers:
+        out = (out * 0x100000001B3 + x + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)
+    return np.uint64(out)
+
+
 def signatures(features: np.ndarray) -> np.ndarray:
     """PartEnum signatures of one feature set (sorted distinct uint64 hashes)."""
     out = []
-    for number, _, _, n1, reps in bands_of(len(features)):
-        for r in range(reps):
-            seeded = mix(features ^ np.uint64((number * 64 + r + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
-            cell = ((seeded >> np.uint64(32)) % np.uint64(3 * n1)).astype(np.int64)
+    for number, _, _, cells, spare in bands_of(len(features)):
+        for family in range(FAMILIES):
+            seeded = mix(features ^ _seed(number, family))
+            cell = ((seeded >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
             order = np.argsort(cell, kind="stable")
-            cells, first = np.unique(cell[order], return_index=True)
-            sums = np.zeros(3 * n1, dtype=np.uint64)
-            sums[cells] = np.add.reduceat(mix(seeded[order] * _C[0]), first)
-            a, b, c = sums[0::3], sums[1::3], sums[2::3]
-            tag = mix(np.arange(n1, dtype=np.uint64) + np.uint64((number * 64 + r) << 32))
-            for s, (x, y) in enumerate(((a, b), (b, c), (a, c))):
-                full = (x != 0) | (y != 0)
-                out.append(mix(x + y * _C[1] + tag + np.uint64(s + 1) * _C[0])[full])
+            cell = cell[order]
+            first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+            sums = np.add.reduceat(mix(seeded[order] * _C[0]), first)
+            out.append(mix(sums + cell[first] * _C[1] + _seed(number, family)))
+            if cells - len(first) <= spare:
+                break
+        else:
+            out.append(mix(features + _seed(number, FAMILIES)))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def sketch(features: np.ndarray) -> bytes:
-    """One-permutation sketch of a sorted set: a byte of the least hash in each bin, 0 for an empty bin."""
-    out = np.zeros(BINS, np.uint8)
-    bins, first = np.unique((features >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), return_index=True)
-    out[bins] = (features[first] % np.uint64(255)).astype(np.uint8) + 1
-    return out.tobytes()
+    """Parity of the number of features in each of 2^b bins, two bins a feature at least."""
+    bits = max(SKETCH_BITS, 1 << (2 * len(features) - 1).bit_length()) if len(features) else SKETCH_BITS
+    odd = np.bincount((features & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: np.ndarray) -> np.ndarray:
+    """Sketches (rows of words) with half the bins each."""
+    half = sketches.shape[1] // 2
+    return sketches[:, :half] ^ sketches[:, half:]
+
+
+def differing(one: bytes, other: bytes) -> int:
+    """Least number of features in which the sets of two sketches differ."""
+    x, y = (np.frombuffer(v, np.uint64)[None] for v in (one, other))
+    while x.shape[1] != y.shape[1]:
+        x, y = (folded(v) if v.shape[1] > min(x.shape[1], y.shape[1]) else v for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +151,9 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sk, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "sketch"])
 
 
-def _emit_signatures(n_buckets: int):
+def _emit(keys_of: Callable[[np.ndarray], np.ndarray], n_buckets: int):
+    """Documents by ``keys_of`` their sets, packed by bucket of the key."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sigs, held = [], [], 0
 
@@ -157,7 +173,7 @@ def _emit_signatures(n_buckets: int):
             doc = batch.column("doc_id").to_pylist()
             for a, b, buf, off in chunks(batch.column("text")):
                 for d, s in zip(doc[a:b], shingle_sets(buf, off), strict=True):
-                    g = signatures(s)
+                    g = keys_of(s)
                     if len(g):
                         ids.append(d)
                         sigs.append(g)
@@ -171,8 +187,13 @@ def _emit_signatures(n_buckets: int):
     return run
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """Groups of one signature bucket: (gid, leader, members); the list of a large group comes in parts."""
+def _meet(stars: bool):
+    return lambda table: _met(table, stars)
+
+
+def _met(table: pa.Table, stars: bool) -> pa.Table:
+    """Documents that share keys of one bucket, in parts of 4096: groups (gid, n, members), told apart by their members, and
+    where wanted (null, leader, members) for all that meet with a smallest member; a group of two is no more than that."""
     sig = [np.frombuffer(x, np.uint32) for x in table.column("sig").to_pylist()]
     doc = []
     for d, o, s in zip(table.column("docs").to_pylist(), table.column("owner").to_pylist(), sig, strict=True):
@@ -187,61 +208,82 @@ def _meet(table: pa.Table) -> pa.Table:
     first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
     size = np.diff(np.append(first, len(sig)))
     first, size = first[size > 1], size[size > 1]
-    seen, gid, total, members = set(), [], [], []
+    seen, gid, leader, total, members, met = set(), [], [], [], [], {}
     for f, n in zip(first.tolist(), size.tolist(), strict=True):
         group = doc[f : f + n]
         key = int(mix(mix(group.astype(np.uint64)) + np.arange(n, dtype=np.uint64) * _C[0]).sum(dtype=np.uint64).astype(np.int64))
-        if n <= HOT and key in seen:
+        if key in seen:
             continue
         seen.add(key)
-        if n > HOT:  # each hot signature counts for itself
-            key ^= int(sig[f]) << 20
-        for at in range(0, n, 4096):
-            gid.append(key)
-            total.append(n)
-            members.append(group[at : at + 4096])
-    lead = {}
-    leader = [lead.setdefault(g, int(m[0])) for g, m in zip(gid, members, strict=True)]
+        if stars:
+            met.setdefault(int(group[0]), []).append(group[1:])
+        if n > 2 or not stars:
+            for at in range(0, n, 4096):
+                gid.append(key)
+                leader.append(None)
+                total.append(n)
+                members.append(group[at : at + 4096])
+    for lead, others in met.items():
+        others = np.unique(np.concatenate(others))
+        for at in range(0, len(others), 4096):
+            gid.append(None)
+            leader.append(lead)
+            total.append(0)
+            members.append(others[at : at + 4096])
     offsets = np.concatenate(([0], np.cumsum([len(m) for m in members]))).astype(np.int32)
     flat = np.concatenate(members) if members else np.zeros(0, np.int64)
     return pa.table([pa.array(gid, pa.int64()), pa.array(leader, pa.int64()), pa.array(total, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["gid", "leader", "n", "members"])
 
 
+def _groups(docs: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray], work: Workspace, name: str, stars: bool = False) -> DataFrame:
+    n = partitions(docs.sparkSession)
+    met = docs.mapInArrow(_emit(keys_of, n), "bucket int, docs binary, owner binary, sig binary")
+    return work.write(met.repartition(n, "bucket").groupBy("bucket").applyInArrow(_meet(stars), "gid long, leader long, n long, members array<long>"), name)
+
+
 def _emit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, buf, off in chunks(batch.column("text")):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([s.tobytes() for s in shingle_sets(buf, off)], pa.binary())], ["doc_id", "feats"])
 
 
-def _emit_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        for a, b, buf, off in chunks(batch.column("text")):
-            sets = shingle_sets(buf, off)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(doc[a:b], [len(s) for s in sets])), pa.array(np.concatenate(sets).view(np.int64))], ["doc", "feat"])
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of 3/4 or more."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return False
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    same = int((y[at] == x).sum())
+    return 100 * same >= 75 * (len(x) + len(y) - same)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("fa"), batch.column("fb"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            same = int((y[at] == x).sum()) if len(y) else 0
-            keep.append(100 * same >= 75 * (len(x) + len(y) - same) > 0)
+        keep = [linked(*(np.frombuffer(v.as_buffer(), np.uint64) for v in p)) for p in zip(batch.column("fa"), batch.column("fb"), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+        keep = np.minimum(na, nb) * 4 >= np.maximum(na, nb) * 3
+        for i in np.flatnonzero(keep).tolist():
+            keep[i] = 7 * differing(batch.column("sa")[i].as_buffer(), batch.column("sb")[i].as_buffer()) <= na[i] + nb[i]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _links(pairs: DataFrame, reps: DataFrame, sizes: DataFrame, work: Workspace, name: str) -> DataFrame:
     """The pairs (a, b) whose shingle sets have Jaccard similarity of 3/4 or more."""
-    pairs = work.write(pairs, f"{name}-pairs")
+    side = lambda c: sizes.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    pairs = work.write(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_possible, "a long, b long"), f"{name}-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    sets = work.write(reps.join(ids, "doc_id", "left_semi").mapInArrow(_emit_sets, "doc_id long, feats binary"), f"{name}-sets")
+    sets = work.write(reps.join(_few(ids), "doc_id", "left_semi").mapInArrow(_emit_sets, "doc_id long, feats binary"), f"{name}-sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("feats").alias("fa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("feats").alias("fb"))
     found = work.write(pairs.join(left, "a").join(right, "b").select("a", "b", "fa", "fb").mapInArrow(_verify, "a long, b long"), f"{name}-links")
@@ -249,50 +291,125 @@ def _links(pairs: DataFrame, reps: DataFrame, sizes: DataFrame, work: Workspace,
     return found
 
 
-def least_agreement(n: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Bins of ``n`` filled ones in which linked sets of ``sizes`` features together agree, but for ``MISS``."""
-    union = np.maximum(n, sizes / 1.75)
-    left = 1 - (n - 1) / np.maximum(union, 1)
-    return 0.75 * n - np.sqrt(left * n * -math.log(MISS) / 2)
+def _spanning(groups: DataFrame, comp: DataFrame) -> DataFrame:
+    """(gid, n, doc, component) of the groups whose members are in several components."""
+    wide = groups.where("gid is not null").dropDuplicates(["gid", "members"]).select("gid", "n", F.explode("members").alias("doc"))
+    wide = wide.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    mixed = wide.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gid")
+    return wide.join(mixed, "gid", "left_semi")
+
+
+def _frequent(n_buckets: int):
+    def count(table: pa.Table) -> pa.Table:
+        feats, n = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("feats").to_pylist()]), return_counts=True)
+        hot = n > HOT
+        return pa.table([pa.array(feats[hot].view(np.int64)), pa.array(n[hot], pa.int64())], names=["feat", "df"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, buf, off in chunks(batch.column("text")):
+                feats = np.concatenate(shingle_sets(buf, off))
+                order, there, bound = split_by_bucket(feats, n_buckets)
+                feats = feats[order]
+                yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array([feats[x:y].tobytes() for x, y in zip(bound[:-1], bound[1:], strict=True)], pa.binary())], ["bucket", "feats"])
+
+    return pack, count
 
 
 def _by_rarest(suspects: DataFrame, reps: DataFrame, work: Workspace) -> DataFrame:
-    """(gid, doc): documents of ``suspects`` (doc, n_shingles) by each of their rarest shingles that others have too."""
-    ids = suspects.select(F.col("doc").alias("doc_id"))
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    feats = work.write(reps.join(ids, "doc_id", "left_semi").mapInArrow(_emit_features, "doc long, feat long"), "feats")
-    df = feats.groupBy("feat").agg(F.count("*").alias("df")).where("df > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    common = feats.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(df, ["feat", "salt"])
-    common = common.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "feat"))).alias("common")).join(suspects, "doc")
-    # shingles of one document only come first in the order; what they leave of the prefix is taken here
-    take = (F.size("common") + 1 - F.ceil(F.col("n_shingles") * 3 / 4)).cast("int")
-    return common.where(take > 0).select(F.explode(F.slice("common", F.lit(1), take)).alias("f"), "doc").select(F.col("f.feat").alias("gid"), "doc")
-
-
-def _across(table: pa.Table) -> pa.Table:
-    """Pairs of one group's members, in different components, whose sizes and sketches allow a link."""
-    gid, doc, comp, size = (table.column(c).to_numpy() for c in ("gid", "doc", "component", "n_shingles"))
-    order = np.lexsort((size, gid))
-    gid, doc, comp, size = gid[order], doc[order], comp[order], size[order]
-    sk = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)[order]
-    bound = np.append(np.flatnonzero(np.concatenate(([True], gid[1:] != gid[:-1]))), len(gid))
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for x, y in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True):
-        for i in range(x, y - 1):
-            end = x + int(np.searchsorted(size[x:y], size[i] * 4 // 3, side="right"))
-            j = np.arange(i + 1, end)
-            j = j[comp[i + 1 : end] != comp[i]]
-            if not len(j):
+    """Groups of ``suspects`` (doc) by each of their rarest shingles."""
+    n = partitions(reps.sparkSession)
+    texts = work.write(reps.join(_few(suspects.select(F.col("doc").alias("doc_id"))), "doc_id", "left_semi"), "suspect-texts")
+    pack, count = _frequent(n)
+    hot = texts.mapInArrow(pack, "bucket int, feats binary").groupBy("bucket").applyInArrow(count, "feat long, df long")
+    hot = hot.orderBy(F.desc("df"), "feat").limit(HOT_SHINGLES).collect()
+    by_feat = sorted((np.uint64(r["feat"] & 2**64 - 1), -i) for i, r in enumerate(hot))
+    known, place = np.array([f for f, _ in by_feat], np.uint64), np.array([p for _, p in by_feat], np.int64)
+
+    def rarest(features: np.ndarray) -> np.ndarray:
+        rank = np.full(len(features), -len(known) - 1, np.int64)
+        if len(known):
+            at = np.searchsorted(known, features)
+            at[at == len(known)] = 0
+            rank = np.where(known[at] == features, place[at], rank)
+        return features[np.lexsort((features, rank))][: len(features) - -(-3 * len(features) // 4) + 1]
+
+    return _groups(texts, rarest, work, "rare")
+
+
+def _bounds(keys: np.ndarray) -> list[tuple[int, int]]:
+    at = np.append(np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))), len(keys)).tolist()
+    return list(zip(at[:-1], at[1:], strict=True))
+
+
+def candidates(size: np.ndarray, component: np.ndarray, sketches: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of a group's members, in order of size: those after it that may link with it from another component."""
+    words = np.array([len(s) // 8 for s in sketches])
+    rows = {w: (np.flatnonzero(words == w), np.frombuffer(b"".join(s for s in sketches if len(s) == 8 * w), np.uint64).reshape(-1, w)) for w in np.unique(words).tolist()}
+    whole = {w: {w: m} for w, (_, m) in rows.items()}
+    for w, (_, m) in rows.items():
+        while m.shape[1] * 8 > SKETCH_BITS // 8:
+            m = folded(m)
+            whole[w][m.shape[1]] = m
+    place = np.zeros(len(size), np.int64)
+    for at, _ in rows.values():
+        place[at] = np.arange(len(at))
+    for i in range(len(size) - 1):
+        end, w, mine = int(np.searchsorted(size, size[i] * 4 // 3, side="right")), int(words[i]), []
+        own = rows[w][1][place[i]]
+        for v, (at, _) in rows.items():
+            if v < w:  # a smaller sketch is one of a smaller set
                 continue
-            some = (sk[j] != 0) | (sk[i] != 0)
-            n = some.sum(1)
-            same = ((sk[j] == sk[i]) & some).sum(1)
-            other = doc[j[same >= least_agreement(n, size[i] + size[j])]]
-            a.append(np.minimum(other, doc[i]))
-            b.append(np.maximum(other, doc[i]))
-    pairs = np.unique(np.stack((np.concatenate(a), np.concatenate(b))), axis=1)
-    return pa.table([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
+            lo, hi = np.searchsorted(at, (i + 1, end))
+            j = lo + np.flatnonzero(component[at[lo:hi]] != component[i])
+            if len(j):
+                away = np.bitwise_count(whole[v][w][j] ^ own).sum(1, dtype=np.int64)
+                mine.append(at[j[7 * away <= size[at[j]] + size[i]]])
+        if mine:
+            found = np.concatenate(mine)
+            if len(found):
+                yield i, found
+
+
+def _hopeful(table: pa.Table) -> pa.Table:
+    """Members of each group that may link with another one of a different component."""
+    gid, doc, comp, size = (table.column(c).to_numpy() for c in ("gid", "doc", "component", "n_shingles"))
+    order = np.lexsort((doc, size, gid))
+    sketches = table.column("sketch").to_pylist()
+    keep = np.zeros(len(gid), bool)
+    for x, y in _bounds(gid[order]):
+        at = order[x:y]
+        if (comp[at] != comp[at[0]]).any():
+            for i, others in candidates(size[at], comp[at], [sketches[k] for k in at]):
+                keep[at[i]] = True
+                keep[at[others]] = True
+    return pa.table([pa.array(gid[keep]), pa.array(doc[keep]), pa.array(comp[keep])], names=["gid", "doc", "component"])
+
+
+def _forest(table: pa.Table) -> pa.Table:
+    """Verified links (a, b) that join the components of each group's members: a forest over those met in one task."""
+    gid, doc, comp = (table.column(c).to_numpy() for c in ("gid", "doc", "component"))
+    feats = [np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("feats")]
+    size, sketches = np.array([len(f) for f in feats], np.int64), [sketch(f) for f in feats]
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            root[c] = c = root.get(up, up)
+        return c
+
+    a, b, order = [], [], np.lexsort((doc, size, gid))
+    for x, y in _bounds(gid[order]):
+        at = order[x:y]
+        now = np.array([find(c) for c in comp[at].tolist()])
+        for i, others in candidates(size[at], now, [sketches[k] for k in at]):
+            for j in others.tolist():
+                one, other = at[i], at[j]
+                if find(int(comp[one])) != find(int(comp[other])) and linked(feats[one], feats[other]):
+                    root[find(int(comp[other]))] = find(int(comp[one]))
+                    a.append(min(doc[one], doc[other]))
+                    b.append(max(doc[one], doc[other]))
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
@@ -302,7 +419,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     5-word shingles. n_copies counts the documents with the same set; kept marks the one of each component.
     """
     spark = prepare(docs.sparkSession)
-    work = Workspace(spark, "jaccard")
+    work, n = Workspace(spark, "jaccard"), partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
     def size_up(docs: DataFrame, name: str) -> DataFrame:
@@ -317,36 +434,28 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     classes = work.write(sized.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "classes")
     copies = sized.where("n_shingles > 0").join(classes.where("n_copies > 1"), ["n_shingles", "h1", "h2"]).where("doc_id <> rep")
     # later copies leave before signatures are made; their number decides how
-    extra = copies.select("doc_id")
-    reps = docs.join(F.broadcast(extra) if extra.count() <= BROADCAST_IDS else extra, "doc_id", "left_anti")
-    n = partitions(spark)
-    sig = reps.mapInArrow(_emit_signatures(n), "bucket int, docs binary, owner binary, sig binary")
-    groups = sig.repartition(n, "bucket").groupBy("bucket").applyInArrow(_meet, "gid long, leader long, n long, members array<long>")
-    groups = work.write(groups, "groups")
-    stars = groups.select("leader", F.explode("members").alias("b")).where("leader <> b").select(F.col("leader").alias("a"), "b").distinct()
+    reps = docs.join(_few(copies.select("doc_id")), "doc_id", "left_anti")
+    groups = _groups(reps, signatures, work, "groups", stars=True)
+    stars = groups.where("gid is null").select(F.col("leader").alias("a"), F.explode("members").alias("b")).distinct()
     links = _links(stars, reps, sized, work, "star")
     comp = work.write(components(links, work, "cc"), "comp")
-    # groups that still span components
-    wide = groups.where("n > 2").dropDuplicates(["gid", "members"]).select("gid", "n", F.explode("members").alias("doc"))
-    wide = wide.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed = wide.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gid")
-    wide = work.write(wide.join(mixed, "gid", "left_semi").join(sized.select(F.col("doc_id").alias("doc"), "n_shingles", "sketch"), "doc"), "mixed")
-    suspects = work.write(wide.where(F.col("n") > HOT).select("doc", "component", "n_shingles", "sketch").dropDuplicates(["doc"]), "suspects")
-    near = work.write(_by_rarest(suspects.select("doc", "n_shingles"), reps, work).join(suspects.select("doc", "component"), "doc"), "near")
-    again = near.groupBy("gid").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y"))
-    again = again.where("lo < hi").groupBy("n", "x", "y").agg(F.min("gid").alias("gid"))  # shingles with the same documents count once
+    spanning = work.write(_spanning(groups, comp), "spanning")
+    suspects = work.write(spanning.where(F.col("n") > HOT).select("doc").distinct(), "suspects")
+    near = _spanning(_by_rarest(suspects, reps, work), comp)
     # a large group's members are dealt to blocks, and each goes to every pair of blocks that its own is in
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    own, other = F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int"), F.col("other")
-    tiled = near.drop("component").join(again, "gid").withColumn("tiles", tiles).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = tiled.select(F.xxhash64("gid", F.least(own, other), F.greatest(own, other)).alias("gid"), "doc").join(suspects, "doc")
-    columns = ["gid", "doc", "component", "n_shingles", "sketch"]
-    rest = wide.where(F.col("n") <= HOT).select(columns).unionByName(tiled.select(columns))
-    rest = rest.withColumn("bucket", F.pmod(F.xxhash64("gid"), F.lit(4 * n)).cast("int"))
-    more = rest.groupBy("bucket").applyInArrow(_across, "a long, b long").distinct().join(links, ["a", "b"], "left_anti")
-    more = _links(more, reps, sized, work, "rest")
+    tiles, other = F.ceil(F.col("n") / TILE).cast("int"), F.col("other")
+    own = F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int")
+    tiled = near.withColumn("tiles", tiles).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiled = tiled.select(F.xxhash64("gid", F.least(own, other), F.greatest(own, other)).alias("gid"), "doc", "component")
+    rest = spanning.where(F.col("n") <= HOT).select("gid", "doc", "component").unionByName(tiled)
+    bucket = F.pmod(F.xxhash64("gid"), F.lit(4 * n)).cast("int").alias("bucket")
+    known = sized.select(F.col("doc_id").alias("doc"), "n_shingles", "sketch")
+    hopeful = work.write(rest.join(known, "doc").select(bucket, "gid", "doc", "component", "n_shingles", "sketch").groupBy("bucket").applyInArrow(_hopeful, "gid long, doc long, component long"), "hopeful")
+    sets = reps.join(_few(hopeful.select(F.col("doc").alias("doc_id")).distinct()), "doc_id", "left_semi").mapInArrow(_emit_sets, "doc_id long, feats binary")
+    more = hopeful.join(sets.withColumnRenamed("doc_id", "doc"), "doc").select(bucket, "gid", "doc", "component", "feats").groupBy("bucket").applyInArrow(_forest, "a long, b long")
+    more = work.write(more.distinct(), "more")
     comp = work.write(components(links.unionByName(more), work, "cc2"), "final")
-    work.drop("groups", "comp", "mixed", "suspects", "feats", "near")
+    work.drop("groups", "comp", "spanning", "suspects", "suspect-texts", "rare", "hopeful", "star-links", "more")
     # the smallest doc_id of a component: the smallest over its classes' representatives
     found = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     found = sized.drop("sketch").join(found, ["n_shingles", "h1", "h2"], "left")

@@ -111,6 +111,30 @@ def test_signatures_meet_at_the_threshold(k):
         assert np.intersect1d(jaccard_join.signatures(a), jaccard_join.signatures(b)).size
 
 
+def test_signatures_meet_with_few_families(monkeypatch):
+    """Sets with too many empty cells in every family meet by single features."""
+    monkeypatch.setattr(jaccard_join, "FAMILIES", 1)
+    monkeypatch.setattr(jaccard_join, "_bands", [])
+    monkeypatch.setattr(jaccard_join, "slack", lambda low, k: 0)
+    rng = np.random.default_rng(1)
+    for m in (3, 9, 30, 150):
+        for _ in range(40):
+            common = rng.integers(0, 2**63, m - m // 7, dtype=np.int64).astype(np.uint64)
+            a, b = (np.sort(np.concatenate((common, rng.integers(0, 2**63, m // 7, dtype=np.int64).astype(np.uint64)))) for _ in "ab")
+            assert jaccard_join.linked(a, b) and np.intersect1d(jaccard_join.signatures(a), jaccard_join.signatures(b)).size
+    jaccard_join._bands.clear()
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_features():
+    rng = np.random.default_rng(2)
+    for n in (3, 40, 500, 520, 1500):
+        a = rng.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64)
+        for k in (0, 1, n // 3, n):
+            b = np.concatenate((a[k:], rng.integers(0, 2**63, n // 5, dtype=np.int64).astype(np.uint64)))
+            assert jaccard_join.differing(jaccard_join.sketch(a), jaccard_join.sketch(b)) <= len(np.setxor1d(a, b))
+    assert jaccard_join.differing(jaccard_join.sketch(a), jaccard_join.sketch(a[7:])) == 7
+
+
 def test_components(spark):
     e = [(i + 1, i) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(e, "a long, b long"), Workspace(spark, "t")).collect()}
