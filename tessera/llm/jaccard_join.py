@@ -14,12 +14,13 @@ Every link is verified by exact set intersection. Rows stay linear in the signat
 * equal sets are one representative (a copy costs one row);
 * a signature group is first linked as a star to its smallest member; components of the verified star edges then show
   which groups still span several components, and only those are looked at again, across components;
-* a larger group than ``HOT`` (a passage that many documents share) is split by its members' rarest shingles: two linked
+* a larger group than ``TILE`` (a passage that many documents share) is split by its members' rarest shingles: two linked
   documents share one of the first ``n - ceil(3n/4) + 1`` shingles of each in any common order, here with the
-  shingles of more than ``HOT`` such documents last, so the passage itself is reached only in documents that are hardly
-  more than it. Groups over ``TILE`` members are compared tile by tile, in as many tasks;
-* in a group, members whose sizes and parity sketches allow a link across components are told first, one row each; the
-  sets of those are sent there, and each group yields a forest of verified links, never more than its members.
+  shingles of more than ``TILE`` such documents last, so the passage itself is reached only in documents that are hardly
+  more than it. What is still over ``TILE`` members is compared tile by tile, in as many tasks;
+* in a group, members whose sizes and parity sketches allow a link across components are told first, as clusters that such
+  possible links connect. Each document is in one cluster and its set is sent there once; every cluster yields a forest of
+  verified links, fewer than its members.
 
 A parity sketch has a bit for each of ``2^b`` bins, set where a bin holds an odd number of features: two sketches differ in
 no more bits than the sets in features, so that what it rules out is no link.
@@ -44,8 +45,12 @@ from tessera.llm.textops import chunks, mix, shingle_sets, split_by_bucket
 
 BAND_RATIO = 4 / 3
 FAMILIES = 8
-HOT = 64
+#: Members that are compared by their sketches in one task.
 TILE = 2048
+#: Members of one row of a group.
+PART = 4096
+#: Words of sketches compared at a time.
+PAIR_WORDS = 1 << 19
 #: Least bits of a parity sketch; larger sets have two bits a feature or more.
 SKETCH_BITS = 1024
 #: Frequent shingles known to every worker (16 MB); those beyond count as rare, which changes the order alone.
@@ -192,7 +197,7 @@ def _meet(stars: bool):
 
 
 def _met(table: pa.Table, stars: bool) -> pa.Table:
-    """Documents that share keys of one bucket, in parts of 4096: groups (gid, n, members), told apart by their members, and
+    """Documents that share keys of one bucket: groups (gid, n, members), told apart by their members, and
     where wanted (null, leader, members) for all that meet with a smallest member; a group of two is no more than that."""
     sig = [np.frombuffer(x, np.uint32) for x in table.column("sig").to_pylist()]
     doc = []
@@ -207,32 +212,33 @@ def _met(table: pa.Table, stars: bool) -> pa.Table:
     sig, doc = sig[keep], doc[keep]
     first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
     size = np.diff(np.append(first, len(sig)))
-    first, size = first[size > 1], size[size > 1]
-    seen, gid, leader, total, members, met = set(), [], [], [], [], {}
-    for f, n in zip(first.tolist(), size.tolist(), strict=True):
-        group = doc[f : f + n]
-        key = int(mix(mix(group.astype(np.uint64)) + np.arange(n, dtype=np.uint64) * _C[0]).sum(dtype=np.uint64).astype(np.int64))
-        if key in seen:
-            continue
-        seen.add(key)
-        if stars:
-            met.setdefault(int(group[0]), []).append(group[1:])
-        if n > 2 or not stars:
-            for at in range(0, n, 4096):
-                gid.append(key)
-                leader.append(None)
-                total.append(n)
-                members.append(group[at : at + 4096])
-    for lead, others in met.items():
-        others = np.unique(np.concatenate(others))
-        for at in range(0, len(others), 4096):
-            gid.append(None)
-            leader.append(lead)
-            total.append(0)
-            members.append(others[at : at + 4096])
-    offsets = np.concatenate(([0], np.cumsum([len(m) for m in members]))).astype(np.int32)
-    flat = np.concatenate(members) if members else np.zeros(0, np.int64)
-    return pa.table([pa.array(gid, pa.int64()), pa.array(leader, pa.int64()), pa.array(total, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["gid", "leader", "n", "members"])
+    rank = np.arange(len(sig)) - np.repeat(first, size)
+    key = np.add.reduceat(mix(mix(doc.astype(np.uint64)) + rank.astype(np.uint64) * _C[0]), first).astype(np.int64)
+    first, size, key = first[size > 1], size[size > 1], key[size > 1]
+    _, fresh = np.unique(key, return_index=True)
+    first, size, key = first[fresh], size[fresh], key[fresh]
+    out = [_parts(key, np.zeros(0, np.int64), size, first, doc)] if not stars else []
+    if stars:
+        wide = size > 2
+        out.append(_parts(key[wide], np.zeros(0, np.int64), size[wide], first[wide], doc))
+        flat = np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+        met = np.unique(np.stack((np.repeat(doc[first], size), doc[flat])), axis=1)
+        met = met[:, met[0] != met[1]]
+        begin = np.flatnonzero(np.concatenate(([True], met[0][1:] != met[0][:-1]))) if met.shape[1] else np.zeros(0, np.int64)
+        out.append(_parts(np.zeros(0, np.int64), met[0][begin], np.diff(np.append(begin, met.shape[1])), begin, met[1]))
+    return pa.concat_tables(out)
+
+
+def _parts(gid: np.ndarray, leader: np.ndarray, size: np.ndarray, first: np.ndarray, doc: np.ndarray) -> pa.Table:
+    """Runs of ``doc`` as rows of at most PART members, with the run's gid and size, or its leader."""
+    parts = -(-size // PART)
+    which = np.repeat(np.arange(len(size)), parts)
+    skip = PART * (np.arange(len(which)) - np.repeat(np.concatenate(([0], np.cumsum(parts)[:-1])), parts)) if len(size) else which
+    n = np.minimum(size[which] - skip, PART)
+    off = np.concatenate(([0], np.cumsum(n)))
+    flat = np.repeat(first[which] + skip - off[:-1], n) + np.arange(off[-1])
+    some = lambda x: pa.array(x[which]) if len(x) else pa.nulls(len(which), pa.int64())
+    return pa.table([some(gid), some(leader), pa.array(size[which]), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(doc[flat]))], names=["gid", "leader", "n", "members"])
 
 
 def _groups(docs: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray], work: Workspace, name: str, stars: bool = False) -> DataFrame:
@@ -302,7 +308,7 @@ def _spanning(groups: DataFrame, comp: DataFrame) -> DataFrame:
 def _frequent(n_buckets: int):
     def count(table: pa.Table) -> pa.Table:
         feats, n = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("feats").to_pylist()]), return_counts=True)
-        hot = n > HOT
+        hot = n > TILE
         return pa.table([pa.array(feats[hot].view(np.int64)), pa.array(n[hot], pa.int64())], names=["feat", "df"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,48 +348,54 @@ def _bounds(keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at[:-1], at[1:], strict=True))
 
 
-def candidates(size: np.ndarray, component: np.ndarray, sketches: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each of a group's members, in order of size: those after it that may link with it from another component."""
+def candidates(size: np.ndarray, component: np.ndarray, sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a group's members (in order of size), from different components, that sizes and sketches allow to link."""
     words = np.array([len(s) // 8 for s in sketches])
+    one, other = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     rows = {w: (np.flatnonzero(words == w), np.frombuffer(b"".join(s for s in sketches if len(s) == 8 * w), np.uint64).reshape(-1, w)) for w in np.unique(words).tolist()}
-    whole = {w: {w: m} for w, (_, m) in rows.items()}
-    for w, (_, m) in rows.items():
-        while m.shape[1] * 8 > SKETCH_BITS // 8:
-            m = folded(m)
-            whole[w][m.shape[1]] = m
-    place = np.zeros(len(size), np.int64)
-    for at, _ in rows.values():
-        place[at] = np.arange(len(at))
-    for i in range(len(size) - 1):
-        end, w, mine = int(np.searchsorted(size, size[i] * 4 // 3, side="right")), int(words[i]), []
-        own = rows[w][1][place[i]]
-        for v, (at, _) in rows.items():
+    for w, (left, mine) in rows.items():
+        for v, (right, theirs) in rows.items():
             if v < w:  # a smaller sketch is one of a smaller set
                 continue
-            lo, hi = np.searchsorted(at, (i + 1, end))
-            j = lo + np.flatnonzero(component[at[lo:hi]] != component[i])
-            if len(j):
-                away = np.bitwise_count(whole[v][w][j] ^ own).sum(1, dtype=np.int64)
-                mine.append(at[j[7 * away <= size[at[j]] + size[i]]])
-        if mine:
-            found = np.concatenate(mine)
-            if len(found):
-                yield i, found
+            while theirs.shape[1] > w:
+                theirs = folded(theirs)
+            step = max(1, PAIR_WORDS // (w * len(right)))
+            for x in range(0, len(left), step):
+                i, j = left[x : x + step, None], right[None]
+                may = (i < j) & (3 * size[j] <= 4 * size[i]) & (component[i] != component[j])
+                if may.any():
+                    away = np.bitwise_count(mine[x : x + step, None] ^ theirs[None]).sum(2, dtype=np.int64)
+                    p, q = np.nonzero(may & (7 * away <= size[i] + size[j]))
+                    one.append(left[x + p])
+                    other.append(right[q])
+    return np.concatenate(one), np.concatenate(other)
 
 
 def _hopeful(table: pa.Table) -> pa.Table:
-    """Members of each group that may link with another one of a different component."""
+    """(a, b): members of groups that may link with one of a different component, with the least one that this connects them to."""
     gid, doc, comp, size = (table.column(c).to_numpy() for c in ("gid", "doc", "component", "n_shingles"))
     order = np.lexsort((doc, size, gid))
     sketches = table.column("sketch").to_pylist()
-    keep = np.zeros(len(gid), bool)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for x, y in _bounds(gid[order]):
         at = order[x:y]
-        if (comp[at] != comp[at[0]]).any():
-            for i, others in candidates(size[at], comp[at], [sketches[k] for k in at]):
-                keep[at[i]] = True
-                keep[at[others]] = True
-    return pa.table([pa.array(gid[keep]), pa.array(doc[keep]), pa.array(comp[keep])], names=["gid", "doc", "component"])
+        if (comp[at] == comp[at[0]]).all():
+            continue
+        one, other = candidates(size[at], comp[at], [sketches[k] for k in at])
+        if len(one):
+            label = doc[at]
+            while True:
+                low = label.copy()
+                np.minimum.at(low, one, label[other])
+                np.minimum.at(low, other, low[one])
+                if (low == label).all():
+                    break
+                label = low
+            tied = label != doc[at]
+            a.append(doc[at][tied])
+            b.append(label[tied])
+    pairs = np.unique(np.stack((np.concatenate(a), np.concatenate(b))), axis=1)
+    return pa.table([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
 
 def _forest(table: pa.Table) -> pa.Table:
@@ -402,16 +414,22 @@ def _forest(table: pa.Table) -> pa.Table:
     for x, y in _bounds(gid[order]):
         at = order[x:y]
         now = np.array([find(c) for c in comp[at].tolist()])
-        for i, others in candidates(size[at], now, [sketches[k] for k in at]):
-            for j in others.tolist():
-                one, other = at[i], at[j]
-                if find(int(comp[one])) != find(int(comp[other])) and linked(feats[one], feats[other]):
-                    root[find(int(comp[other]))] = find(int(comp[one]))
-                    a.append(min(doc[one], doc[other]))
-                    b.append(max(doc[one], doc[other]))
+        for i, j in zip(*candidates(size[at], now, [sketches[k] for k in at]), strict=True):
+            one, other = at[i], at[j]
+            if find(int(comp[one])) != find(int(comp[other])) and linked(feats[one], feats[other]):
+                root[find(int(comp[other]))] = find(int(comp[one]))
+                a.append(min(doc[one], doc[other]))
+                b.append(max(doc[one], doc[other]))
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _tiled(groups: DataFrame) -> DataFrame:
+    """Groups (gid, n, doc, component) with those over TILE members dealt to blocks: each member goes to every pair of blocks that its own is in."""
+    own, other = F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int"), F.col("other")
+    dealt = groups.withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return dealt.select(F.xxhash64("gid", F.least(own, other), F.greatest(own, other)).alias("gid"), "doc", "component")
+
+
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, n_copies, kept for every document of ``docs`` (doc_id long, text string).
 
@@ -440,22 +458,23 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     links = _links(stars, reps, sized, work, "star")
     comp = work.write(components(links, work, "cc"), "comp")
     spanning = work.write(_spanning(groups, comp), "spanning")
-    suspects = work.write(spanning.where(F.col("n") > HOT).select("doc").distinct(), "suspects")
-    near = _spanning(_by_rarest(suspects, reps, work), comp)
-    # a large group's members are dealt to blocks, and each goes to every pair of blocks that its own is in
-    tiles, other = F.ceil(F.col("n") / TILE).cast("int"), F.col("other")
-    own = F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int")
-    tiled = near.withColumn("tiles", tiles).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = tiled.select(F.xxhash64("gid", F.least(own, other), F.greatest(own, other)).alias("gid"), "doc", "component")
-    rest = spanning.where(F.col("n") <= HOT).select("gid", "doc", "component").unionByName(tiled)
+    suspects = work.write(spanning.where(F.col("n") > TILE).select("doc").distinct(), "suspects")
+    rest = spanning.where(F.col("n") <= TILE).select("gid", "doc", "component")
+    if not suspects.isEmpty():
+        rest = rest.unionByName(_tiled(_spanning(_by_rarest(suspects, reps, work), comp)))
     bucket = F.pmod(F.xxhash64("gid"), F.lit(4 * n)).cast("int").alias("bucket")
     known = sized.select(F.col("doc_id").alias("doc"), "n_shingles", "sketch")
-    hopeful = work.write(rest.join(known, "doc").select(bucket, "gid", "doc", "component", "n_shingles", "sketch").groupBy("bucket").applyInArrow(_hopeful, "gid long, doc long, component long"), "hopeful")
-    sets = reps.join(_few(hopeful.select(F.col("doc").alias("doc_id")).distinct()), "doc_id", "left_semi").mapInArrow(_emit_sets, "doc_id long, feats binary")
-    more = hopeful.join(sets.withColumnRenamed("doc_id", "doc"), "doc").select(bucket, "gid", "doc", "component", "feats").groupBy("bucket").applyInArrow(_forest, "a long, b long")
-    more = work.write(more.distinct(), "more")
-    comp = work.write(components(links.unionByName(more), work, "cc2"), "final")
-    work.drop("groups", "comp", "spanning", "suspects", "suspect-texts", "rare", "hopeful", "star-links", "more")
+    hopeful = rest.join(known, "doc").select(bucket, "gid", "doc", "component", "n_shingles", "sketch").groupBy("bucket").applyInArrow(_hopeful, "a long, b long")
+    hopeful = work.write(hopeful.distinct(), "hopeful")
+    if not hopeful.isEmpty():
+        cluster = work.write(components(hopeful, work, "clusters"), "clustered").select(F.col("node").alias("doc"), F.col("component").alias("gid"))
+        sets = reps.join(_few(cluster.select(F.col("doc").alias("doc_id"))), "doc_id", "left_semi").mapInArrow(_emit_sets, "doc_id long, feats binary")
+        placed = cluster.join(cluster.groupBy("gid").agg(F.count("*").alias("n")), "gid").join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        more = _tiled(placed).join(sets.withColumnRenamed("doc_id", "doc"), "doc").select(bucket, "gid", "doc", "component", "feats").groupBy("bucket").applyInArrow(_forest, "a long, b long")
+        more = work.write(more.distinct(), "more")
+        if not more.isEmpty():
+            comp = work.write(components(links.unionByName(more), work, "cc2"), "final")
+    work.drop("groups", "spanning", "suspects", "suspect-texts", "rare", "hopeful", "clustered", "star-links", "more")
     # the smallest doc_id of a component: the smallest over its classes' representatives
     found = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     found = sized.drop("sketch").join(found, ["n_shingles", "h1", "h2"], "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import tempfile
 import uuid
@@ -23,11 +24,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured (tests)."""
+    """The cluster's shared folder; a temporary one only where none is configured and Spark is local (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
         found = tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -60,19 +63,19 @@ class Workspace:
             path.getFileSystem(conf).delete(path, True)
 
 
-def components(edges: DataFrame, work: Workspace, name: str = "cc", max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, work: Workspace, name: str = "cc") -> DataFrame:
     """(node, component) for every node of ``edges`` (a long, b long): the smallest node reachable.
 
     Alternating large-star and small-star contraction: each round is two hash aggregations and
     two equi-joins, the edge set never grows, and stars, chains and cliques settle in a
-    logarithmic number of rounds. Only one checksum a round reaches the driver.
+    logarithmic number of rounds; it ends when a round changes nothing. Only one checksum a round reaches the driver.
     """
     e = work.write(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
     def state_of(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     last = state_of(e)
-    for k in range(1, max_rounds + 1):
+    for k in itertools.count(1):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

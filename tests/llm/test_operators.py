@@ -79,6 +79,8 @@ def test_jaccard_join(spark, corpus):
 @pytest.mark.parametrize("shared", [40, 150, 400])
 def test_jaccard_join_on_a_passage_that_many_documents_share(spark, monkeypatch, shared):
     monkeypatch.setattr(jaccard_join, "TILE", 32)
+    monkeypatch.setattr(jaccard_join, "PART", 20)
+    monkeypatch.setattr(jaccard_join, "SKETCH_BITS", 64)  # bits tell little, sets decide
     rng = np.random.default_rng(shared)
     passage = prose(rng, shared, 10_000)
     rows = [(i, passage + " " + prose(rng, 120, 10_000)) for i in range(150)]
