@@ -73,6 +73,38 @@ class Reader:
             i = int(ranks[block]) + int(span.sum())
         return value
 
+    def _rank(self, level: int, i: int) -> int:
+        """Entries of a level before ``i`` that go on."""
+        _, bits, ranks = self.levels[level]
+        block = i // RANK_BITS
+        if block == len(ranks):  # the end of a level whose last block is full
+            block -= 1
+        part = bits[block * RANK_BITS // 8 : -(-i // 8)]
+        return int(ranks[block]) + int(np.unpackbits(part, count=i - block * RANK_BITS, bitorder="little").sum()) if i else 0
+
+    def slice(self, start: int, end: int) -> np.ndarray:
+        """Ids start to end - 1, reading no other entry: those that go on are a run of the next level too."""
+        if not 0 <= start <= end <= self.n:
+            raise IndexError((start, end))
+        runs = []
+        for k, (low, bits, _) in enumerate(self.levels):
+            if start == end:
+                break
+            value, more = low[start:end].astype(np.uint32), None
+            if bits is not None:
+                more = np.unpackbits(bits[start >> 3 : -(-end // 8)], bitorder="little")[start & 7 :][: end - start].astype(bool)
+                start = self._rank(k, start)
+                end = start + int(more.sum())
+            runs.append((value, more))
+            if more is None:
+                break
+        below = np.zeros(0, np.uint32)
+        for value, more in reversed(runs):
+            if more is not None:
+                value[more] |= below << np.uint32(8)
+            below = value
+        return below
+
     def all(self) -> np.ndarray:
         below = None
         for low, bits, _ in reversed(self.levels):

@@ -8,11 +8,13 @@ with edits is found if a segment in it is within its budget. Shorter passages of
 short item, are not sought. For a segment of length L the edit budget is
 ``e = floor(RATE * L)``; a region within it shares at least ``L - q + 1 - q*e`` q-grams. Hits are counted
 in overlapping diagonal bands of width ``2(e+1)``, so every region within the budget lies wholly in one
-band; regions that meet the bound are verified by a banded alignment of the segment against the text.
+band; regions that meet the bound are verified by an alignment of the segment along the diagonals of that band.
 
-Nulls, empty texts and items without ``Q`` folded characters give no hit. Repeated documents are each
-reported. The benchmark is the stated query set: it is split into blocks of ``BLOCK_ITEMS`` rows, and every
-block is held against all documents; a worker never holds more than one block.
+Nulls, empty texts and items without ``Q`` folded characters give no hit, nor does an empty table. Repeated documents are
+each reported, repeated items once; of equal edits the first region in the text is told. Rows without id are not searched or
+sought; other columns are ignored. Whole texts are read, some ``CHUNK`` bytes at a time, a longer one alone. The benchmark is
+the stated query set: it is split into blocks of about ``BLOCK_BYTES`` of text, and every block is held against all
+documents; a worker never holds more than one block.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ RATE = 0.08
 LONG, SEGMENT, STRIDE = 160, 120, 60
 SHORT, STEP = 64, 16
 PASSAGE = SHORT + STEP - 1
-BLOCK_ITEMS = 20_000
+BLOCK_BYTES = 4 << 20
 #: Bytes of text searched at once; the hits of a chunk are the largest thing a worker holds.
 CHUNK = 1 << 18
 #: Pairs of document and segment up to which hits are counted in a dense array.
@@ -103,14 +105,17 @@ class Index:
         self.least = np.full(len(items), np.iinfo(np.int64).max)
         np.minimum.at(self.least, self.of[place[order]], self.need[self.seg])
         self.reach = int((self.length + 2 * self.budget).max(initial=1))
-        self.bits = max(16, int(np.ceil(np.log2(len(self.keys) * 64 + 1))))
-        self.filter = np.zeros(1 << self.bits, bool)
-        self.filter[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
+        # one bit in 16 is set at most, and the table fits a processor's cache for most benchmarks
+        self.bits = max(16, int(np.ceil(np.log2(len(self.keys) * 16 + 1))))
+        marked = np.unique(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.filter = np.zeros(1 << (self.bits - 3), np.uint8)
+        np.bitwise_or.at(self.filter, marked >> 3, np.uint8(1) << (marked & 7).astype(np.uint8))
 
     def hits(self, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position in the stream, place among the items' q-grams) of every shared q-gram."""
         g = grams(stream)
-        pos = np.flatnonzero(self.filter[(g >> np.uint64(64 - self.bits)).astype(np.int64)])
+        at = (g >> np.uint64(64 - self.bits)).astype(np.int64)
+        pos = np.flatnonzero(self.filter[at >> 3] >> (at & 7).astype(np.uint8) & np.uint8(1))
         g = g[pos]
         k = np.searchsorted(self.keys, g)
         k[k == len(self.keys)] = 0
@@ -141,15 +146,25 @@ def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return which, np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum()) if len(count) else which
 
 
-def banded(pattern: np.ndarray, text: np.ndarray, budget: int) -> int:
-    """Least edits that turn ``pattern`` into some substring of ``text``, or budget + 1 if more."""
-    m, n = len(pattern), len(text)
-    row, step = np.zeros(n + 1, np.int64), np.arange(n + 1)
+def banded(pattern: np.ndarray, text: np.ndarray, budget: int, first: int | None = None, last: int | None = None) -> int:
+    """Least edits that turn ``pattern`` into some substring of ``text``, or budget + 1 if more.
+
+    Only cells of the diagonals (position in the text less that in the pattern) from first to last are computed.
+    """
+    m, n, far = len(pattern), len(text), 1 << 30
+    first, last = (-m if first is None else first), (n if last is None else last)
+    step = np.arange(last - first + 1)
+    ahead = max(0, 1 - first)
+    padded = np.concatenate((np.full(ahead, 1 << 31, np.int64), text.astype(np.int64), np.full(max(0, m + last - n), 1 << 31, np.int64)))
+    row = np.where((first + step >= 0) & (first + step <= n), 0, far)
     for i in range(1, m + 1):
-        new = np.empty_like(row)
-        new[0] = i
-        new[1:] = np.minimum(row[:-1] + (text != pattern[i - 1]), row[1:] + 1)
+        j = i + first + step
+        new = row + (padded[i + first - 1 + ahead : i + first + ahead + len(step) - 1] != pattern[i - 1])
+        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
+        new[j == 0] = i
+        new[j < 0] = far
         row = np.minimum.accumulate(new - step) + step
+        row[j > n] = far
         if row.min() > budget:
             return budget + 1
     return min(int(row.min()), budget + 1)
@@ -221,7 +236,8 @@ def _regions(index: Index, doc: np.ndarray, buf: np.ndarray, off: np.ndarray) ->
         lo = max(lo, int(off[o]))
         region = stream[lo:hi]
         exact = region.tobytes().find(index.text[s].tobytes()) % 4 == 0  # -1 is no find; only whole characters count
-        edits = 0 if exact else banded(index.text[s], region, e)
+        first = b * (e + 1) - (length + 2) - (lo - int(off[o]))
+        edits = 0 if exact else banded(index.text[s], region, e, first, first + 2 * (e + 1) - 1)
         if edits <= e and edits < best.get(key, (e + 1,))[0]:
             best[key] = (edits, int(src[lo] - src[off[o]]), int(src[hi - 1] - src[off[o]]))
     keys = sorted(best)
@@ -241,7 +257,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n_blocks = max(1, -(-items.count() // BLOCK_ITEMS))
+    n_blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
     out = None
     for block in range(n_blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block).orderBy("item_id", "text").collect()

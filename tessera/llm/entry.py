@@ -18,7 +18,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents")).drop("n_rows")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.fold(parts=7) == 2)
-    return lm_score.lm_score(docs, ~F.col("held_out")).join(docs.select("doc_id", "held_out"), "doc_id").select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+    return lm_score.lm_score(docs, ~F.col("held_out")).withColumn("held_out", language_id.fold(parts=7) == 2).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
 def queries() -> dict:

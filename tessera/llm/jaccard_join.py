@@ -431,10 +431,11 @@ def _tiled(groups: DataFrame) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_copies, kept for every document of ``docs`` (doc_id long, text string).
+    """doc_id, n_shingles, component_id, n_copies, kept, n_rows for every document of ``docs`` (doc_id long, text string).
 
     component_id is the smallest doc_id reachable over links of Jaccard similarity of 0.75 or more on
-    5-word shingles. n_copies counts the documents with the same set; kept marks the one of each component.
+    5-word shingles. n_copies counts the documents with the same set; kept marks the one of each component; n_rows counts the rows
+    of the doc_id.
     """
     spark = prepare(docs.sparkSession)
     work, n = Workspace(spark, "jaccard"), partitions(spark)
@@ -446,9 +447,10 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
     sized = size_up(docs, "sizes")
     if not sized.where("n_rows > 1").isEmpty():
+        repeats = sized.select("doc_id", "n_rows")
         docs = work.write(docs.groupBy("doc_id").agg(F.min("text").alias("text")), "once")
         sized = size_up(docs, "sizes-once")
-    sized = sized.drop("n_rows")
+        sized = sized.drop("n_rows").join(repeats, "doc_id")
     classes = work.write(sized.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "classes")
     copies = sized.where("n_shingles > 0").join(classes.where("n_copies > 1"), ["n_shingles", "h1", "h2"]).where("doc_id <> rep")
     # later copies leave before signatures are made; their number decides how
@@ -479,4 +481,4 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     found = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     found = sized.drop("sketch").join(found, ["n_shingles", "h1", "h2"], "left")
     own = F.coalesce("component", "doc_id")
-    return found.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), (own == F.col("doc_id")).alias("kept"))
+    return found.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), (own == F.col("doc_id")).alias("kept"), F.col("n_rows").cast("long").alias("n_rows"))

@@ -7,7 +7,9 @@ n-gram the profile lacks. The nearest profile is the language; the score is 1 le
 greatest possible.
 
 Null, empty and letterless texts are ``und`` with score 0, and so is everything when nothing was learnt. Ties
-go to the smaller n-gram and the smaller language name. Rows with a null lang teach nothing.
+go to the smaller n-gram and the smaller language name. Rows with a null lang teach nothing. Every row is predicted for
+itself, repeated ids and rows without one too; other columns are ignored, and an empty table gives an empty result.
+Whole texts are read, some ``CHUNK_BYTES`` at a time, a longer one alone.
 """
 
 from __future__ import annotations
@@ -104,7 +106,8 @@ def learn(docs: DataFrame, size: int = PROFILE) -> dict[str, list[int]]:
     return {r["lang"]: [g["gram"] for g in r["grams"]] for r in lists.orderBy("lang").collect() if r["grams"]}
 
 
-def _predict(profiles: dict[str, list[int]], size: int):
+def _predict(profiles: dict[str, list[int]], size: int, least: float | None = None):
+    """Predictions of each batch; with ``least``, its rows of a learnt language with that score or more instead."""
     names = sorted(profiles)
     every = np.unique(np.concatenate([np.array(profiles[n], np.int64) for n in names])) if names else np.zeros(0, np.int64)
     rank = np.full((len(every) + 1, max(1, len(names))), -1, np.int64)
@@ -142,6 +145,9 @@ def _predict(profiles: dict[str, list[int]], size: int):
                     best = int(np.argmin(away))
                     pred.append(names[best])
                     score.append(1.0 - float(away[best]) / (size * len(grams)))
+            if least is not None:
+                yield batch.filter(pa.array([p != UND and s >= least for p, s in zip(pred, score, strict=True)], pa.bool_()))
+                continue
             arrays = [c for c, f in zip(batch.columns, batch.schema, strict=True) if f.name != "text"]
             kept = [f.name for f in batch.schema if f.name != "text"]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*kept, "lang_pred", "score"])
@@ -155,6 +161,12 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_predict(profiles, size), "doc_id long, lang_pred string, score double")
 
 
+def keep(docs: DataFrame, profiles: dict[str, list[int]], least: float, size: int = PROFILE) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text is of a learnt language with a score of ``least`` or more."""
+    prepare(docs.sparkSession)
+    return docs.mapInArrow(_predict(profiles, size, least), docs.schema)
+
+
 def fold(column: str = "doc_id", parts: int = 5):
     """crc32 of the id written as text, modulo ``parts``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts

@@ -9,7 +9,8 @@ so the list is linear in the parties. In a shard, documents lie in seeded order
 blocks; with quota r over n blocks every block is taken ``r div n`` times, and ``r mod n`` of them once more,
 chosen by systematic seeded selection.
 
-Null text has size 0; repeated rows count each; an empty table gives an empty result.
+Null text has size 0; repeated rows count each, and so do rows without doc_id; other columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -55,14 +56,14 @@ def apportion(parties: DataFrame, group: list[str], weight: str, seats: str, ide
     return parties.join(got.select(*renamed, out), match, "left").drop(*[f"_k{i}" for i in range(len(key))])
 
 
-def mix(docs: DataFrame, block: int = BLOCK, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, copies, one row for each row of ``docs``.
+def mix(docs: DataFrame, block: int = BLOCK, seed: str = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, copies and ``carry``, one row for each row of ``docs``.
 
     taken counts the words that the mix takes from the document, repeats included; copies is how often
     the whole document appears when documents are not cut at block edges (its first word's block decides).
     """
     work = Workspace(prepare(docs.sparkSession), "mix")
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.concat(F.lit(seed + "/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))).alias("_key"))
+    sized = docs.select("doc_id", "source", *carry, n_words(F.col("text")).alias("size"), F.md5(F.concat(F.lit(seed + "/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))).alias("_key"))
     sized = work.write(sized, "sized")
     src = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     everything = Window.partitionBy(F.lit(0))
@@ -88,7 +89,7 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: str = SEED) -> DataFrame:
     shard = shard.withColumn("_n", F.greatest(F.lit(1).cast("long"), n)).withColumn("_r", F.least(F.col("_r"), MAX_REPEAT * n))
     shard = shard.withColumn("_o", _hash(F.concat(F.lit(seed), F.lit("/"), F.col("_rank").cast("string"), F.lit("/"), F.col("_shard").cast("string"))) % F.col("_n"))
     rows = rows.drop("_quota").join(shard, ["_rank", "_shard"])
-    lie = Window.partitionBy("_rank", "_shard").orderBy("_key", "doc_id", "size")
+    lie = Window.partitionBy("_rank", "_shard").orderBy("_key", "doc_id", "size", *carry)
     rows = rows.withColumn("_c1", F.sum("size").over(lie.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_c0", F.col("_c1") - F.col("size"))
     turns = F.expr("_r div _n")
     extra = F.col("_r") % F.col("_n")
@@ -102,4 +103,4 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: str = SEED) -> DataFrame:
 
     first = F.floor(F.col("_c0") / block).cast("long")
     copies = F.when(F.col("size") > 0, turns + chosen_before(first + 1) - chosen_before(first)).otherwise(0)
-    return rows.select("doc_id", "source", "size", "source_size", "target", (taken_before(F.col("_c1")) - taken_before(F.col("_c0"))).cast("long").alias("taken"), copies.cast("long").alias("copies"))
+    return rows.select("doc_id", "source", *carry, "size", "source_size", "target", (taken_before(F.col("_c1")) - taken_before(F.col("_c0"))).cast("long").alias("taken"), copies.cast("long").alias("copies"))

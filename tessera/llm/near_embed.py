@@ -326,7 +326,8 @@ def _counted(members: DataFrame, work: Workspace, attempt: int) -> DataFrame:
     left = tiled.select(*cols, F.lit(0).alias("side"), F.col("c").alias("i"), other.alias("j"))
     right = tiled.select(*cols, F.lit(1).alias("side"), F.col("c").alias("j"), other.alias("i")).select(*cols, "side", "i", "j")
     both = left.unionByName(right)
-    got = both.groupBy("component", "i", "j").applyInArrow(_tiles, "rep long, others long, linked long").groupBy("rep").agg(F.sum("others").alias("others"), F.sum("linked").alias("linked"))
+    # one hashed key: rows that already lie by component are dealt anew, tile by tile
+    got = both.withColumn("tile", F.xxhash64("component", "i", "j")).drop("i", "j").groupBy("tile").applyInArrow(_tiles, "rep long, others long, linked long").groupBy("rep").agg(F.sum("others").alias("others"), F.sum("linked").alias("linked"))
     return members.select("rep", "component").join(got, "rep", "left")
 
 

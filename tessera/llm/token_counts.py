@@ -2,12 +2,13 @@
 
 A document is encoded once as a whole. Its tokens' spans and its sections' spans are both intervals over the
 same text; the two are joined by position, and a token that crosses section edges goes where the rule
-says: ``first`` (the section of its first byte), ``last`` (of its last byte) or ``most`` (where most of its bytes lie, the
-earlier on a tie). Spans are kept in UTF-8 bytes, as a token of a byte-level vocabulary may hold part of a
-character; section edges lie between characters, so the counts are those of character spans.
+says: ``first`` (the section of its first character), ``last`` (of its last one) or ``most`` (where most of its
+characters lie, the earlier on a tie). Spans are the library's own offsets in characters; a token of a byte-level
+vocabulary that is part of a character has that character's span.
 
 Sections are the lines of a text, each with the newline that ends it. Null and empty texts have no section and
-no token. Every row is counted for itself, repeated ids too.
+no token. Every row is counted for itself, repeated ids and rows without one too; other columns are ignored and an
+empty table gives an empty result. Texts are encoded some ``BATCH`` bytes at a time, a longer one alone.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from tessera.llm.textops import chunks
 from tessera.llm.token_encode import default_tokenizer, encoder
 
 RULES = ("first", "last", "most")
+BATCH = 1 << 18
 
 
 def attribute(begins: np.ndarray, ends: np.ndarray, edges: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
@@ -46,21 +48,23 @@ def _count(path: str, rule: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            for a, b, buf, off in chunks(batch.column("text")):
-                ids, bounds = enc.encode(buf, off)
-                ends = np.cumsum(enc.n_bytes()[ids])
-                begins = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-                # tokens tile the bytes, so positions in the chunk serve for all its documents
-                lines = np.flatnonzero(buf == 10) + 1
-                edges = np.union1d(off[:-1][np.diff(off) > 0], lines[~np.isin(lines, off)])
-                where, cross = attribute(begins, ends, edges, rule)
-                per = np.bincount(where, minlength=len(edges)) if len(edges) else np.zeros(0, np.int64)
-                first = np.searchsorted(edges, off)
-                crossing = np.concatenate(([0], np.cumsum(cross)))[bounds]
+            for a, b, buf, off in chunks(batch.column("text"), BATCH):
+                raw = buf.tobytes()
+                texts = [raw[x:y].decode("utf-8", "replace") for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+                tokens = enc.spans(texts)
+                n = np.array([len(t) for t in tokens])
+                begin = np.concatenate(([0], np.cumsum([len(t) for t in texts])))  # the texts one after another, in characters
+                spans = np.concatenate(tokens) + np.repeat(begin[:-1], n)[:, None]
+                lines = np.flatnonzero(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32) == 10) + 1
+                edges = np.union1d(begin[:-1][np.diff(begin) > 0], lines[~np.isin(lines, begin)])
+                where, cross = attribute(spans[:, 0], spans[:, 1], edges, rule) if len(edges) else (np.zeros(0, np.int64), np.zeros(0, bool))
+                per = np.bincount(where, minlength=len(edges))
+                first = np.searchsorted(edges, begin)
+                crossing = np.concatenate(([0], np.cumsum(cross)))[np.concatenate(([0], np.cumsum(n)))]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(a, b - a),
-                        pa.array(np.diff(bounds), pa.int64()),
+                        pa.array(n, pa.int64()),
                         pa.array(np.diff(first), pa.int64()),
                         pa.array(np.diff(crossing), pa.int64()),
                         pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(per, pa.int64())),

@@ -1,13 +1,16 @@
 """Whole-text encoding with a public tokenizer, by distinct pieces.
 
-A byte-level BPE with the usual pre-tokenizer never merges across the edge between a run of non-space and the
-white space after it, so a text's ids are the ids of its pieces (white space and the word after it) in turn.
-Each worker encodes a distinct piece once with the tokenizers library and keeps its ids; a text that holds
-a special token's string or white space beyond 0x20 and 0x09-0x0D is encoded whole by the library.
+A byte-level BPE whose pre-tokenizer splits by the usual pattern and that has no normaliser never merges across the
+edge between a run of non-space and the white space after it, so a text's ids are the ids of its pieces (white space
+and the word after it) in turn. That the tokenizer is of this kind is read from its own settings when it is loaded
+(``by_pieces``); texts of any other are encoded whole. Each worker encodes a distinct piece once with the
+tokenizers library and keeps its bytes and ids; bytes are compared at every use. A text that holds a
+special token's string or white space beyond 0x20 and 0x09-0x0D is encoded whole by the library.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -33,6 +36,15 @@ def encoder(path: str) -> "Encoder":
     return _workers[path]
 
 
+def splits_at_space(settings: dict) -> bool:
+    """Whether the settings say a byte-level BPE with the usual pattern, with nothing that looks or acts beyond a piece."""
+    model, pre = settings["model"], settings.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    exact = all(not any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")) for t in settings.get("added_tokens", []))
+    return bool(plain and level and exact and not settings.get("normalizer") and not settings.get("truncation") and not settings.get("padding"))
+
+
 class Encoder:
     def __init__(self, path: str):
         import os
@@ -41,12 +53,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.lengths = None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.by_pieces = splits_at_space(json.loads(self.tokenizer.to_str()))
         self.forget()
 
     def forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)  # sorted piece hashes
+        self.at = np.zeros(0, np.int64)  # where a slot's bytes begin, and how many they are
+        self.size = np.zeros(0, np.int64)
+        self.text = np.zeros(0, np.uint8)
         self.slot = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
         self.first = np.zeros(1, np.int64)
@@ -54,22 +69,22 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def n_bytes(self) -> np.ndarray:
-        """UTF-8 bytes that each id stands for (a byte-level vocabulary writes one character a byte)."""
-        if self.lengths is None:
-            vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-            self.lengths = np.zeros(max(vocab.values()) + 1, np.int64)
-            for token, i in vocab.items():
-                self.lengths[i] = len(token)
-        return self.lengths
+    def spans(self, texts: list[str]) -> list[np.ndarray]:
+        """(begin, end) in characters of every token of each text, encoded whole."""
+        got = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        return [np.array(e.offsets, np.int64).reshape(-1, 2) for e in got]
 
     def odd(self, text: str) -> bool:
         return bool(_ODD.search(text)) or any(s in text for s in self.special)
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
         if len(self.keys) + len(keys) > CACHE_PIECES:
             self.forget()
-        got = self._library(pieces)
+        got = self._library([p.decode("utf-8", "replace") for p in pieces])
+        size = np.array([len(p) for p in pieces], np.int64)
+        self.at = np.append(self.at, len(self.text) + np.cumsum(size) - size)
+        self.size = np.append(self.size, size)
+        self.text = np.append(self.text, np.frombuffer(b"".join(pieces), np.uint8))
         n = np.array([len(i) for i in got], np.int64)
         self.slot = np.append(self.slot, np.arange(len(keys)) + len(self.first) - 1)
         self.first = np.append(self.first, self.first[-1] + np.cumsum(n))
@@ -78,6 +93,13 @@ class Encoder:
         order = np.argsort(self.keys, kind="stable")
         self.keys, self.slot = self.keys[order], self.slot[order]
 
+    def _same(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, slot: np.ndarray) -> bool:
+        size = ends - starts
+        if (self.size[slot] != size).any():
+            return False
+        shift = np.repeat(self.at[slot] - starts, size)
+        return bool((self.text[np.arange(len(buf)) + shift] == buf).all())
+
     def _slots(self, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(self.keys, want)
         at[at == len(self.keys)] = 0
@@ -86,6 +108,8 @@ class Encoder:
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents one after another, and the bounds of each document's."""
+        if not self.by_pieces:
+            return self._whole(buf.tobytes(), off)
         n_docs, n = len(off) - 1, len(buf)
         space = SPACE[buf]
         begin = np.zeros(n, bool)  # a piece begins at white space after ink, or where a document begins
@@ -103,11 +127,13 @@ class Encoder:
         raw = buf.tobytes()
         for a in range(0, len(fresh), 100_000):
             part = slice(a, a + 100_000)
-            self._learn(fresh[part], [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in where[part]])
+            self._learn(fresh[part], [raw[starts[i] : ends[i]] for i in where[part]])
         at, known = self._slots(keys)
         if not known.all():  # more distinct pieces in one chunk than the cache holds
             return self._whole(raw, off)
         slot = self.slot[at]
+        if not self._same(buf, starts, ends, slot):  # two pieces with one hash
+            return self._whole(raw, off)
         count = self.first[slot + 1] - self.first[slot]
         upto = np.concatenate(([0], np.cumsum(count)))
         flat = np.repeat(self.first[slot] - upto[:-1], count) + np.arange(upto[-1])

@@ -431,3 +431,147 @@ def test_pipeline_stages(spark, tmp_path, corpus):
     assert len(kept[1] & set(range(200, 230))) == 0
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == kept[3]
+
+
+REPEATS = [(1, "one two three four"), (1, "one two three four"), (1, None), (1, "zwei drei vier"), (None, "no id at all"), (2, ""), (None, None)]
+
+
+def test_lm_score_on_repeated_ids(spark):
+    rows = REPEATS + [(5, "one two two"), (6, "never seen qqq")]
+    df = docs_of(spark, rows)
+    for top in (lm_score.TOP, 2):
+        got = {r.doc_id: r for r in lm_score.lm_score(df, F.col("doc_id") < 6, top=top).collect()}
+        assert sorted(got) == [1, 2, 5, 6]
+        assert (got[1].n_tokens, got[1].n_known, got[2].n_tokens, got[6].n_known) == (5, 5, 1, 1)
+        c = collections.Counter(b"one two three four".split() + b"one two two".split() + [b" "] * 3)
+        n, v = sum(c.values()), len(c)
+        assert got[5].base_score == pytest.approx(sum(np.log10((c[k] + 1) / (n + v + 1)) for k in (b"one", b"two", b"two", b" ")))
+
+
+def test_lm_score_does_not_depend_on_the_split(spark, corpus, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD_DOCS", 40)
+    monkeypatch.setattr(lm_score, "FAN", 2)
+    df = docs_of(spark, corpus)
+    one, other = ({r.doc_id: r.score for r in lm_score.lm_score(d, F.col("doc_id") % 3 != 0).collect()} for d in (df.repartition(7, "text"), df.coalesce(1)))
+    assert one == pytest.approx(other, rel=1e-9)
+
+
+def test_unknown_words_pay_for_their_letters(spark):
+    rows = [(i, "aaa bbb aab " * 20) for i in range(1, 30)] + [(100, "aaa zzzzzzzzzzzzzzzzzzzz"), (101, "aaa zz")]
+    got = {r.doc_id: r for r in lm_score.lm_score(docs_of(spark, rows), F.col("doc_id") < 100).collect()}
+    assert got[100].score < got[101].score - 5
+
+
+def test_spelling_is_a_distribution():
+    total = np.zeros(257 * 257, np.int64)
+    buf = np.frombuffer(b"ab abc  b", np.uint8)
+    lm_score._spelling(buf, np.array([0, 9]), np.array([True, True, False, False]), total)
+    t = total.reshape(257, 257)
+    assert {(a, b): int(t[a, b]) for a, b in zip(*np.nonzero(t), strict=True)} == {(256, 97): 2, (97, 98): 2, (98, 256): 1, (98, 99): 1, (99, 256): 1}
+    table = np.log10((t + 0.5) / (t + 0.5).sum(1, keepdims=True))
+    assert lm_score.spelt(buf, np.array([0, 9]), table)[1] == pytest.approx(table[256, 97] + table[97, 98] + table[98, 99] + table[99, 256])
+
+
+def test_pipeline_stages_on_repeated_and_null_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(3)
+    long = prose(rng, 60)
+    rows = REPEATS + [(1, "one two three four"), (7, long), (7, long), (8, long + " more"), (None, long), (9, None)]
+    docs = docs_of(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    by = dict(corpus_pipeline.STAGES)
+    count = lambda d: collections.Counter((r.doc_id, r.text) for r in d.collect())
+    some = collections.Counter((i, t) for i, t in rows if t)
+    assert count(by["language ID"](spark, docs, str(tmp_path))) == some
+    assert count(by["n-gram Jaccard join"](spark, docs, str(tmp_path))) == {(1, "one two three four"): 1, (2, ""): 1, (7, long): 1, (9, None): 1}
+    assert count(by["benchmark decontamination"](spark, docs, str(tmp_path))) == collections.Counter(rows)
+    mixed, taken = count(by["mixing sources to target weights"](spark, docs, str(tmp_path))), collections.Counter()
+    for r in mixing.mix(docs).collect():
+        taken[r.doc_id] += r.copies
+    assert {k: sum(n for (i, _), n in mixed.items() if i == k) for k in {i for i, _ in mixed}} == {k: n for k, n in taken.items() if n}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name
+    docs.where("false").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_tokens_by_place(spark, corpus, monkeypatch):
+    monkeypatch.setattr(token_store, "SEGMENT_IDS", 700)
+    store = token_store.write_store(docs_of(spark, corpus), Workspace(spark, "t"))
+    rows = sorted(corpus, key=lambda r: r[0])
+    ids = [(d, i) for (d, _), x in zip(rows, library_ids([t for _, t in rows]), strict=True) for i in [*x, 0]]
+    ask = [0, 5, len(ids) - 1, 699, 700, 701, 5, -1, len(ids), *range(0, len(ids), 997)]
+    got = sorted((r.place, r.doc_id, r.id) for r in token_store.token_at(store, spark.createDataFrame([(a,) for a in ask], "place long")).collect())
+    assert got == sorted((a, *ids[a]) for a in ask if 0 <= a < len(ids))
+
+
+@pytest.mark.parametrize("n", [0, 1, 512, 1024, 3000])
+def test_dac_slices(n):
+    rng = np.random.default_rng(n)
+    ids = (rng.integers(0, 2**32, n) >> rng.integers(0, 32, n)).astype(np.uint32)
+    r = dac.Reader(dac.encode(ids))
+    for x, y in [(0, n), (n, n), (0, 0), *(sorted(rng.integers(0, n + 1, 2).tolist()) for _ in range(40))]:
+        assert (r.slice(x, y) == ids[x:y]).all()
+
+
+def test_other_tokenizers_go_whole():
+    from tessera.llm import token_encode
+
+    base = {"model": {"type": "BPE"}, "pre_tokenizer": {"type": "ByteLevel", "use_regex": True, "add_prefix_space": False}, "normalizer": None, "added_tokens": []}
+    assert token_encode.splits_at_space(base)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": None}, {"model": {"type": "Unigram"}}, {"added_tokens": [{"lstrip": True}]}):
+        assert not token_encode.splits_at_space(base | change)
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_section_counts(spark, rule):
+    from tokenizers import Tokenizer
+
+    from tessera.llm.token_encode import default_tokenizer
+
+    t, rows = Tokenizer.from_file(default_tokenizer()), [(i, x) for i, x in enumerate([*ODD, None, "", "\n", "a\n\n\n  b \n c\n", "x " * 5000 + "\n" + "y"])] + [(1, "again\n"), (None, "no id")]
+    want = []
+    for i, x in rows:
+        x = x or ""
+        edges = [0, *(k + 1 for k, ch in enumerate(x) if ch == "\n" and k + 1 < len(x))] if x else []
+        per, crossing = [0] * len(edges), 0
+        for a, b in t.encode(x, add_special_tokens=False).offsets:
+            of = [sum(e <= p for e in edges) - 1 for p in range(a, max(b, a + 1))]
+            crossing += of[0] != of[-1]
+            per[{"first": of[0], "last": of[-1], "most": max(sorted(set(of)), key=lambda s: (of.count(s), -s))}[rule]] += 1
+        want.append((i, sum(per), len(edges), crossing, tuple(per)))
+    got = [(r.doc_id, r.n_tokens, r.n_sections, r.n_crossing, tuple(r.section_tokens)) for r in token_counts.token_counts(docs_of(spark, rows), rule=rule).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_language_distances(spark):
+    """Labels and scores by brute force out-of-place distances."""
+    rng = np.random.default_rng(13)
+    rows = [(i, prose(rng, int(rng.integers(1, 60))) + " " + " ".join(rng.choice(["und", "the", "là", "que", "ΣΑΣ"], 8)), ["aa", "bb", None][i % 3]) for i in range(40)] + [(7, "the the"), (None, "und"), (99, "x " * 20000)]
+    df = docs_of(spark, rows)
+    model = language_id.learn(df, size=50)
+
+    def ranked(t):
+        s = "".join(c.lower() if c.isalpha() else " " for c in t).split()
+        c = collections.Counter()
+        for w in [" " + " ".join(s) + " "] if s else []:
+            for n in (1, 2, 3):
+                for k in range(len(w) - n + 1):
+                    g = w[k : k + n]
+                    if g.strip() and " " not in g[1:-1]:
+                        c[g] += 1
+        return c
+
+    def code(g):
+        return sum((ord(g[k]) if k < len(g) and g[k] != " " else 0 if k < len(g) else 0x1FFFFF) << 21 * k for k in range(3))
+
+    for r in language_id.predict(df, model, size=50).collect():
+        texts = [t for i, t, *_ in rows if i == r.doc_id]
+        good = []
+        for t in texts:
+            own = [code(g) for g, n in sorted(ranked(t).items(), key=lambda x: (-x[1], code(x[0])))][:50]
+            away = {k: sum(abs(v.index(g) - p) if g in v else 50 for p, g in enumerate(own)) for k, v in model.items()}
+            best = min(sorted(away), key=away.get)
+            good.append((best, pytest.approx(1 - away[best] / (50 * len(own)))))
+        assert any((r.lang_pred, r.score) == g for g in good)
