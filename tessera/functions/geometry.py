@@ -15,7 +15,7 @@ def col(x) -> Column:
 def floor_div(a, b) -> Column:
     """Integer division towards minus infinity; Spark's ``div`` truncates towards zero."""
     a, b = col(a).cast("long"), col(b).cast("long")
-    return F.floor((a - F.pmod(a, b)) / b).cast("long")
+    return F.call_function("div", a - F.pmod(a, b), b)
 
 
 def ceil_div(a, b) -> Column:

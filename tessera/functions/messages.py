@@ -98,6 +98,27 @@ def encode_list(id_, state, progress) -> Column:
     return F.concat_ws(",", col(id_), col(state), col(progress).cast("string"))
 
 
+def decode_list(text) -> Column:
+    """Array of struct(id, state, progress)."""
+    part = lambda e: F.split(e, ",")
+    return F.transform(F.split(col(text), ";"), lambda e: F.struct(part(e)[0].alias("id"), part(e)[1].alias("state"), part(e)[2].cast("int").alias("progress")))
+
+
+def tile_text(z, x, y) -> Column:
+    return F.concat_ws(",", col(z).cast("string"), col(x).cast("string"), col(y).cast("string"))
+
+
+def cache_key(image, version, z, x, y) -> Column:
+    """Key of a tile of one version of an image; a new version never meets an old tile."""
+    return F.concat(col(image), F.lit("#"), F.concat_ws("/", *[col(v).cast("string") for v in (version, z, x, y)]))
+
+
+def filter_bits(text) -> Column:
+    """The 512 bytes of a filter from Base64, or null for anything else."""
+    raw = F.try_to_binary(col(text), F.lit("base64"))
+    return F.when(F.length(raw) == 512, raw)
+
+
 def backoff_s(n) -> Column:
     return F.least(F.lit(30.0), F.pow(F.lit(2.0), col(n)))
 

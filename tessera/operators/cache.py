@@ -7,7 +7,7 @@ to all. LRU over items of fixed size also has a relational form, by stack distan
 
 from __future__ import annotations
 
-from collections import OrderedDict
+from collections import OrderedDict, deque
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -38,67 +38,67 @@ class Lru:
 
 
 class Arc:
-    """Adaptive: recent and frequent lists with ghosts of each, all bounded in bytes.
+    """Adaptive replacement (Megiddo and Modha) bounded in bytes: one table of items, each with its tier, size and stamp.
 
-    A hit on a ghost moves the target by the item's size times the ratio of ghost counts. Eviction follows
-    insertion, and ghosts are trimmed after it: the recent ones to the bound, then all lists to twice the bound.
+    Tiers 0 and 1 are kept items used once and again, 2 and 3 what is remembered of evicted ones. An item that
+    comes back from memory moves the target of tier 0 by its size times the ratio of the memories' counts, at
+    least 1. Room is made after storing: first by eviction, then by forgetting the oldest of tier 2 over the bound and
+    of tier 3 over twice the bound in all. A tier's queue keeps outdated stamps, which are skipped at its head.
     """
 
     def __init__(self, limit: int):
-        self.limit, self.target = limit, 0
-        self.lists = {name: OrderedDict() for name in ("recent", "often", "was_recent", "was_often")}
-        self.bytes = dict.fromkeys(self.lists, 0)
+        self.limit, self.target, self.clock = limit, 0, 0
+        self.items: dict[str, tuple[int, int, int]] = {}
+        self.queues = [deque() for _ in range(4)]
+        self.bytes, self.count = [0] * 4, [0] * 4
+
+    def _place(self, key: str, tier: int | None, size: int | None = None) -> None:
+        """Moves an item to the end of a tier, or out of the table."""
+        if key in self.items:
+            old, had, _ = self.items.pop(key)
+            self.bytes[old] -= had
+            self.count[old] -= 1
+            size = had if size is None else size
+        if tier is not None:
+            self.clock += 1
+            self.items[key] = tier, size, self.clock
+            self.queues[tier].append((key, self.clock))
+            self.bytes[tier] += size
+            self.count[tier] += 1
+
+    def _oldest(self, tier: int) -> str:
+        queue = self.queues[tier]
+        while True:
+            key, stamp = queue[0]
+            if key in self.items and self.items[key][2] == stamp:
+                return key
+            queue.popleft()
 
-    def _add(self, name: str, key: str, size: int) -> None:
-        self.lists[name][key] = size
-        self.bytes[name] += size
-
-    def _take(self, name: str, key: str) -> int | None:
-        size = self.lists[name].pop(key, None)
-        if size is not None:
-            self.bytes[name] -= size
-        return size
-
-    def _oldest(self, name: str) -> tuple[str, int]:
-        key = next(iter(self.lists[name]))
-        return key, self._take(name, key)
+    def peek(self, key: str) -> bool:
+        return self.items.get(key, (4,))[0] < 2
 
     def get(self, key: str) -> bool:
-        size = self._take("recent", key)
-        if size is None:
-            size = self._take("often", key)
-        if size is None:
-            return False
-        self._add("often", key, size)
-        return True
-
-    def peek(self, key: str) -> bool:
-        return key in self.lists["recent"] or key in self.lists["often"]
+        hit = self.peek(key)
+        if hit:
+            self._place(key, 1)
+        return hit
 
     def put(self, key: str, size: int) -> None:
-        if self.peek(key) or size > self.limit:
+        tier = self.items.get(key, (4,))[0]
+        if tier < 2 or size > self.limit:
             return
-        from_often = False
-        if self._take("was_recent", key) is not None:
-            ratio = max(1.0, len(self.lists["was_often"]) / (len(self.lists["was_recent"]) + 1))
-            self.target = min(self.limit, self.target + int(size * ratio))
-            self._add("often", key, size)
-        elif self._take("was_often", key) is not None:
-            ratio = max(1.0, len(self.lists["was_recent"]) / (len(self.lists["was_often"]) + 1))
-            self.target = max(0, self.target - int(size * ratio))
-            from_often = True
-            self._add("often", key, size)
-        else:
-            self._add("recent", key, size)
-        b = self.bytes
-        while b["recent"] + b["often"] > self.limit:
-            over = b["recent"] > self.target or (from_often and b["recent"] >= self.target) or not self.lists["often"]
-            name = "recent" if self.lists["recent"] and over else "often"
-            self._add(f"was_{name}", *self._oldest(name))
-        while b["recent"] + b["was_recent"] > self.limit and self.lists["was_recent"]:
-            self._oldest("was_recent")
-        while sum(b.values()) > 2 * self.limit and self.lists["was_often"]:
-            self._oldest("was_often")
+        if tier < 4:
+            step = int(size * max(1.0, self.count[5 - tier] / self.count[tier]))
+            self.target = max(0, min(self.limit, self.target + (step if tier == 2 else -step)))
+        self._place(key, 0 if tier == 4 else 1, size)
+        least = self.target + (0 if tier == 3 else 1)  # bytes of tier 0 from which on it gives way
+        while self.bytes[0] + self.bytes[1] > self.limit:
+            gives = self.count[0] and (self.bytes[0] >= least or not self.count[1])
+            self._place(self._oldest(0 if gives else 1), 2 if gives else 3)
+        while self.count[2] and self.bytes[0] + self.bytes[2] > self.limit:
+            self._place(self._oldest(2), None)
+        while self.count[3] and sum(self.bytes) > 2 * self.limit:
+            self._place(self._oldest(3), None)
 
 
 POLICIES = {"lru": Lru, "arc": Arc}

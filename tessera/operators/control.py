@@ -87,17 +87,28 @@ def occupancy(reports: DataFrame, sends: DataFrame) -> DataFrame:
 
 
 def link_departures(messages: DataFrame, kb_per_s: int, latency_ms: int = 0) -> DataFrame:
-    """Departure of each message (session, ord, now_ns, bytes) of a FIFO link, in closed form.
+    """Departure of each message (session, ord, now_ns, bytes) of a FIFO link, in closed form; a bandwidth of 0 is no limit.
 
     With service sums S, the link is free after message i at S_i + max over j <= i of (arrival_j - S_(j-1)).
     """
-    service = F.floor(F.col("bytes") * 1_000_000 / kb_per_s).cast("long")
+    service = F.call_function("div", F.col("bytes").cast("long") * 1_000_000, F.lit(kb_per_s).cast("long")) if kb_per_s else F.lit(0).cast("long")
     w = Window.partitionBy("session").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     m = messages.withColumn("svc", service).withColumn("s", F.sum("svc").over(w))
     m = m.withColumn("free_ns", F.col("s") + F.max(F.col("now_ns") - (F.col("s") - F.col("svc"))).over(w))
     return m.withColumn("out_ns", F.col("free_ns") + latency_ms * 1_000_000).drop("svc", "s")
 
 
+def turns(queue: DataFrame, after_ms: int = 300) -> DataFrame:
+    """Adds ``sent_ns`` to the sends (session, ord, rate, quiet_ms) of a queue that never empties.
+
+    A send leaves a step of 1 / rate after the one before it; without a report for ``after_ms`` the rate is the least.
+    """
+    rate = F.when(F.col("quiet_ms") > after_ms, F.lit(R_MIN)).otherwise(F.col("rate"))
+    step = F.floor(F.lit(1e9) / rate).cast("long")
+    w = Window.partitionBy("session").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    return queue.withColumn("sent_ns", F.coalesce(F.sum(step).over(w), F.lit(0)).cast("long"))
+
+
 class JavaRandom:
     """The 48-bit linear congruential generator whose draws the loss contract fixes."""
 

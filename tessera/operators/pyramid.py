@@ -58,9 +58,9 @@ def cut_tiles(pixels: DataFrame, channels: list[str], tile: int) -> DataFrame:
     return t.select("z", "tx", "ty", F.unhex(F.array_join(hexes, "")).alias("bytes"))
 
 
-def index(tiles: DataFrame, cols: int, z: str = "z") -> DataFrame:
-    """Running offsets in row-major order of each level for tiles (z, x, y, length)."""
-    w = Window.partitionBy(z).orderBy("y", "x")
+def index(tiles: DataFrame, cols: int, keys: tuple[str, ...] = ("img", "z")) -> DataFrame:
+    """Running offsets in row-major order of each image's level for tiles (img, z, x, y, length)."""
+    w = Window.partitionBy(*keys).orderBy("y", "x")
     before = F.coalesce(F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
     return tiles.withColumn("offset", before).withColumn("slot", (F.col("y") * cols + F.col("x")).cast("long"))
 

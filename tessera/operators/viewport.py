@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,14 +42,6 @@ def visible(views: DataFrame, grid: DataFrame, tile: int = TILE) -> DataFrame:
     return t.withColumn("rank", F.row_number().over(w) - 1).select("session", "seq", "t0", "z", "tx", "ty", "dist", "rank")
 
 
-def new_tiles(tiles: DataFrame) -> DataFrame:
-    """Tiles that the session has not been sent for an earlier view (a first-send window, at most MAX_NEW a view)."""
-    first = F.row_number().over(Window.partitionBy("session", "z", "tx", "ty").orderBy("seq"))
-    fresh = tiles.withColumn("nth", first).where("nth = 1").drop("nth")
-    w = Window.partitionBy("session", "seq").orderBy("dist", "ty", "tx")
-    return fresh.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < MAX_NEW)
-
-
 def schedule(tiles: DataFrame) -> DataFrame:
     """Earliest-deadline-first order of each view's new tiles."""
     d = tiles.withColumn("deadline", deadline("t0", "dist"))
@@ -63,15 +56,6 @@ def parity_groups(scheduled: DataFrame) -> DataFrame:
     return out.where("members >= 2").select("session", "seq", F.col("grp").cast("long").alias("grp"), "members", "first_rank", (F.col("last") + 1_000_000).alias("deadline"))
 
 
-def paced(requests: DataFrame, rate: float) -> DataFrame:
-    """Send times at a constant rate and what a later view of the session cuts off.
-
-    Request k of a view leaves at t0 + k / rate; it is sent if that is before the session's next view.
-    """
-    sent = F.col("t0") + F.floor(F.col("turn") * F.lit(1e9 / rate)).cast("long")
-    return requests.withColumn("sent_ns", sent).withColumn("sent", F.col("next_t0").isNull() | (sent < F.col("next_t0"))).withColumn("late", F.col("sent") & (sent > F.col("deadline")))
-
-
 def contains(z_bits: Column, h1: Column, h2: Column) -> Column:
     """Filter membership: every position is among the set bits (array<int>)."""
     return F.size(F.array_except(positions_of(h1, h2), z_bits)) == 0
@@ -79,7 +63,8 @@ def contains(z_bits: Column, h1: Column, h2: Column) -> Column:
 
 def holdings_filter(held: DataFrame, keys: list[str]) -> DataFrame:
     """Set bits of each key's filter from rows with ``positions``."""
-    return held.select(*keys, F.explode("positions").alias("bit")).groupBy(*keys).agg(F.array_sort(F.collect_set("bit")).alias("bits"), F.countDistinct("bit").alias("popcount"))
+    found = held.select(*keys, F.explode("positions").alias("bit")).groupBy(*keys).agg(F.array_sort(F.collect_set("bit")).alias("bits"))
+    return found.withColumn("popcount", F.size("bits").cast("long"))
 
 
 def bitmap(bits: DataFrame, keys: list[str]) -> DataFrame:
@@ -100,17 +85,77 @@ def nearest_ancestor(missing: DataFrame, cached: DataFrame, depth: int) -> DataF
     return missing.join(best, ["session", "z", "x", "y"], "left").select("session", "z", "x", "y", "a.az", "a.ax", "a.ay")
 
 
-def _xor(rows: pd.DataFrame) -> bytes:
-    out = np.zeros(max(map(len, rows["payload"])), np.uint8)
-    for p in rows["payload"]:
-        out[: len(p)] ^= np.frombuffer(p, np.uint8)
-    return out.tobytes()
-
+def _xor(table: pa.Table) -> pa.Table:
+    """XOR of the payloads of each group of one bucket."""
+    out: dict[int, np.ndarray] = {}
+    for k, p in zip(table.column("key").to_pylist(), table.column("payload"), strict=True):
+        p = np.frombuffer(p.as_buffer(), np.uint8)
+        have = out.get(k)
+        if have is None or len(have) < len(p):
+            out[k] = np.concatenate((have, np.zeros(len(p) - len(have), np.uint8))) if have is not None else np.zeros(len(p), np.uint8)
+        out[k][: len(p)] ^= p
+    return pa.table([pa.array(list(out), pa.int64()), pa.array([v.tobytes() for v in out.values()], pa.binary())], names=["key", "parity"])
 
-def parity_bytes(members: DataFrame, key: str) -> DataFrame:
-    """XOR of each group's payloads, padded with zeros to the longest; a group has GROUP members at most."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({key: [rows[key].iloc[0]], "parity": [_xor(rows)]})
+def parity_bytes(members: DataFrame, key: str, buckets: int = 512) -> DataFrame:
+    """XOR of each group's payloads, padded with zeros to the longest; a group has GROUP members at most.
 
-    return members.select(F.col(key).cast("long").alias(key), "payload").groupBy(key).applyInPandas(fold, f"{key} long, parity binary")
+    Groups are dealt to buckets, so that a call of Python serves many.
+    """
+    rows = members.select(F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(buckets)).alias("bucket"), F.col(key).cast("long").alias("key"), "payload").where("payload is not null")
+    return rows.groupBy("bucket").applyInArrow(_xor, "key long, parity binary").withColumnRenamed("key", key)
+
+
+DELIVERY = "session long, seq long, kind string, z int, tx long, ty long, grp long, dist double, rank long, deadline long, turn long, sent_ns long, sent boolean, late boolean"
+NEVER = (1 << 63) - 1
+
+
+def _delivered(rate: float):
+    gap = int(1e9 / rate)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        held, slot, out, now_in = set(), 0, [], None
+        rows = rows.sort_values(["session", "seq", "rank"], kind="stable")
+        new = np.diff(rows["seq"].to_numpy(), prepend=-1) != 0
+        new |= np.diff(rows["session"].to_numpy(), prepend=-1) != 0
+        edges = np.append(np.flatnonzero(new), len(rows))
+        cols = [rows[c].tolist() for c in ("session", "seq", "t0", "next_t0", "z", "tx", "ty", "dist", "deadline")]
+        for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            session, seq, t0, until = (c[x] for c in cols[:4])
+            if session != now_in:
+                held, slot, now_in = set(), 0, session
+            until = NEVER if until != until or until is None else int(until)
+            tiles = [(int(z), int(tx), int(ty), d, int(due)) for z, tx, ty, d, due in zip(*(c[x:y] for c in cols[4:]), strict=True) if tx == tx and tx is not None]
+            fresh = [t for t in tiles if t[:3] not in held][:MAX_NEW]
+            jobs = [(t[4], r, "tile", t, None, r) for r, t in enumerate(fresh)]
+            n = min(len(fresh), PROTECTED)
+            n_groups = -(-n // GROUP) if n > 1 else 0
+            jobs += [(max(t[4] for t in fresh[g:n:n_groups]) + 1_000_000, MAX_NEW + g, "parity", None, g, None) for g in range(n_groups)]
+            jobs = sorted(jobs, key=lambda j: j[:2]) + [(NEVER, 0, "done", None, None, None)]
+            now = max(t0, slot)
+            for turn, (due, _, kind, tile, grp, rank) in enumerate(jobs, 1):
+                sent = now < until
+                out.append((session, seq, kind, *(tile[:3] if tile else (None,) * 3), grp, tile[3] if tile else None, rank, due, turn, now, sent, sent and now > due))
+                if sent and kind == "tile":
+                    held.add(tile[:3])
+                if sent and kind != "done":
+                    slot = now + gap
+                now += gap
+        return pd.DataFrame(out, columns=[c.split()[0] for c in DELIVERY.split(", ")]).astype({c: "Int64" for c in ("tx", "ty", "grp", "rank")} | {"z": "Int32"})
+
+    return run
+
+
+def deliver(views: DataFrame, tiles: DataFrame, rate: float) -> DataFrame:
+    """Every request (tile, parity, done) of every accepted view, in one ordered fold a session.
+
+    A session holds a tile once it was sent, so a view asks for its visible tiles less those, at most MAX_NEW from the
+    centre out; with their parities and the closing DONE they are one queue by deadline. The queue leaves at ``rate``
+    a second, the next turn a step after the last send; the session's next view clears what is left. ``views`` is
+    (session, seq, t0, next_t0), ``tiles`` what ``visible`` gives for them; a view without any still ends with DONE.
+    """
+    t = tiles.select("session", "seq", "z", "tx", "ty", "dist", "rank", deadline("t0", "dist").alias("deadline"))
+    rows = views.select("session", "seq", "t0", "next_t0").join(t, ["session", "seq"], "left")
+    # sessions are dealt to buckets, so that a call of Python serves many
+    n = 4 * int(views.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.groupBy(F.pmod(F.xxhash64("session"), F.lit(n))).applyInPandas(_delivered(rate), DELIVERY)

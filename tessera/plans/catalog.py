@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,23 +12,11 @@ from tessera.functions import hashing as H
 from tessera.functions import messages as M
 from tessera.operators import cache, control, pyramid, viewport
 from tessera.plans import fixtures as X
+from tessera.plans import sessions  # noqa: F401
+from tessera.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from tessera.sources import tile_store
 from tessera.streaming import ingest
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 IMAGES = [(40000, 30131), (108199, 81503), (176393, 176393), (36743, 36743), (5775, 5775), (75471, 75471), (96922, 96922), (136325, 136325)]
 IMAGES_SQL = "imgs(img, w0, h0) AS (VALUES " + ", ".join(f"({i}, {w}, {h})" for i, (w, h) in enumerate(IMAGES)) + ")"
 LEVELS_SQL = f"""{IMAGES_SQL}, ns AS (SELECT *, (SELECT min(k) + 1 FROM range(41) t(k) WHERE (greatest(w0, h0) + (1::BIGINT << k) - 1) // (1::BIGINT << k) <= 256) AS n FROM imgs),
@@ -104,7 +94,7 @@ TILES_SQL = "tiles AS (SELECT 7 AS z, doc_id % 64 AS x, doc_id // 64 AS y, doc_i
 
 def _index(spark, sf):
     t = X.tiles(spark, sf).select("z", "x", "y", F.length("payload").cast("long").alias("length"))
-    return pyramid.index(t, 64)
+    return pyramid.index(t, 64, ("z",))
 
 
 INDEX_SQL = f"{TILES_SQL}, idx AS (SELECT z, x, y, length, coalesce(sum(length) OVER (PARTITION BY z ORDER BY y, x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\", y * 64 + x AS slot FROM tiles)"
@@ -131,15 +121,9 @@ def tile_lookup(spark, sf):
     return pyramid.lookup(rq, _index(spark, sf)).select("event_id", "z", "x", "y", "offset", "length")
 
 
-@query(f"""WITH {LEVELS_SQL}, t AS (SELECT img, z, n, unnest(range(least(cols, 8))) AS x, w, h, cols, rows FROM levels)
-SELECT img, z, x::BIGINT AS x, least(256, w - x * 256)::BIGINT AS tw, x // 2 AS parent_x, x // 8 AS anc3_x, ((z::BIGINT << 56) | (x::BIGINT << 28) | 3) AS key, (z BETWEEN 0 AND n - 1 AND x < cols AND 3 < rows) AS there FROM t""")
+@query(f"""WITH {LEVELS_SQL}, c AS (SELECT *, unnest(range(rows)) AS y FROM levels), t AS (SELECT *, unnest(range(cols)) AS x FROM c)
+SELECT img, z, x, y, least(256, w - x * 256) AS tw, least(256, h - y * 256) AS th, x // 2 AS parent_x, y // 2 AS parent_y, x // 8 AS anc3_x, y // 8 AS anc3_y, z * 72057594037927936 + x * 268435456 + y AS key, true AS there FROM t""")
 def tile_geometry(spark, sf):
-    t = _levels(spark).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("cols"), F.lit(8)) - 1)))
-    return t.select("img", "z", "x", G.tile_extent("w", "x").alias("tw"), G.ancestor("x", 1).alias("parent_x"), G.ancestor("x", 3).alias("anc3_x"), G.tile_key("z", "x", F.lit(3)).alias("key"), G.tile_exists("z", "x", F.lit(3), "cols", "rows", "n").alias("there"))
-
-
-@query()
-def tile_geometry_all(spark, sf):
     """Every tile of every level; the last column and row are narrower and lower."""
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     t = _levels(spark).withColumn("y", upto("rows")).repartition("img", "z", "y").withColumn("x", upto("cols"))
@@ -189,26 +173,39 @@ def viewport_visible(spark, sf):
     return _visible(spark, sf).select("session", "seq", "z", "tx", "ty", "dist", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {X.NEW_SQL} SELECT session, seq, z, tx, ty, rank FROM news")
+RATE = 40.0
+
+
+def _requests(spark, sf):
+    ok = viewport.classify(X.views(spark, sf), X.LEVELS).where("code is null")
+    nxt = ok.withColumn("next_t0", F.lead("t0").over(Window.partitionBy("session").orderBy("seq")))
+    return viewport.deliver(nxt, viewport.visible(ok, X.grid(spark).drop("w")), RATE)
+
+
+def _new(spark, sf):
+    return _requests(spark, sf).where("kind = 'tile'")
+
+
+@query(f"WITH RECURSIVE {X.NEW_SQL} SELECT session, seq, z, tx, ty, rank FROM news")
 def viewport_new_tiles(spark, sf):
-    return viewport.new_tiles(_visible(spark, sf)).select("session", "seq", "z", "tx", "ty", F.col("rank").cast("long").alias("rank"))
+    return _new(spark, sf).select("session", "seq", "z", "tx", "ty", "rank")
 
 
 def _scheduled(spark, sf):
-    return viewport.schedule(viewport.new_tiles(_visible(spark, sf)))
+    return _new(spark, sf).withColumn("turn", F.row_number().over(Window.partitionBy("session", "seq").orderBy("deadline", "rank")))
 
 
-@query(f"WITH {X.NEW_SQL} SELECT session, seq, z, tx, ty, deadline, turn FROM sched")
+@query(f"WITH RECURSIVE {X.NEW_SQL} SELECT session, seq, z, tx, ty, deadline, turn FROM sched")
 def edf_schedule(spark, sf):
     return _scheduled(spark, sf).select("session", "seq", "z", "tx", "ty", "deadline", F.col("turn").cast("long").alias("turn"))
 
 
-@query(f"WITH {X.PARITY_SQL} SELECT session, seq, grp, members, first_rank, deadline FROM par")
+@query(f"WITH RECURSIVE {X.PARITY_SQL} SELECT session, seq, grp, members, first_rank, deadline FROM par")
 def fec_groups(spark, sf):
     return viewport.parity_groups(_scheduled(spark, sf)).select("session", "seq", "grp", "members", F.col("first_rank").cast("long").alias("first_rank"), "deadline")
 
 
-SUMMARY_SQL = f"""WITH {X.PARITY_SQL},
+SUMMARY_SQL = f"""WITH RECURSIVE {X.PARITY_SQL},
 v AS (SELECT session, seq, count(*) AS visible FROM vis GROUP BY 1, 2), nw AS (SELECT session, seq, count(*) AS fresh FROM news GROUP BY 1, 2), p AS (SELECT session, seq, count(*) AS parities FROM par GROUP BY 1, 2)
 SELECT v.session, v.seq, visible, coalesce(fresh, 0) AS fresh, visible - coalesce(fresh, 0) AS held, coalesce(parities, 0) AS parities FROM v LEFT JOIN nw USING (session, seq) LEFT JOIN p USING (session, seq)"""
 
@@ -222,85 +219,74 @@ def viewport_summary(spark, sf):
     return out.select(*key, "visible", "fresh", (F.col("visible") - F.col("fresh")).alias("held"), "parities")
 
 
-PACE = 40.0
-PACED_SQL = f"""{X.NEW_SQL}, nxt AS (SELECT session, seq, lead(t0) OVER (PARTITION BY session ORDER BY seq) AS next_t0 FROM coded WHERE code IS NULL),
-paced AS (SELECT sched.*, next_t0, t0 + floor(turn * 25000000.0::DOUBLE)::BIGINT AS sent_ns FROM sched JOIN nxt USING (session, seq)),
-flags AS (SELECT *, (next_t0 IS NULL OR sent_ns < next_t0) AS sent FROM paced), final AS (SELECT *, sent AND sent_ns > deadline AS late FROM flags)"""
+REQ_SQL = f"WITH RECURSIVE {X.DELIVERY_SQL}"
 
 
-def _paced(spark, sf):
-    ok = viewport.classify(X.views(spark, sf), X.LEVELS).where("code is null")
-    nxt = ok.select("session", "seq", F.lead("t0").over(Window.partitionBy("session").orderBy("seq")).alias("next_t0"))
-    return viewport.paced(_scheduled(spark, sf).join(nxt, ["session", "seq"]), PACE)
+@query(f"{REQ_SQL} SELECT session, seq, 'tile' AS kind, key::BIGINT AS what, deadline, turn, sent_ns, sent, late FROM req WHERE key >= 0 UNION ALL SELECT session, seq, 'parity', -1 - key, deadline, turn, sent_ns, sent, late FROM req WHERE key < 0 UNION ALL SELECT session, seq, 'done', NULL, {viewport.NEVER}, (SELECT count(*) + 1 FROM req r WHERE r.session = done.session AND r.seq = done.seq), sent_ns, sent, false FROM done")
+def request_queue(spark, sf):
+    """Tiles, parities and DONE of every view in one queue, with what a later view cleared."""
+    what = F.coalesce(F.col("z") * 1_000_000 + F.col("ty") * 1000 + F.col("tx"), F.col("grp"))
+    return _requests(spark, sf).select("session", "seq", "kind", what.cast("long").alias("what"), "deadline", "turn", "sent_ns", "sent", "late")
 
 
-@query(f"WITH {PACED_SQL} SELECT session, seq, count(*) FILTER (WHERE sent) AS sent, count(*) FILTER (WHERE late) AS late, bool_and(sent) AS done FROM final GROUP BY 1, 2")
+@query(f"""{REQ_SQL}, g AS (SELECT session, seq, count(*) FILTER (WHERE key >= 0 AND sent) AS sent, count(*) FILTER (WHERE key < 0 AND sent) AS par, count(*) FILTER (WHERE late) AS late FROM req GROUP BY 1, 2)
+SELECT done.session, done.seq, coalesce(g.sent, 0) AS sent, coalesce(par, 0) AS par, coalesce(late, 0) AS late FROM done LEFT JOIN g USING (session, seq) WHERE done.sent""")
 def view_done(spark, sf):
-    return _paced(spark, sf).groupBy("session", "seq").agg(F.count_if("sent").alias("sent"), F.count_if("late").alias("late"), F.bool_and("sent").alias("done"))
+    """One row a DONE: none for a superseded view, SENT 0 where all tiles were held."""
+    kind, g = F.col("kind"), _requests(spark, sf).groupBy("session", "seq")
+    out = g.agg(F.count_if((kind == "tile") & F.col("sent")).alias("sent"), F.count_if((kind == "parity") & F.col("sent")).alias("par"), F.count_if("late").alias("late"), F.bool_or((kind == "done") & F.col("sent")).alias("done"))
+    return out.where("done").drop("done")
 
 
-@query(f"WITH {PACED_SQL} SELECT session, count(*) FILTER (WHERE sent) AS served, count(*) FILTER (WHERE late) AS late, CASE WHEN count(*) FILTER (WHERE sent) > 0 THEN 100.0::DOUBLE * count(*) FILTER (WHERE late) / count(*) FILTER (WHERE sent) ELSE 0.0::DOUBLE END AS late_pct FROM final GROUP BY 1")
+@query(f"{REQ_SQL} SELECT session, count(*) FILTER (WHERE sent) AS served, count(*) FILTER (WHERE late) AS late, CASE WHEN count(*) FILTER (WHERE sent) > 0 THEN 100.0::DOUBLE * count(*) FILTER (WHERE late) / count(*) FILTER (WHERE sent) ELSE 0.0::DOUBLE END AS late_pct FROM req GROUP BY 1")
 def late_pct(spark, sf):
-    g = _paced(spark, sf).groupBy("session").agg(F.count_if("sent").alias("served"), F.count_if("late").alias("late"))
+    """Tiles and parities sent, those past their deadline, and the share; DONE does not count."""
+    g = _requests(spark, sf).where("kind <> 'done'").groupBy("session").agg(F.count_if("sent").alias("served"), F.count_if("late").alias("late"))
     return g.withColumn("late_pct", F.when(F.col("served") > 0, F.lit(100.0) * F.col("late") / F.col("served")).otherwise(F.lit(0.0)))
 
 
-@query(f"WITH {PACED_SQL} SELECT session, seq, z, tx, ty, row_number() OVER (PARTITION BY session ORDER BY sent_ns, seq, turn) AS num FROM final WHERE sent")
+@query(f"{REQ_SQL} SELECT session, seq, key AS what, row_number() OVER (PARTITION BY session ORDER BY sent_ns, seq, turn) AS num FROM req WHERE sent")
 def send_numbers(spark, sf):
+    """NUM of every binary sent, tiles and parities alike."""
     w = Window.partitionBy("session").orderBy("sent_ns", "seq", "turn")
-    return _paced(spark, sf).where("sent").select("session", "seq", "z", "tx", "ty", F.row_number().over(w).cast("long").alias("num"))
+    what = F.coalesce(F.col("z") * 1_000_000 + F.col("ty") * 1000 + F.col("tx"), -1 - F.col("grp")).cast("long")
+    return _requests(spark, sf).where("sent and kind <> 'done'").select("session", "seq", what.alias("what"), F.row_number().over(w).cast("long").alias("num"))
 
 
-@query(f"WITH {PACED_SQL}, c AS (SELECT session, max(seq) // 2 AS n FROM final GROUP BY 1) SELECT session, any_value(n) AS cancelled_to, count(*) FILTER (WHERE seq <= n AND NOT sent) AS removed FROM final JOIN c USING (session) GROUP BY 1")
+@query(f"{REQ_SQL}, every AS (SELECT session, seq, sent_ns, sent FROM req UNION ALL SELECT session, seq, sent_ns, sent FROM done), c AS (SELECT session, seq AS upto, t0 + 100000000 AS at_ns, next_t0 FROM done WHERE seq % 5 = 0) SELECT c.session, upto, count(*) FILTER (WHERE e.sent_ns >= at_ns) AS removed FROM c JOIN every e ON e.session = c.session AND e.seq = c.upto WHERE next_t0 IS NULL OR at_ns < next_t0 GROUP BY 1, 2")
 def cancel_queue(spark, sf):
-    p = _paced(spark, sf)
-    c = p.groupBy("session").agg(F.floor(F.max("seq") / 2).alias("n"))
-    return p.join(c, "session").groupBy("session").agg(F.first("n").alias("cancelled_to"), F.count_if((F.col("seq") <= F.col("n")) & ~F.col("sent")).alias("removed"))
-
-
-MEMBERS_SQL = "mem AS (SELECT doc_id // 4 AS grp, doc_id % 4 AS m, encode(coalesce(text, '')) AS payload, hex(encode(coalesce(text, ''))) AS hx FROM documents WHERE doc_id < 64)"
+    """CANCEL of every fifth view 100 ms after it: what of its queue had not left and is dropped; older views are cleared already."""
+    r, v = _requests(spark, sf), viewport.classify(X.views(spark, sf), X.LEVELS).where("code is null")
+    c = v.select("session", "seq", (F.col("t0") + 100_000_000).alias("at_ns"), F.lead("t0").over(Window.partitionBy("session").orderBy("seq")).alias("next_t0")).where("seq % 5 = 0 and (next_t0 is null or at_ns < next_t0)")
+    return r.join(c, ["session", "seq"]).groupBy("session", F.col("seq").alias("upto")).agg(F.count_if(F.col("sent_ns") >= F.col("at_ns")).alias("removed"))
 
 
-def _all_members(spark, sf):
-    return X.tiles(spark, sf).select(F.floor(F.col("doc_id") / 4).cast("long").alias("grp"), (F.col("doc_id") % 4).alias("m"), "payload", "doc_id")
+MEMBERS_SQL = "mem AS (SELECT doc_id // 4 AS grp, doc_id % 4 AS m, hex(encode(coalesce(text, ''))) AS hx FROM documents)"
+BYTES_SQL = "b AS (SELECT grp, m, unnest(range(length(hx) // 2)) AS pos, unnest(regexp_extract_all(hx, '..')) AS v FROM mem)"
 
 
 def _members(spark, sf):
-    # the subset of MEMBERS_SQL; the queries named _all take every document
-    return _all_members(spark, sf).where("doc_id < 64").drop("doc_id")
+    return X.tiles(spark, sf).select(F.floor(F.col("doc_id") / 4).cast("long").alias("grp"), (F.col("doc_id") % 4).alias("m"), "payload")
 
 
 def _parity(members: DataFrame) -> DataFrame:
     return viewport.parity_bytes(members, "grp").select("grp", F.length("parity").cast("long").alias("length"), F.md5(F.hex("parity")).alias("parity_md5"))
 
 
-def _reconstructed(members: DataFrame) -> DataFrame:
-    """Drops member 0 of each group and rebuilds it from the parity and the others."""
-    parity = viewport.parity_bytes(members, "grp").select("grp", F.col("parity").alias("payload"))
-    back = viewport.parity_bytes(members.where("m <> 0").select("grp", "payload").unionByName(parity), "grp")
-    lost = members.where("m = 0 and length(payload) > 0").select("grp", "payload")
-    return lost.join(back, "grp").select("grp", (F.substr("parity", F.lit(1), F.length("payload")) == F.col("payload")).alias("recovered"))
-
-
-@query(f"""WITH {MEMBERS_SQL}, b AS (SELECT grp, unnest(range(length(hx) // 2)) AS pos, hx FROM mem), x AS (SELECT grp, pos, bit_xor(('0x' || substr(hx, pos * 2 + 1, 2))::INT) AS v FROM b GROUP BY 1, 2)
+@query(f"""WITH {MEMBERS_SQL}, {BYTES_SQL}, x AS (SELECT grp, pos, bit_xor(('0x' || v)::INT) AS v FROM b GROUP BY 1, 2)
 SELECT grp, count(*) AS length, md5(string_agg(lpad(hex(v), 2, '0'), '' ORDER BY pos)) AS parity_md5 FROM x GROUP BY grp""")
 def fec_parity(spark, sf):
     return _parity(_members(spark, sf))
 
 
-@query()
-def fec_parity_all(spark, sf):
-    return _parity(_all_members(spark, sf))
-
-
-@query(f"WITH {MEMBERS_SQL} SELECT grp, true AS recovered FROM mem WHERE m = 0 AND length(hx) > 0")
+@query(f"WITH {MEMBERS_SQL} SELECT grp, (length(hx) // 2)::BIGINT AS length, md5(hx) AS payload_md5 FROM mem WHERE m = 0 AND length(hx) > 0")
 def fec_reconstruct(spark, sf):
-    return _reconstructed(_members(spark, sf))
-
-
-@query()
-def fec_reconstruct_all(spark, sf):
-    return _reconstructed(_all_members(spark, sf))
+    """Member 0 of each group, rebuilt from the parity and the other members."""
+    members = _members(spark, sf)
+    parity = viewport.parity_bytes(members, "grp").select("grp", F.col("parity").alias("payload"))
+    back = viewport.parity_bytes(members.where("m <> 0").select("grp", "payload").unionByName(parity), "grp")
+    lost = members.where("m = 0 and length(payload) > 0").select("grp", F.length("payload").cast("long").alias("length"))
+    return lost.join(back, "grp").select("grp", "length", F.md5(F.hex(F.substr("parity", F.lit(1), F.col("length").cast("int")))).alias("payload_md5"))
 
 
 @query("""WITH g AS (SELECT doc_id // 4 AS grp, count(*) AS k, sum(strlen(coalesce(text, '')))::BIGINT AS data_bytes, max(strlen(coalesce(text, '')))::BIGINT AS longest FROM documents GROUP BY 1)
@@ -311,13 +297,6 @@ def fec_overhead(spark, sf):
     return g.select("grp", "data_bytes", p.alias("parity_bytes"), (F.lit(100.0) * p / F.col("data_bytes")).alias("overhead_pct"))
 
 
-@query("""WITH t AS (SELECT doc_id, doc_id % 3 AS lost FROM documents), g AS (SELECT doc_id // 4 AS grp, sum(CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END) AS missing, count(*) AS k FROM t GROUP BY 1)
-SELECT grp, CASE WHEN missing = 0 THEN 'unneeded' WHEN missing = 1 THEN 'recoverable' ELSE 'irrecoverable' END AS outcome FROM g WHERE k >= 2""")
-def fec_outcomes(spark, sf):
-    g = X.tiles(spark, sf).groupBy(F.floor(F.col("doc_id") / 4).cast("long").alias("grp")).agg(F.count_if(F.col("doc_id") % 7 == 0).alias("missing"), F.count("*").alias("k")).where("k >= 2")
-    return g.select("grp", F.when(F.col("missing") == 0, "unneeded").when(F.col("missing") == 1, "recoverable").otherwise("irrecoverable").alias("outcome"))
-
-
 _MUL = "((({h}) & 65535) * {c} + (((({h}) >> 16) * {c}) & 65535) * 65536) & 4294967295"
 
 
@@ -357,21 +336,10 @@ def bloom_build(spark, sf):
     return f.select("session", "sem", "popcount", F.md5(F.concat_ws(",", F.transform("bits", lambda b: b.cast("string")))).alias("bits_md5"))
 
 
-@query(f"""WITH {BLOOM_SQL}, b AS (SELECT DISTINCT session, sem, ((h1 + i * h2) & 4294967295) % 4096 AS pos FROM hp, range(7) t(i)),
-q AS (SELECT DISTINCT a.session AS fs, p.session, p.sem, p.z, p.x, p.y, p.h1, p.h2 FROM (SELECT DISTINCT session FROM hp WHERE session % 10 = 0) a, hp p WHERE p.sem = 0),
-m AS (SELECT fs, q.session, z, x, y, count(b.pos) AS found, count(*) AS want FROM q, range(7) t(i) LEFT JOIN b ON b.session = q.fs AND b.sem = 0 AND b.pos = ((h1 + i * h2) & 4294967295) % 4096 GROUP BY ALL)
-SELECT fs AS filter_session, count(*) AS probes, count(*) FILTER (WHERE found = want) AS positives FROM m GROUP BY 1""")
+@query(f"""WITH {BLOOM_SQL}, b AS (SELECT session, sem, list(DISTINCT ((h1 + i * h2) & 4294967295) % 4096) AS bits FROM hp, range(7) t(i) GROUP BY 1, 2),
+q AS (SELECT sem, z, x, y, any_value(list_distinct(list_transform(range(7), lambda i: ((h1 + i * h2) & 4294967295) % 4096))) AS pos, count(DISTINCT session) AS weight FROM hp GROUP BY ALL)
+SELECT b.session AS filter_session, b.sem, sum(weight)::BIGINT AS probes, sum(CASE WHEN list_has_all(bits, pos) THEN weight ELSE 0 END)::BIGINT AS positives FROM b JOIN q ON b.sem = q.sem GROUP BY 1, 2""")
 def bloom_fp_rate(spark, sf):
-    k = _keys(spark, sf).where("sem = 0").withColumn("positions", H.positions_of(F.col("h1"), F.col("h2")))
-    f = viewport.holdings_filter(k, ["session"]).where("session % 10 = 0").select(F.col("session").alias("filter_session"), "bits")
-    probes = k.select("session", "z", "x", "y", "h1", "h2").distinct()
-    # the stated filters (a tenth of the sessions, 512 bytes each) meet every probe
-    hit = probes.join(F.broadcast(f), F.lit(True)).withColumn("hit", viewport.contains(F.col("bits"), F.col("h1"), F.col("h2")))
-    return hit.groupBy("filter_session").agg(F.count("*").alias("probes"), F.count_if("hit").alias("positives"))
-
-
-@query()
-def bloom_fp_rate_all(spark, sf):
     """Every session's filter of every seed against all (session, tile) probes of that seed.
 
     A tile is probed once for all sessions that hold it, and meets only the filters that share a bit with it.
@@ -407,7 +375,11 @@ def link_departure(spark, sf):
     return control.link_departures(_messages(spark, sf), 1, 80)
 
 
-@query()
+DRAWS_SQL = f"""d(k, s) AS (SELECT 1::BIGINT, {((42 ^ 0x5DEECE66D) * 0x5DEECE66D + 11) % (1 << 48)}::BIGINT UNION ALL SELECT k + 1, ((s::HUGEINT * 25214903917 + 11) % 281474976710656)::BIGINT FROM d WHERE k < (SELECT max(n) FROM ev))"""
+
+
+@query(f"""WITH RECURSIVE {X.EVENTS_SQL}, {DRAWS_SQL}, b AS (SELECT session, n, event_id % 4 <> 0 AS bin, count(*) FILTER (WHERE event_id % 4 <> 0) OVER (PARTITION BY session ORDER BY n) AS k FROM ev)
+SELECT session, n AS ord, bin AND (s >> 17) % 100 < 5 AS lost FROM b LEFT JOIN d ON d.k = greatest(b.k, 1)""")
 def link_loss(spark, sf):
     m = X.events(spark, sf).select("session", F.col("n").alias("ord"), (F.col("event_id") % 4 != 0).alias("is_binary"))
     return control.random_loss(m, 5)
@@ -549,22 +521,19 @@ def fingerprint_new(spark, sf):
     return ingest.unseen(e.select(*cols).distinct(), e.where("event_type = 'error'").select(*cols).distinct())
 
 
-@query()
-def session_states(spark, sf):
-    cmds = F.array(*[F.lit(c) for c in ("HELLO", "LIST", "OPEN", "VIEWPORT", "REPORT", "BLOOM", "RESUME", "NOPE")])
-    e = X.events(spark, sf)
-    return ingest.session_states(e.select("session", F.col("n").alias("ord"), F.when(F.col("n") == 1, "HELLO").otherwise(F.element_at(cmds, (F.col("event_id") % 8 + 1).cast("int"))).alias("cmd")))
-
-
-@query("""SELECT doc_id, '0201' || lpad(hex(doc_id), 8, '0') || lpad(hex(doc_id + 1), 8, '0') || '07' || lpad(hex(doc_id % 64), 8, '0') || lpad(hex(doc_id // 64), 8, '0') || '02' || lpad(hex(strlen(coalesce(text, ''))), 8, '0') AS head, true AS same FROM documents""")
+@query("""SELECT doc_id, '0201' || lpad(hex(doc_id), 8, '0') || lpad(hex(doc_id + 1), 8, '0') || '07' || lpad(hex(doc_id % 64), 8, '0') || lpad(hex(doc_id // 64), 8, '0') || '02' || lpad(hex(strlen(coalesce(text, ''))), 8, '0') AS head, doc_id AS seq, doc_id % 64 AS x, strlen(coalesce(text, ''))::BIGINT AS len, md5(hex(encode(coalesce(text, '')))) AS data_md5 FROM documents""")
 def frame_header(spark, sf):
+    """TILE frames of every document, and what is read back from their bytes."""
     t = X.tiles(spark, sf)
     t = t.withColumn("frame", M.tile_frame("doc_id", F.col("doc_id") + 1, "z", "x", "y", F.lit(2), "payload")).withColumn("f", M.read_tile_frame("frame"))
-    same = (F.col("f.data") == F.col("payload")) & (F.col("f.seq") == F.col("doc_id")) & (F.col("f.x") == F.col("x")) & (F.col("f.crc") == F.crc32("payload"))
-    return t.select("doc_id", F.hex(F.substr("frame", F.lit(1), F.lit(24))).alias("head"), same.alias("same"))
+    return t.select("doc_id", F.hex(F.substr("frame", F.lit(1), F.lit(24))).alias("head"), "f.seq", "f.x", "f.len", F.md5(F.hex("f.data")).alias("data_md5"))
 
 
-@query()
+CRC_TABLE = [functools.reduce(lambda c, _: c >> 1 ^ (0xEDB88320 if c & 1 else 0), range(8), i) for i in range(256)]
+
+
+@query(f"""WITH t AS (SELECT {CRC_TABLE}::BIGINT[] AS tab), p AS (SELECT 7 AS z, doc_id % 64 AS x, doc_id // 64 AS y, list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda b: ('0x' || b)::BIGINT)) AS bytes FROM documents)
+SELECT z, x, y, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM p, t""")
 def tile_crc(spark, sf):
     return X.tiles(spark, sf).select("z", "x", "y", F.crc32("payload").alias("crc"))
 
@@ -590,18 +559,6 @@ def quadtree_rollup(spark, sf):
     return t.groupBy(F.col("k").alias("z"), F.expr("shiftright(x, 7 - k)").alias("x"), F.expr("shiftright(y, 7 - k)").alias("y")).agg(F.count("*").alias("n"), F.sum("b").alias("bytes"))
 
 
-RECV_SQL = f"""{X.EVENTS_SQL}, f AS (SELECT session, n, CASE WHEN event_id % 13 = 0 THEN 'version' WHEN event_id % 11 = 0 THEN 'length' WHEN event_id % 7 = 0 THEN 'stale' WHEN event_id % 5 = 0 THEN 'crc' ELSE 'ok' END AS verdict, 28 + floor(value * 100)::BIGINT AS bytes FROM ev)"""
-
-
-@query(f"WITH {RECV_SQL} SELECT session, count(*) AS frames, count(*) FILTER (WHERE verdict = 'ok') AS tiles, count(*) FILTER (WHERE verdict = 'crc') AS bad_crc, count(*) FILTER (WHERE verdict IN ('version', 'length', 'stale')) AS dropped, sum(bytes)::BIGINT AS bytes, 100.0::DOUBLE * sum(bytes) / (5775 * 5775 * 3) AS pct_of_original FROM f GROUP BY 1")
-def transfer_summary(spark, sf):
-    i = F.col("event_id")
-    f = X.events(spark, sf).select("session", F.when(i % 13 == 0, "version").when(i % 11 == 0, "length").when(i % 7 == 0, "stale").when(i % 5 == 0, "crc").otherwise("ok").alias("verdict"), (28 + F.floor(F.col("value") * 100)).alias("bytes"))
-    v = F.col("verdict")
-    g = f.groupBy("session").agg(F.count("*").alias("frames"), F.count_if(v == "ok").alias("tiles"), F.count_if(v == "crc").alias("bad_crc"), F.count_if(v.isin("version", "length", "stale")).alias("dropped"), F.sum("bytes").alias("bytes"))
-    return g.withColumn("pct_of_original", F.lit(100.0) * F.col("bytes") / (5775 * 5775 * 3))
-
-
 @query("SELECT event_id, (event_id // 3600) || ':' || lpad((event_id % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((event_id % 60)::VARCHAR, 2, '0') AS took, value / (event_id % 10 + 1) * (20 - event_id % 10 - 1) AS eta_s, least(99, 100 * (event_id % 30) // 29)::INT AS progress, least(30.0::DOUBLE, pow(2.0::DOUBLE, event_id % 8)) AS backoff, (4294967290 + event_id % 10 + 1) & 4294967295 AS next_seed FROM events")
 def scalar_codecs(spark, sf):
     i = F.col("event_id")

@@ -45,15 +45,16 @@ GRID_SQL = f"""grid AS (SELECT z::INT AS z, (({SIDE} + (1 << ({LEVELS - 1} - z))
 
 
 def views(spark: SparkSession, sf: str) -> DataFrame:
-    """Views over a square pyramid, some stale, some out of range, some with negative origin."""
+    """Views over a square pyramid, 50 ms to 3 s apart, some stale, some out of range, some with negative origin."""
     e = events(spark, sf)
     i = F.col("event_id")
     z = F.when(i % 29 == 0, 9).otherwise(i % LEVELS).cast("int")
-    return e.select("session", F.col("n").alias("ord"), F.when(i % 17 == 0, F.col("n") - 2).otherwise(F.col("n")).alias("seq"), "t0", z.alias("z"), (i * 37 % 3000 - 300).alias("x"), (i * 53 % 3000 - 100).alias("y"), F.when(i % 23 == 0, 5000).otherwise(200 + i % 900).alias("vw"), (150 + i % 700).alias("vh"))
+    clock = F.sum(50_000_000 + i * 7919 % 3000 * 1_000_000).over(Window.partitionBy("session").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    return e.withColumn("t0", clock).select("session", F.col("n").alias("ord"), F.when(i % 17 == 0, F.col("n") - 2).otherwise(F.col("n")).alias("seq"), "t0", z.alias("z"), (i * 37 % 3000 - 300).alias("x"), (i * 53 % 3000 - 100).alias("y"), F.when(i % 23 == 0, 5000).otherwise(200 + i % 900).alias("vw"), (150 + i % 700).alias("vh"))
 
 
 VIEWS_SQL = f"""{EVENTS_SQL}, {GRID_SQL},
-views AS (SELECT session, n AS ord, CASE WHEN event_id % 17 = 0 THEN n - 2 ELSE n END AS seq, t0, CASE WHEN event_id % 29 = 0 THEN 9 ELSE event_id % {LEVELS} END::INT AS z,
+views AS (SELECT session, n AS ord, CASE WHEN event_id % 17 = 0 THEN n - 2 ELSE n END AS seq, (sum(50000000 + event_id * 7919 % 3000 * 1000000) OVER (PARTITION BY session ORDER BY n))::BIGINT AS t0, CASE WHEN event_id % 29 = 0 THEN 9 ELSE event_id % {LEVELS} END::INT AS z,
   event_id * 37 % 3000 - 300 AS x, event_id * 53 % 3000 - 100 AS y, CASE WHEN event_id % 23 = 0 THEN 5000 ELSE 200 + event_id % 900 END AS vw, 150 + event_id % 700 AS vh FROM ev),
 ranged AS (SELECT *, CASE WHEN seq NOT BETWEEN 0 AND 4294967295 OR z < 0 THEN 400 WHEN z >= {LEVELS} THEN 416
   WHEN NOT (x BETWEEN -4096 AND 2147483647 AND y BETWEEN -4096 AND 2147483647 AND vw BETWEEN 1 AND 4096 AND vh BETWEEN 1 AND 4096) THEN 400 END AS err FROM views),
@@ -69,13 +70,32 @@ wide AS (SELECT *, unnest(range(x0, x1 + 1)) AS tx FROM tall),
 dists AS (SELECT *, sqrt(((tx + 0.5::DOUBLE) * 256 - (x + vw / 2.0::DOUBLE)) * ((tx + 0.5::DOUBLE) * 256 - (x + vw / 2.0::DOUBLE)) + ((ty + 0.5::DOUBLE) * 256 - (y + vh / 2.0::DOUBLE)) * ((ty + 0.5::DOUBLE) * 256 - (y + vh / 2.0::DOUBLE))) / 256 AS dist FROM wide),
 vis AS (SELECT session, seq, t0, z, tx, ty, dist, row_number() OVER (PARTITION BY session, seq ORDER BY dist, ty, tx) - 1 AS rank FROM dists)"""
 )
-NEW_SQL = (
+#: Deliveries by recursion over a session's views: what is held, when the next turn is, and each view's queue.
+DELIVERY_SQL = (
     VISIBLE_SQL
     + """,
-fresh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session, z, tx, ty ORDER BY seq) AS nth FROM vis) WHERE nth = 1),
-news AS (SELECT * FROM (SELECT session, seq, t0, z, tx, ty, dist, row_number() OVER (PARTITION BY session, seq ORDER BY dist, ty, tx) - 1 AS rank FROM fresh) WHERE rank < 295),
-due AS (SELECT *, t0 + 30000000 + floor(25e6::DOUBLE * dist + 0.5)::BIGINT AS deadline FROM news),
-sched AS (SELECT *, row_number() OVER (PARTITION BY session, seq ORDER BY deadline, rank) AS turn FROM due)"""
+okv AS (SELECT session, seq, t0, row_number() OVER w AS k, lead(t0) OVER w AS next_t0 FROM coded WHERE code IS NULL WINDOW w AS (PARTITION BY session ORDER BY seq)),
+lists AS (SELECT session, seq, list({'d': t0 + 30000000 + floor(25e6::DOUBLE * dist + 0.5)::BIGINT, 'key': z * 1000000 + ty * 1000 + tx, 'dist': dist} ORDER BY rank) AS ts FROM vis GROUP BY 1, 2),
+vw AS (SELECT okv.*, coalesce(ts, []) AS ts FROM okv LEFT JOIN lists USING (session, seq)),
+rec(session, k, seq, t0, next_t0, held, slot, q, t1, m) AS (
+  SELECT session, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, []::BIGINT[], 0::BIGINT, []::STRUCT(d BIGINT, o BIGINT, key BIGINT, dist DOUBLE)[], 0::BIGINT, 0::BIGINT FROM (SELECT DISTINCT session FROM vw)
+  UNION ALL
+  SELECT session, k, seq, t0, next_t0, list_concat(held, list_transform(list_filter(q[1:m], lambda j: j.key >= 0), lambda j: j.key)), CASE WHEN least(m, len(q)) > 0 THEN t1 + least(m, len(q)) * 25000000 ELSE slot END, q, t1, m FROM (
+    SELECT *, CASE WHEN next_t0 IS NULL THEN len(q) + 1 ELSE greatest(0, least(len(q) + 1, ceil((next_t0 - t1) / 25000000.0::DOUBLE)::BIGINT)) END AS m FROM (
+      SELECT session, k, seq, t0, next_t0, held, slot, greatest(t0, slot) AS t1, list_sort(list_concat(
+          list_transform(range(1, n + 1), lambda i: {'d': fresh[i].d, 'o': i, 'key': fresh[i].key::BIGINT, 'dist': fresh[i].dist}),
+          list_transform(range(0, g), lambda j: {'d': list_max(list_transform(list_filter(range(0, p), lambda i: i % g = j), lambda i: fresh[i + 1].d)) + 1000000, 'o': 1000 + j, 'key': -1 - j, 'dist': NULL::DOUBLE}))) AS q FROM (
+        SELECT *, len(fresh) AS n, least(len(fresh), 16) AS p, CASE WHEN len(fresh) > 1 THEN (least(len(fresh), 16) + 3) // 4 ELSE 0 END AS g FROM (
+          SELECT v.session, v.k, v.seq, v.t0, v.next_t0, r.held, r.slot, list_filter(v.ts, lambda t: NOT list_contains(r.held, t.key))[1:295] AS fresh FROM rec r JOIN vw v ON v.session = r.session AND v.k = r.k + 1))))),
+done AS (SELECT session, seq, t0, next_t0, t1 + len(q) * 25000000 AS sent_ns, m > len(q) AS sent FROM rec WHERE k > 0),
+req AS (SELECT session, seq, t0, u.d AS deadline, u.o AS o, u.key AS key, u.dist AS dist, turn, t1 + (turn - 1) * 25000000 AS sent_ns, turn <= m AS sent, turn <= m AND t1 + (turn - 1) * 25000000 > u.d AS late
+  FROM (SELECT session, seq, t0, t1, m, unnest(q) AS u, unnest(range(1, len(q) + 1)) AS turn FROM rec WHERE k > 0))"""
+)
+NEW_SQL = (
+    DELIVERY_SQL
+    + """,
+news AS (SELECT session, seq, t0, (key // 1000000)::INT AS z, key % 1000 AS tx, key // 1000 % 1000 AS ty, dist, o - 1 AS rank, deadline FROM req WHERE key >= 0),
+sched AS (SELECT *, row_number() OVER (PARTITION BY session, seq ORDER BY deadline, rank) AS turn FROM news)"""
 )
 PARITY_SQL = (
     NEW_SQL

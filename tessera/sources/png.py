@@ -30,6 +30,11 @@ def header(data: bytes) -> dict:
     return {"width": w, "height": h, "channels": CHANNELS[colour], "colour": colour}
 
 
+def expected_bytes(width: int, height: int, channels: int) -> int:
+    """Bytes that a sound image inflates to."""
+    return height * (1 + width * channels)
+
+
 def compressed(data: bytes) -> Iterator[bytes]:
     """The IDAT chunks' contents; chunks before them are skipped, the first other one after them ends it."""
     at, begun = 8, False

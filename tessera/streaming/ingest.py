@@ -43,21 +43,8 @@ def _step(state: str, cmd: str) -> tuple[str, int]:
     return (to, 0) if to else (state, 412)
 
 
-def session_states(messages: DataFrame) -> DataFrame:
-    """State and error after each message (session, ord, cmd), replayed in order."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        state, out = "CONNECTED", []
-        for r in rows.sort_values("ord", kind="stable").itertuples():
-            state, code = _step(state, r.cmd)
-            out.append((r.session, r.ord, state, code))
-        return pd.DataFrame(out, columns=["session", "ord", "state", "code"])
-
-    return messages.groupBy("session").applyInPandas(fold, "session long, ord long, state string, code int")
-
-
 def live_session_states(stream: DataFrame) -> DataFrame:
-    """The same over a stream, with one keyed state a session."""
+    """State and error after each message (session, ord, cmd) of a stream, with one keyed state a session."""
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
         state = json.loads(kept.get[0]) if kept.exists else "CONNECTED"

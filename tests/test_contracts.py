@@ -108,6 +108,28 @@ def test_caches_on_hot_set_and_sweep():
     assert rates == {"lru": 0.0, "arc": 1.0}
 
 
+def test_offsets_begin_anew_for_every_image(spark):
+    t = spark.createDataFrame([("a", 0, 0, 0, 5), ("b", 0, 0, 0, 7), ("b", 0, 1, 0, 2)], "img string, z int, x long, y long, length long")
+    assert {(r.img, r.x): r.offset for r in pyramid.index(t, 4).collect()} == {("a", 0): 0, ("b", 0): 0, ("b", 1): 7}
+
+
+def test_large_quotients_keep_all_digits(spark):
+    r = spark.range(1).select(G.floor_div(F.lit((1 << 62) + 1), 2).alias("a"), G.floor_div(F.lit(-((1 << 62) + 1)), 2).alias("b"), G.ceil_div(F.lit((1 << 62) + 1), 2).alias("c")).first()
+    assert (r.a, r.b, r.c) == (1 << 61, -(1 << 61) - 1, (1 << 61) + 1)
+
+
+def test_arc_stays_within_its_bounds():
+    rng = np.random.default_rng(4)
+    c, sizes = cache.Arc(100_000), {k: int(n) for k, n in enumerate(rng.integers(1000, 31_000, 300))}
+    for k in rng.integers(0, 300, 20_000).tolist():
+        if not c.get(str(k)):
+            c.put(str(k), sizes[k])
+        kept = [(t, n) for t, n, _ in c.items.values()]
+        assert [sum(n for t, n in kept if t == i) for i in range(4)] == c.bytes and [sum(t == i for t, _ in kept) for i in range(4)] == c.count
+        assert c.bytes[0] + c.bytes[1] <= 100_000 and sum(c.bytes) <= 200_000 and 0 <= c.target <= 100_000
+    assert not c.peek("none") and c.peek(next(k for k, v in c.items.items() if v[0] < 2))
+
+
 def test_lru_forms_agree(spark):
     rng = np.random.default_rng(5)
     rows = [("t", i, "get", f"k{k}", 100 + 7 * int(k)) for i, k in enumerate(rng.integers(0, 40, 600))]
@@ -183,10 +205,10 @@ def test_parity_covers_every_document(spark, tmp_path):
     for i, t in texts.items():
         b, have = (t or "").encode(), want.get(i // 4, b"")
         want[i // 4] = bytes(x ^ y for x, y in itertools.zip_longest(have, b, fillvalue=0))
-    got = {r.grp: (r.length, r.parity_md5) for r in catalog.QUERIES["fec_parity_all"](spark, str(tmp_path)).collect()}
+    got = {r.grp: (r.length, r.parity_md5) for r in catalog.QUERIES["fec_parity"](spark, str(tmp_path)).collect()}
     assert got == {g: (len(b), hashlib.md5(b.hex().upper().encode()).hexdigest()) for g, b in want.items()}
-    back = {r.grp: r.recovered for r in catalog.QUERIES["fec_reconstruct_all"](spark, str(tmp_path)).collect()}
-    assert back == {i // 4: True for i, t in texts.items() if i % 4 == 0 and t}
+    back = {r.grp: (r.length, r.payload_md5) for r in catalog.QUERIES["fec_reconstruct"](spark, str(tmp_path)).collect()}
+    assert back == {i // 4: (len(t.encode()), hashlib.md5(t.encode().hex().upper().encode()).hexdigest()) for i, t in texts.items() if i % 4 == 0 and t}
 
 
 def test_every_holdings_filter_is_measured(spark, tmp_path):
@@ -198,13 +220,11 @@ def test_every_holdings_filter_is_measured(spark, tmp_path):
     for session, sem, *_, pos in keys:
         held.setdefault((session, sem), set()).update(pos)
     want = {(s, m, sum(k[1] == m for k in keys), sum(k[1] == m and b.issuperset(k[5]) for k in keys)) for (s, m), b in held.items()}
-    got = catalog.QUERIES["bloom_fp_rate_all"](spark, str(tmp_path))
-    assert {tuple(r) for r in got.collect()} == want
-    assert {(r.filter_session, r.probes, r.positives) for r in got.where("sem = 0 and filter_session % 10 = 0").collect()} == {tuple(r) for r in catalog.QUERIES["bloom_fp_rate"](spark, str(tmp_path)).collect()}
+    assert {tuple(r) for r in catalog.QUERIES["bloom_fp_rate"](spark, str(tmp_path)).collect()} == want
 
 
 def test_geometry_of_every_tile(spark):
-    t = catalog.QUERIES["tile_geometry_all"](spark, "")
+    t = catalog.QUERIES["tile_geometry"](spark, "")
     got = {(r.img, r.z): r for r in t.groupBy("img", "z").agg(F.count("*").alias("tiles"), F.countDistinct("key").alias("keys"), F.bool_and("there").alias("there"), F.sum(F.when(F.col("y") == 0, F.col("tw"))).alias("w"), F.sum(F.when(F.col("x") == 0, F.col("th"))).alias("h"), F.max_by("tw", "x").alias("tw"), F.max_by("th", "y").alias("th"), F.bool_and((F.col("parent_x") == F.floor(F.col("x") / 2)) & (F.col("parent_y") == F.floor(F.col("y") / 2)) & (F.col("anc3_x") == F.floor(F.col("x") / 8)) & (F.col("anc3_y") == F.floor(F.col("y") / 8))).alias("up")).collect()}
     plan = catalog.QUERIES["pyramid_plan"](spark, "").collect()
     assert len(got) == len(plan)
@@ -222,5 +242,11 @@ def test_streams(spark, tmp_path):
     q = ingest.live_quiet_periods(s).writeStream.format("memory").queryName("quiet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp").start()
     q.awaitTermination(120)
     assert sorted(r.n_events for r in spark.table("quiet").collect() if r.path == "a") == [2, 3]
+    msgs = [(1, 1, "LIST"), (1, 2, "HELLO"), (1, 3, "OPEN"), (1, 4, "VIEWPORT"), (1, 5, "RESUME"), (2, 1, "NOPE")]
+    spark.createDataFrame(msgs, "session long, ord long, cmd string").coalesce(1).write.parquet(f"{tmp_path}/msgs")
+    live = ingest.live_session_states(spark.readStream.schema("session long, ord long, cmd string").parquet(f"{tmp_path}/msgs"))
+    q = live.writeStream.format("memory").queryName("states").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp2").start()
+    q.awaitTermination(120)
+    assert sorted((r.session, r.ord, r.code) for r in spark.table("states").collect()) == [(1, 1, 412), (1, 2, 0), (1, 3, 0), (1, 4, 0), (1, 5, 412), (2, 1, 400)]
     batch = ingest.quiet_periods(spark.read.parquet(f"{tmp_path}/in")).collect()
     assert sorted(r.n_events for r in batch) == [1, 2, 3]
