@@ -3,7 +3,7 @@
 A document is encoded once as a whole. Its tokens' spans and its sections' spans are both intervals over the
 same text; the two are joined by position, and a token that crosses section edges goes where the rule
 says: ``first`` (the section of its first character), ``last`` (of its last one) or ``most`` (where most of its
-characters lie, the earlier on a tie). Spans are the library's own offsets in characters; a token of a byte-level
+characters lie, the earlier on a tie). Spans are in characters, as the library's offsets are; a token of a byte-level
 vocabulary that is part of a character has that character's span.
 
 Sections are the lines of a text, each with the newline that ends it. Null and empty texts have no section and

@@ -53,6 +53,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.sizes = None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_pieces = splits_at_space(json.loads(self.tokenizer.to_str()))
         self.forget()
@@ -70,7 +71,27 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def spans(self, texts: list[str]) -> list[np.ndarray]:
-        """(begin, end) in characters of every token of each text, encoded whole."""
+        """(begin, end) in characters of every token of each text, encoded whole.
+
+        The tokens of a byte-level vocabulary (read from the settings) tile a text's bytes, one character of the
+        vocabulary a byte, so its spans follow from the ids; for any other they are the library's offsets.
+        """
+        if self.by_pieces:
+            if self.sizes is None:
+                vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+                self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)
+                self.sizes[list(vocab.values())] = [len(token) for token in vocab]
+            out = []
+            for text, ids in zip(texts, self._library(texts), strict=True):
+                ends = np.cumsum(self.sizes[np.array(ids, np.int64)])
+                if len(ids) and not text.isascii():  # the character that each byte is of
+                    raw = np.frombuffer(text.encode(), np.uint8)
+                    char = np.cumsum((raw & 0xC0) != 0x80) - 1
+                    begins = np.concatenate(([0], ends[:-1]))
+                    out.append(np.stack((char[begins], char[ends - 1] + 1), axis=1))
+                else:
+                    out.append(np.stack((ends - self.sizes[np.array(ids, np.int64)], ends), axis=1))
+            return out
         got = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.offsets, np.int64).reshape(-1, 2) for e in got]
 

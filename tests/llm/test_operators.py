@@ -515,6 +515,16 @@ def test_dac_slices(n):
         assert (r.slice(x, y) == ids[x:y]).all()
 
 
+def test_spans_are_the_offsets_of_the_library():
+    from tessera.llm.token_encode import Encoder, default_tokenizer
+
+    enc = Encoder(default_tokenizer())
+    texts = [*ODD, "", "aé日😀\n\n　b" * 20, "\u2028\n x"]
+    own = enc.spans(texts)
+    enc.by_pieces = False
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(own, enc.spans(texts), strict=True))
+
+
 def test_other_tokenizers_go_whole():
     from tessera.llm import token_encode
 
