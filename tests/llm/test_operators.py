@@ -462,6 +462,39 @@ def test_unknown_words_pay_for_their_letters(spark):
     assert got[100].score < got[101].score - 5
 
 
+def test_contexts_are_counted_over_all_rows():
+    """Gains of (context, word, share, times) against counts by hand; a word beyond the vocabulary has no share and no counts."""
+    rng = np.random.default_rng(4)
+    context, word = rng.integers(0, 6, 200).astype(np.uint64), rng.integers(0, 9, 200).astype(np.uint32)
+    times = (rng.integers(0, 3, 200) * (context != 5)).astype(np.uint32)  # context 5 was never learnt
+    share = np.log10((word + 1.0) / 50).astype(np.float32)
+    share[word == 8] = np.nan
+    times[word == 8] = 0
+    c = collections.Counter()
+    for k, w, n in zip(context, word, times, strict=True):
+        c[k, w] += int(n)
+    for k, w, s, got in zip(context, word, share, lm_score.told(context, word, share, times), strict=True):
+        n, d = sum(c[k, x] for x in range(9)), sum(c[k, x] > 0 for x in range(9))
+        want = np.log10(d / (n + d)) if w == 8 and n else 0.0 if not n else np.log10((c[k, w] + d * 10**s) / (n + d)) - s
+        assert got == pytest.approx(want, abs=1e-5)
+
+
+@pytest.mark.parametrize("top", [lm_score.TOP, 1100])
+def test_what_followed_a_rare_word_is_learnt(spark, top):
+    """Rare words in an order seen in training cost less than the same words in another, as often as it was seen less still."""
+    rng = np.random.default_rng(8)
+    fill = [" ".join(f"f{i}" for i in rng.permutation(1100)) for _ in range(6)]
+    rare = [f"rare{i}" for i in range(40)]
+    other = list(rng.permutation(rare))
+    rows = [(i, t) for i, t in enumerate(fill)] + [(50, " ".join(rare)), (100, " ".join(rare)), (101, " ".join(other)), (102, "")]
+    got = {r.doc_id: r.score for r in lm_score.lm_score(docs_of(spark, rows), F.col("doc_id") < 100, top=top).collect()}
+    assert sorted(got) == [*range(6), 50, 100, 101, 102]
+    if top == lm_score.TOP:
+        assert got[100] == pytest.approx(got[50]) and got[100] > got[101] + 10
+        twice = lm_score.lm_score(docs_of(spark, [*rows, (51, " ".join(rare))]), F.col("doc_id") < 100, top=top)
+        assert {r.doc_id: r.score for r in twice.collect()}[100] > got[100]
+
+
 def test_spelling_is_a_distribution():
     total = np.zeros(257 * 257, np.int64)
     buf = np.frombuffer(b"ab abc  b", np.uint8)
