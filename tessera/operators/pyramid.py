@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.functions.geometry import ceil_div, floor_div, level_dim, n_levels, n_levels_expr, tile_extent
+from tessera.functions.geometry import ceil_div, floor_div, level_dim, n_levels_expr, tile_extent
 
 
 def levels(images: DataFrame, tile: int = 256) -> DataFrame:
@@ -25,37 +29,146 @@ def reduce_level(pixels: DataFrame, channels: list[str], keys: tuple[str, ...] =
     return pixels.groupBy(*keys, floor_div("x", 2).alias("x"), floor_div("y", 2).alias("y")).agg(*mean)
 
 
-def build(pixels: DataFrame, width: int, height: int, channels: list[str], tile: int = 256, cut=None) -> DataFrame:
-    """All levels (z, x, y, channels) of one raster.
-
-    Rounding happens at every level, so each comes from the one below it. The rows are dealt once by
-    square blocks that hold whole sub-trees; ``cut`` (a function of a DataFrame), where given, cuts lineage
-    every fourth level.
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, offsets) of a column of binaries or of arrays of 0 to 255, one after another."""
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        column = column.cast(pa.large_binary())
+        _, ends, data = column.buffers()
+        return np.frombuffer(data or b"", np.uint8), np.frombuffer(ends, np.int64, len(column) + 1, 8 * column.offset)
+    values = column.values.to_numpy(zero_copy_only=False)
+    if len(values) and not (values.min() >= 0 and values.max() <= 255):
+        raise ValueError("a channel is not within 0 to 255")
+    return values.astype(np.uint8), column.offsets.to_numpy(zero_copy_only=False)
+
+
+def _deal(edge: int, channels: int, schema: pa.Schema):
+    """Bands to pieces that lie in one block each; bands that follow one another in a batch are dealt as one."""
+
+    def deal(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            img, z = batch["img"].to_pylist(), batch["z"].to_numpy()
+            x0, y0, width = (batch[c].to_numpy() for c in ("x0", "y0", "width"))
+            values, ends = _bytes(batch["data"])
+            rows = np.diff(ends) // (width * channels)
+            if (rows * width * channels != np.diff(ends)).any():
+                raise ValueError("a band is not made of whole rows")
+            new = [True] + [img[i] != img[i - 1] for i in range(1, len(img))]
+            new = np.array(new) | np.r_[True, (z[1:] != z[:-1]) | (x0[1:] != x0[:-1]) | (width[1:] != width[:-1]) | (y0[1:] != y0[:-1] + rows[:-1])]
+            first = np.flatnonzero(new)
+            out = []
+            for i, j in zip(first, np.r_[first[1:], len(img)]):
+                w, left, top = int(width[i]), int(x0[i]), int(y0[i])
+                area = values[ends[i] : ends[j]].reshape(-1, w, channels)
+                for by in range(top // edge, -(-(top + len(area)) // edge)):
+                    y = max(top, by * edge)
+                    for bx in range(left // edge, -(-(left + w) // edge)):
+                        x = max(left, bx * edge)
+                        piece = area[y - top : (by + 1) * edge - top, x - left : (bx + 1) * edge - left]
+                        out.append({"img": img[i], "z": int(z[i]), "bx": bx, "by": by, "x0": x, "y0": y, "width": piece.shape[1], "data": piece.tobytes()})
+            yield from pa.Table.from_pylist(out, schema).to_batches()
+
+    return deal
+
+
+def halve(a: np.ndarray) -> np.ndarray:
+    """The next coarser level of (rows, columns, channels): half-up mean of 2x2 blocks, an odd edge repeated."""
+    a = np.pad(a, ((0, a.shape[0] % 2), (0, a.shape[1] % 2), (0, 0)), "edge").astype(np.uint16)
+    return ((a[::2, ::2] + a[1::2, ::2] + a[::2, 1::2] + a[1::2, 1::2] + 2) >> 2).astype(np.uint8)
+
+
+def _reduce(edge: int, tile: int, steps: int, channels: int, repeat: bool, schema: pa.Schema):
+    """A block's pieces to its tiles at its own level (not where ``repeat``) and the next ``steps`` coarser ones."""
+
+    def reduce(key, pieces):
+        img, z, bx, by = (k.as_py() for k in key)
+        x0, y0, width = (pieces[c].to_numpy() for c in ("x0", "y0", "width"))
+        data = [np.frombuffer(d.as_buffer(), np.uint8).reshape(-1, w, channels) for d, w in zip(pieces["data"], width)]
+        at = [(int(y) - by * edge, int(x) - bx * edge) for y, x in zip(y0, x0)]
+        area = np.empty((max(y + len(d) for (y, _), d in zip(at, data)), max(x + d.shape[1] for (_, x), d in zip(at, data)), channels), np.uint8)
+        if sum(d.size for d in data) != area.size:
+            raise ValueError(f"image {img}: pixels of block ({bx}, {by}) are missing or repeated at level {z}")
+        for (y, x), d in zip(at, data):
+            area[y : y + len(d), x : x + d.shape[1]] = d
+        out = []
+        for k in range(min(steps, z) + 1):
+            if k:
+                area = halve(area)
+            if k or not repeat:
+                per = (edge >> k) // tile
+                for ty in range(-(-len(area) // tile)):
+                    for tx in range(-(-area.shape[1] // tile)):
+                        t = area[ty * tile : (ty + 1) * tile, tx * tile : (tx + 1) * tile]
+                        out.append({"img": img, "z": z - k, "tx": bx * per + tx, "ty": by * per + ty, "w": t.shape[1], "h": len(t), "seam": k == steps and z > k, "data": t.tobytes()})
+        return pa.Table.from_pylist(out, schema)
+
+    return reduce
+
+
+def build(bands: DataFrame, levels: int, channels: int = 3, tile: int = 256, block: int = 2048, cut=None) -> DataFrame:
+    """Tiles (img, z, tx, ty, w, h, data) of every level of the images whose bands are given.
+
+    ``bands`` has (img, n, x0, y0, width, data): the image's number of levels (at most ``levels``), and whole rows of
+    ``width`` pixels from (x0, y0) on, as row-major interleaved bytes or an array of them. Bands may cover any part of
+    an image, but every pixel once; null data are left out, and a block with a hole raises. Rounding happens at every
+    level, so each comes from the one below it: pixels are shuffled once to square blocks of up to ``block`` pixels a
+    side, which hold whole sub-trees, and a block makes all its levels down to one tile. Only where an image has
+    more levels are these last tiles (1 / 4^k of the pixels) shuffled again; ``cut`` (a function of a DataFrame, such as
+    a written table) then keeps the blocks from being read twice.
     """
-    n = n_levels(width, height, tile)
-    out, current = None, pixels.select("x", "y", *channels)
-    for z in range(n - 1, -1, -1):
-        if z < n - 1:
-            current = reduce_level(current, channels)
-        if cut is not None and (n - 1 - z) % 4 == 3:
-            current = cut(current)
-        level = current.withColumn("z", F.lit(z))
-        out = level if out is None else out.unionByName(level)
-    return out.select("z", "x", "y", *channels)
-
-
-def cut_stats(pixels: DataFrame, channel: str, tile: int) -> DataFrame:
-    """Per tile (z, tx, ty): extent and value statistics."""
-    t = pixels.groupBy("z", floor_div("x", tile).alias("tx"), floor_div("y", tile).alias("ty"))
-    return t.agg((F.max("x") - F.min("x") + 1).cast("long").alias("w"), (F.max("y") - F.min("y") + 1).cast("long").alias("h"), F.sum(channel).cast("long").alias("total"), F.min(channel).alias("low"), F.max(channel).alias("high"))
-
-
-def cut_tiles(pixels: DataFrame, channels: list[str], tile: int) -> DataFrame:
-    """Packed tiles: row-major interleaved bytes of each (z, tx, ty)."""
-    one = F.struct("y", "x", *channels)
-    t = pixels.groupBy("z", floor_div("x", tile).alias("tx"), floor_div("y", tile).alias("ty")).agg(F.array_sort(F.collect_list(one)).alias("p"))
-    hexes = F.transform("p", lambda p: F.concat(*[F.lpad(F.hex(p[c].cast("long")), 2, "0") for c in channels]))
-    return t.select("z", "tx", "ty", F.unhex(F.array_join(hexes, "")).alias("bytes"))
+    steps = max(0, (block // tile).bit_length() - 1)
+    if steps == 0 and levels > 1:
+        raise ValueError("a block must hold two tiles a side")
+    edge, kind = tile << steps, bands.schema["img"].dataType
+    head = [T.StructField("img", kind), T.StructField("z", T.IntegerType())]
+    longs = lambda *names: [T.StructField(n, T.LongType()) for n in names]
+    pieces = T.StructType([*head, *longs("bx", "by", "x0", "y0", "width"), T.StructField("data", T.BinaryType())])
+    tiles = T.StructType([*head, *longs("tx", "ty", "w", "h"), T.StructField("seam", T.BooleanType()), T.StructField("data", T.BinaryType())])
+    place = [F.col(c).cast("long").alias(c) for c in ("x0", "y0", "width")]
+    rows, out = bands.where("data is not null and width > 0").select("img", (F.col("n") - 1).cast("int").alias("z"), *place, "data"), None
+    for top in range(0, max(levels - 1, 1), steps or 1):
+        dealt = rows.mapInArrow(_deal(edge, channels, to_arrow_schema(pieces)), pieces)
+        made = dealt.groupBy("img", "z", "bx", "by").applyInArrow(_reduce(edge, tile, steps, channels, top > 0, to_arrow_schema(tiles)), tiles)
+        if top + steps < levels - 1:
+            made = cut(made) if cut else made
+            rows = made.where("seam").select("img", "z", (F.col("tx") * tile).alias("x0"), (F.col("ty") * tile).alias("y0"), F.col("w").alias("width"), "data")
+        out = made if out is None else out.unionByName(made)
+    return out.drop("seam")
+
+
+def _by_tile(tiles: DataFrame, channels: int, schema: T.StructType, of) -> DataFrame:
+    """``of(row, pixels)`` gives the columns that follow each tile's key, as arrays or single values."""
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            for i, data in enumerate(batch["data"]):
+                row = {c: batch[c][i].as_py() for c in batch.schema.names if c != "data"}
+                cols = of(row, np.frombuffer(data.as_buffer(), np.uint8).reshape(row["h"], row["w"], channels))
+                n = max((len(c) for c in cols.values() if isinstance(c, np.ndarray)), default=1)
+                columns = [pa.array(cols[f.name] if isinstance(cols.get(f.name), np.ndarray) else [cols.get(f.name, row.get(f.name))] * n, f.type) for f in arrow]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return tiles.mapInArrow(run, schema)
+
+
+def tile_stats(tiles: DataFrame, channel: int = 0, channels: int = 1) -> DataFrame:
+    """Per tile (img, z, tx, ty, w, h): sum, least and greatest value of one channel."""
+    keys = [f for f in tiles.schema.fields if f.name != "data"]
+    schema = T.StructType([*keys, T.StructField("total", T.LongType()), T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType())])
+    return _by_tile(tiles, channels, schema, lambda row, p: {"total": int(p[..., channel].sum(dtype=np.int64)), "low": int(p[..., channel].min()), "high": int(p[..., channel].max())})
+
+
+def pixels_of(tiles: DataFrame, channels: list[str], tile: int = 256) -> DataFrame:
+    """Tiles as one row a pixel: (img, z, x, y, channels)."""
+    schema = T.StructType([tiles.schema["img"], tiles.schema["z"], T.StructField("x", T.LongType()), T.StructField("y", T.LongType()), *[T.StructField(c, T.IntegerType()) for c in channels]])
+
+    def of(row, p):
+        y, x = np.divmod(np.arange(row["w"] * row["h"]), row["w"])
+        return {"x": x + row["tx"] * tile, "y": y + row["ty"] * tile} | {c: p[..., i].ravel().astype(np.int32) for i, c in enumerate(channels)}
+
+    return _by_tile(tiles, len(channels), schema, of)
 
 
 def index(tiles: DataFrame, cols: int, keys: tuple[str, ...] = ("img", "z")) -> DataFrame:

@@ -59,9 +59,9 @@ R_TILE = 16
 
 
 def _pyramid(spark: SparkSession, sf: str, rgb: bool = False) -> DataFrame:
-    pixels = (X.raster_rgb if rgb else X.raster)(spark, sf)
-    height = pixels.agg(F.max("y") + 1).first()[0]
-    return pyramid.build(pixels, 21 if rgb else 64, height, ["b", "g", "r"] if rgb else ["v"], R_TILE)
+    height = X.table(spark, sf, "embeddings").agg(F.max("vec_id") + 1).first()[0] or 1
+    n = G.n_levels(21 if rgb else 64, height, R_TILE)
+    return pyramid.build((X.lines_rgb if rgb else X.lines)(spark, sf).withColumn("n", F.lit(n)), n, 3 if rgb else 1, R_TILE)
 
 
 STATS_SQL = f"WITH {R1_SQL} SELECT z, x // 16 AS tx, y // 16 AS ty, (max(x) - min(x) + 1)::BIGINT AS w, (max(y) - min(y) + 1)::BIGINT AS h, sum(v)::BIGINT AS total, min(v) AS low, max(v) AS high FROM pyr GROUP BY 1, 2, 3"
@@ -69,24 +69,41 @@ STATS_SQL = f"WITH {R1_SQL} SELECT z, x // 16 AS tx, y // 16 AS ty, (max(x) - mi
 
 @query(f"WITH {R1_SQL} SELECT z, x // 16 AS tx, y // 16 AS ty, count(*) AS n, sum(v)::BIGINT AS total FROM pyr GROUP BY 1, 2, 3")
 def pyramid_build_level_means(spark, sf):
-    p = _pyramid(spark, sf)
-    return p.groupBy("z", G.floor_div("x", R_TILE).alias("tx"), G.floor_div("y", R_TILE).alias("ty")).agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    return pyramid.tile_stats(_pyramid(spark, sf)).select("z", "tx", "ty", (F.col("w") * F.col("h")).alias("n"), "total")
 
 
 @query(f"WITH {R2_SQL} SELECT z, x::BIGINT AS x, y::BIGINT AS y, b, g, r FROM pyr")
 def pyramid_rgb_edges(spark, sf):
-    return _pyramid(spark, sf, rgb=True).select("z", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "b", "g", "r")
+    return pyramid.pixels_of(_pyramid(spark, sf, rgb=True), ["b", "g", "r"], R_TILE).select("z", "x", "y", "b", "g", "r")
 
 
 @query(STATS_SQL)
 def tile_cut_stats(spark, sf):
-    return pyramid.cut_stats(_pyramid(spark, sf), "v", R_TILE)
+    return pyramid.tile_stats(_pyramid(spark, sf)).drop("img")
+
+
+IMAGES2_SQL = f"""WITH base AS (SELECT (generate_subscripts(embedding, 1) - 1)::BIGINT AS x, vec_id AS y, floor((unnest(embedding)::DOUBLE + 1.0) * 127.5)::INT AS v FROM embeddings),
+a AS (WITH {_chain("l{z} AS (SELECT x, y, v FROM base)", ["v"], 6)} SELECT * FROM pyr),
+b AS (WITH {_chain("l{z} AS (SELECT y % 4 * 64 + x AS x, y // 4 AS y, v FROM base)", ["v"], 5)} SELECT * FROM pyr),
+pyrs AS (SELECT 0::INT AS img, * FROM a UNION ALL SELECT 1::INT, * FROM b)
+SELECT img, z, x // 16 AS tx, y // 16 AS ty, (max(x) - min(x) + 1)::BIGINT AS w, (max(y) - min(y) + 1)::BIGINT AS h, sum(v)::BIGINT AS total, min(v) AS low, max(v) AS high FROM pyrs GROUP BY 1, 2, 3, 4"""
+
+
+@query(IMAGES2_SQL)
+def pyramid_images(spark, sf):
+    """Two images of different shapes in one pass: the vectors as rows, and four of them side by side."""
+    tall = X.lines(spark, sf)
+    height = X.table(spark, sf, "embeddings").agg(F.max("vec_id") + 1).first()[0] or 1
+    wide = tall.select(F.lit(1).alias("img"), (F.col("y0") % 4 * 64).alias("x0"), F.floor(F.col("y0") / 4).alias("y0"), "width", "data")
+    n = [G.n_levels(64, height, R_TILE), G.n_levels(256, -(-height // 4), R_TILE)]
+    bands = tall.withColumn("n", F.lit(n[0])).unionByName(wide.withColumn("n", F.lit(n[1])))
+    return pyramid.tile_stats(pyramid.build(bands, max(n), 1, R_TILE))
 
 
 @query(f"""WITH {R2_SQL} SELECT z, x // 16 AS tx, y // 16 AS ty, md5(string_agg(lpad(hex(b), 2, '0') || lpad(hex(g), 2, '0') || lpad(hex(r), 2, '0'), '' ORDER BY y, x)) AS bytes_md5, (3 * count(*))::BIGINT AS length FROM pyr GROUP BY 1, 2, 3""")
 def tile_bytes(spark, sf):
-    t = pyramid.cut_tiles(_pyramid(spark, sf, rgb=True), ["b", "g", "r"], R_TILE)
-    return t.select("z", "tx", "ty", F.md5(F.hex("bytes")).alias("bytes_md5"), F.length("bytes").cast("long").alias("length"))
+    t = _pyramid(spark, sf, rgb=True)
+    return t.select("z", "tx", "ty", F.md5(F.hex("data")).alias("bytes_md5"), F.length("data").cast("long").alias("length"))
 
 
 TILES_SQL = "tiles AS (SELECT 7 AS z, doc_id % 64 AS x, doc_id // 64 AS y, doc_id, coalesce(text, '') AS text, strlen(coalesce(text, ''))::BIGINT AS length FROM documents)"

@@ -10,14 +10,21 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def raster(spark: SparkSession, sf: str) -> DataFrame:
-    v = F.floor((F.col("e").cast("double") + 1.0) * 127.5).cast("int")
-    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("y"), F.posexplode("embedding").alias("x", "e")).select("x", "y", v.alias("v"))
+def _grey(e):
+    return F.floor((e.cast("double") + 1.0) * 127.5).cast("int")
 
 
-def raster_rgb(spark: SparkSession, sf: str) -> DataFrame:
-    q = lambda i: F.floor((F.get("embedding", i).cast("double") + 1.0) * 127.5).cast("int")
-    return table(spark, sf, "embeddings").select("embedding", F.col("vec_id").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(20))).alias("x")).select("x", "y", q(F.col("x")).alias("b"), q(F.col("x") + 21).alias("g"), q(F.col("x") + 42).alias("r"))
+def lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The vectors as the rows of a grey image of 64 columns, in bands (img, x0, y0, width, data)."""
+    e = table(spark, sf, "embeddings").where("embedding is not null")
+    return e.select(F.lit(0).alias("img"), F.lit(0).cast("long").alias("x0"), F.col("vec_id").alias("y0"), F.lit(64).alias("width"), F.transform("embedding", _grey).alias("data"))
+
+
+def lines_rgb(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as an image of 21 columns in three channels."""
+    pixel = lambda x: F.array(*[_grey(F.get("embedding", x + i)) for i in (0, 21, 42)])
+    e = table(spark, sf, "embeddings").where("embedding is not null")
+    return e.select(F.lit(0).alias("img"), F.lit(0).cast("long").alias("x0"), F.col("vec_id").alias("y0"), F.lit(21).alias("width"), F.flatten(F.transform(F.sequence(F.lit(0), F.lit(20)), pixel)).alias("data"))
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:

@@ -138,6 +138,41 @@ def test_lru_forms_agree(spark):
     assert a == {r.ord: r.hit for r in cache.lru_by_distance(t, 3000).collect()}
 
 
+def test_pyramid_of_several_passes(spark, tmp_path):
+    """Two images of odd sizes, bands of any height, blocks of two tiles a side: five levels take four shuffles."""
+    rng, tile = np.random.default_rng(2), 4
+    images = {"a": rng.integers(0, 256, (61, 37, 3), dtype=np.uint8), "b": rng.integers(0, 256, (3, 9, 3), dtype=np.uint8)}
+    rows = []
+    for img, p in images.items():
+        n = next(k + 1 for k in range(9) if -(-max(p.shape[:2]) // 2**k) <= tile)
+        for y in range(0, len(p), 5):
+            for x, w in ((0, p.shape[1] // 2), (p.shape[1] // 2, -(-p.shape[1] // 2))):
+                rows.append((img, n, x, y, w, p[y : y + 5, x : x + w].tobytes()))
+    bands = spark.createDataFrame(rows + [("a", 5, 0, 0, 1, None)], "img string, n int, x0 long, y0 long, width int, data binary").repartition(3)
+    cuts = iter(range(9))
+
+    def cut(df):
+        path = f"{tmp_path}/{next(cuts)}"
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    got = {(r.img, r.z, r.tx, r.ty): np.frombuffer(r.data, np.uint8).reshape(r.h, r.w, 3) for r in pyramid.build(bands, 5, 3, tile, 8, cut).collect()}
+    seen = 0
+    for img, p in images.items():
+        n = max(z for i, z, _, _ in got if i == img) + 1
+        for z in range(n - 1, -1, -1):
+            for ty in range(-(-len(p) // tile)):
+                for tx in range(-(-p.shape[1] // tile)):
+                    seen += 1
+                    assert (got[img, z, tx, ty] == p[ty * tile : (ty + 1) * tile, tx * tile : (tx + 1) * tile]).all()
+            blocks = [[p[y : y + 2, x : x + 2].reshape(-1, 3).astype(int) for x in range(0, p.shape[1], 2)] for y in range(0, len(p), 2)]
+            p = np.array([[(2 * b.sum(0) + len(b)) // (2 * len(b)) for b in row] for row in blocks], np.uint8)
+    assert seen == len(got) and {z for i, z, _, _ in got if i == "a"} == set(range(5))
+    assert pyramid.build(bands.where("false"), 5, 3, tile, 8).count() == 0
+    with pytest.raises(Exception, match="missing or repeated"):
+        pyramid.build(bands.where("y0 <> 5"), 1, 3, tile, 8).count()
+
+
 def test_png_round_trip_and_filters(spark, tmp_path):
     import struct
     import zlib
