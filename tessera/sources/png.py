@@ -1,20 +1,27 @@
 """PNG reading by bands and writing of tiles, without any imaging library.
 
 ``spark.read.format("png_bands")`` (after ``register``) reads each image as rows of full-width bands; a partition is an
-image, and a band leaves as soon as it is decoded, so memory stays at two rows and one band.
+image. Files are read as streams through Arrow's file systems (local, HDFS, object stores by URI) and inflated by bounded
+pieces; a band leaves as soon as it is decoded, so memory stays at one band and some ``WAVE`` bytes of rows being decoded.
 """
 
 from __future__ import annotations
 
+import fnmatch
+import io
 import struct
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SIGNATURE = bytes([0x89, 0x50, 0x4E, 0x47, 0x0D, 0x0A, 0x1A, 0x0A])
 CHANNELS = {0: 1, 2: 3, 6: 4}
+PIECE = 1 << 20
+#: Bytes of the decoder's skewed rows.
+WAVE = 64 << 20
 SCHEMA = "path string, band int, y0 int, width int, height int, bgr binary"
 
 
@@ -35,71 +42,91 @@ def expected_bytes(width: int, height: int, channels: int) -> int:
     return height * (1 + width * channels)
 
 
-def compressed(data: bytes) -> Iterator[bytes]:
-    """The IDAT chunks' contents; chunks before them are skipped, the first other one after them ends it."""
-    at, begun = 8, False
-    while at + 8 <= len(data):
-        n, kind = struct.unpack(">I4s", data[at : at + 8])
-        if kind == b"IDAT":
-            begun = True
-            yield data[at + 8 : at + 8 + n]
-        elif begun:
+def compressed(file: BinaryIO) -> Iterator[bytes]:
+    """The IDAT chunks' contents by pieces, from the first chunk on; the first other chunk after them ends it."""
+    begun = False
+    while len(head := file.read(8)) == 8:
+        n, kind = struct.unpack(">I4s", head)
+        if kind != b"IDAT" and begun:
             return
-        at += 12 + n
-
-
-def unfilter(kind: int, row: np.ndarray, above: np.ndarray, bpp: int) -> np.ndarray:
-    """One row without its filter, modulo 256."""
-    if kind == 0:
-        return row
-    if kind == 1:  # running sums of each channel
-        wide = np.zeros(-(-len(row) // bpp) * bpp, np.uint8)
-        wide[: len(row)] = row
-        return np.cumsum(wide.reshape(-1, bpp), axis=0, dtype=np.uint8).ravel()[: len(row)]
-    if kind == 2:
-        return row + above
-    out, up = row.astype(np.int32), above.astype(np.int32)
-    pixels, over = out.reshape(-1, bpp), up.reshape(-1, bpp)
-    left = corner = np.zeros(bpp, np.int32)
-    if kind == 3:
-        for i in range(len(pixels)):
-            left = pixels[i] = (pixels[i] + (left + over[i]) // 2) & 255
-    elif kind == 4:
-        for i in range(len(pixels)):
-            b = over[i]
-            pa, pb, pc = abs(b - corner), abs(left - corner), abs(left + b - 2 * corner)
-            guess = np.where((pa <= pb) & (pa <= pc), left, np.where(pb <= pc, b, corner))
-            left = pixels[i] = (pixels[i] + guess) & 255
-            corner = b
-    else:
-        raise ValueError(f"unknown filter {kind}")
-    return out.astype(np.uint8)
-
-
-def to_bgr(row: np.ndarray, channels: int) -> np.ndarray:
+        begun, left = begun or kind == b"IDAT", n + 4
+        while left:
+            piece = file.read(min(left, PIECE))
+            if not piece:
+                return
+            if kind == b"IDAT" and left > 4:
+                yield piece[: left - 4]
+            left -= len(piece)
+
+
+def inflated(file: BinaryIO) -> Iterator[bytes]:
+    """The image's filtered rows, by pieces of bounded size whatever their compression."""
+    inflate = zlib.decompressobj()
+    for piece in compressed(file):
+        while piece:
+            yield inflate.decompress(piece, PIECE)
+            piece = inflate.unconsumed_tail
+
+
+def unfilter(kinds: np.ndarray, rows: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Rows (rows, pixels, channels) without their filters, modulo 256; ``above`` is the row before them.
+
+    A pixel needs those left, above and above left of it, so all pixels on one anti-diagonal are decoded at once: pixel x
+    of row r lies at [x + r + 1, r] of a skewed array whose cells outside the image are 0.
+    """
+    if kinds.max() > 4:
+        raise ValueError(f"unknown filter {kinds.max()}")
+    if (kinds < 3).all():  # nothing but running sums, of channels or of rows
+        rows = rows.copy()
+        rows[kinds == 1] = np.cumsum(rows[kinds == 1], axis=1, dtype=np.uint8)
+        for r in np.flatnonzero(kinds == 2):
+            rows[r] += rows[r - 1] if r else above
+        return rows
+    n, width, channels = rows.shape
+    skew = np.zeros((width + n + 2, n + 1, channels), np.int16)
+    for r, row in enumerate([above, *rows]):
+        skew[r + 1 : r + 1 + width, r] = row
+    sub, up, mean, paeth = ((kinds == k).astype(np.int16)[:, None] for k in (1, 2, 3, 4))
+    for t in range(1, width + n):
+        lo, hi = max(1, t - width + 1), min(n, t) + 1
+        at = slice(lo - 1, hi - 1)
+        left, over, corner = skew[t, lo:hi], skew[t, at], skew[t - 1, at]
+        da, db, dc = abs(over - corner), abs(left - corner), abs(left + over - 2 * corner)
+        nearest = np.where((da <= db) & (da <= dc), left, np.where(db <= dc, over, corner))
+        guess = left * sub[at] + over * up[at] + ((left + over) >> 1) * mean[at] + nearest * paeth[at]
+        skew[t + 1, lo:hi] = (skew[t + 1, lo:hi] + guess) & 255
+    return np.stack([skew[r + 1 : r + 1 + width, r] for r in range(1, n + 1)]).astype(np.uint8)
+
+
+def to_bgr(pixels: np.ndarray) -> np.ndarray:
     """Gray is repeated, colours are turned round, alpha is dropped without blending."""
-    p = row.reshape(-1, channels)
-    return (np.repeat(p, 3, axis=1) if channels == 1 else p[:, 2::-1]).reshape(-1)
+    return np.repeat(pixels, 3, axis=-1) if pixels.shape[-1] == 1 else pixels[..., 2::-1]
 
 
-def bands(data: bytes, rows: int) -> Iterator[tuple[int, int, bytes]]:
+def bands(data: bytes | BinaryIO, rows: int) -> Iterator[tuple[int, int, bytes]]:
     """(first row, rows, BGR bytes) in order; EOFError for truncated data."""
-    h = header(data)
-    stride, inflate = 1 + h["width"] * h["channels"], zlib.decompressobj()
-    held, above, y, out, y0 = bytearray(), np.zeros(stride - 1, np.uint8), 0, [], 0
-    for piece in compressed(data):
-        held += inflate.decompress(piece)
-        while len(held) >= stride and y < h["height"]:
-            raw = np.frombuffer(bytes(held[:stride]), np.uint8)
-            del held[:stride]
-            above = unfilter(int(raw[0]), raw[1:], above, h["channels"])
-            out.append(to_bgr(above, h["channels"]).tobytes())
-            y += 1
-            if len(out) == rows or y == h["height"]:
-                yield y0, len(out), b"".join(out)
+    file = io.BytesIO(data) if isinstance(data, bytes) else data
+    h = header(file.read(33))
+    width, height, channels = h["width"], h["height"], h["channels"]
+    stride, held, y, y0, out = 1 + width * channels, bytearray(), 0, 0, []
+    above, wave = np.zeros((width, channels), np.uint8), max(1, min(rows, 256, WAVE // (2 * width * channels)))
+
+    def decode(n: int) -> np.ndarray:
+        raw = np.frombuffer(bytes(held[: n * stride]), np.uint8).reshape(n, stride)
+        del held[: n * stride]
+        return unfilter(raw[:, 0], raw[:, 1:].reshape(n, width, channels), above)
+
+    for piece in inflated(file):
+        held += piece
+        while y < height and len(held) >= stride * (n := min(wave, y0 + rows - y, height - y)):
+            done = decode(n)
+            above, y = done[-1], y + n
+            out.append(to_bgr(done).tobytes())
+            if y in (y0 + rows, height):
+                yield y0, y - y0, b"".join(out)
                 y0, out = y, []
-    if y < h["height"]:
-        raise EOFError(f"truncated at row {y}")
+    if y < height:
+        raise EOFError(f"truncated at row {y + len(held) // stride}")
 
 
 def encode(bgr: bytes, width: int, height: int) -> bytes:
@@ -110,6 +137,28 @@ def encode(bgr: bytes, width: int, height: int) -> bytes:
     return SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw, 6)) + chunk(b"IEND", b"")
 
 
+def located(path: str):
+    """(file system, path in it) of a path or URI."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def listed(pattern: str) -> list[str]:
+    """The files that a path, or a pattern in its last part, names; in order, as paths or URIs like the pattern."""
+    from pyarrow import fs
+
+    folder, _, last = pattern.rpartition("/")
+    files, base = located(folder or ".")
+    found = files.get_file_info(fs.FileSelector(base, allow_not_found=True))
+    return sorted(f"{folder or '.'}/{i.base_name}" for i in found if i.is_file and fnmatch.fnmatchcase(i.base_name, last))
+
+
+def opened(path: str) -> BinaryIO:
+    files, inner = located(path)
+    return files.open_input_stream(inner, compression=None)
+
+
 class _Image(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -120,17 +169,15 @@ class _Reader(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[_Image]:
-        import glob
-
-        return [_Image(p) for p in sorted(glob.glob(self.options["path"]))]
+        return [_Image(p) for p in listed(self.options["path"])]
 
     def read(self, partition: _Image) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            data = f.read()
         rows = int(self.options.get("rows", 256))
-        width = header(data)["width"]
-        for y0, n, bgr in bands(data, rows):
-            yield partition.path, y0 // rows, y0, width, n, bgr
+        with opened(partition.path) as file:
+            h = header(file.read(33))
+        with opened(partition.path) as file:
+            for y0, n, bgr in bands(file, rows):
+                yield partition.path, y0 // rows, y0, h["width"], n, bgr
 
 
 class PngBands(DataSource):

@@ -13,6 +13,7 @@ from tessera.functions import hashing as H
 from tessera.functions import messages as M
 from tessera.operators import cache, control, pyramid, viewport
 from tessera.plans import catalog
+from tessera.sources import ingest as ingest_files
 from tessera.sources import png, tile_store
 
 HASHES = [
@@ -202,6 +203,34 @@ def test_png_round_trip_and_filters(spark, tmp_path):
         list(png.bands(png.SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", 5, 9, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(rows[:3]))), 4))
 
 
+def test_ingest_of_files(spark, tmp_path):
+    """Formats by signature, tiles read back equal to the pixels, the marker last, and errors by name."""
+    import struct
+    import zlib
+
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 256, (37, 21, 3), dtype=np.uint8), rng.integers(0, 256, (9, 12, 3), dtype=np.uint8)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.bin").write_bytes(png.encode(a.tobytes(), 21, 37))
+    body = b[::-1].tobytes()  # rows of 36 bytes need no padding
+    (tmp_path / "in/b c.png").write_bytes(b"BM" + struct.pack("<IHHI", 54 + len(body), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 12, 9, 1, 24, 0, len(body), 0, 0, 0, 0) + body)
+    for _ in range(2):  # again, over what is there
+        got = {r.img: r for r in ingest_files.ingest(spark, f"{tmp_path}/in/*", f"{tmp_path}/store", 8).collect()}
+    assert {k: (r.width, r.height, r.levels, r.tiles) for k, r in got.items()} == {"a": (21, 37, 4, 15 + 6 + 2 + 1), "b_c": (12, 9, 2, 4 + 1)}
+    assert spark.read.parquet(f"{tmp_path}/store/ready").count() == 2
+    for img, p, top in (("a", a, 3), ("b_c", b, 1)):
+        tiles = tile_store.read(spark, f"{tmp_path}/store/tiles").where(f"img = '{img}' and z = {top}").collect()
+        assert len(tiles) == -(-p.shape[0] // 8) * -(-p.shape[1] // 8)
+        for t in tiles:
+            part = p[t.y * 8 : t.y * 8 + 8, t.x * 8 : t.x * 8 + 8]
+            assert b"".join(x for _, _, x in png.bands(bytes(t.bytes), 8)) == part.tobytes()
+    (tmp_path / "in/c.png").write_bytes(b"nothing")
+    with pytest.raises(ValueError, match="c.png"):
+        ingest_files.ingest(spark, f"{tmp_path}/in/*", f"{tmp_path}/store", 8)
+    data = zlib.compress(bytes(9 * (1 << 20)))
+    assert max(len(x) for x in png.inflated(__import__("io").BytesIO(struct.pack(">I4s", len(data), b"IDAT") + data + bytes(4)))) <= png.PIECE
+
+
 def test_codecs(spark):
     r = spark.range(1).select(M.accept_key(F.lit("dGhlIHNhbXBsZSBub25jZQ==")).alias("k"), M.media_type(F.lit("/a/b.PNG")).alias("m"), M.safe_path(F.lit("/a/../../b")).alias("bad"), M.safe_path(F.lit("/a/%20b")).alias("ok"), M.image_id(F.lit("a b.tar.gz")).alias("i"), M.image_id(F.lit(".x")).alias("j")).first()
     assert (r.k, r.m, r.bad, r.ok, r.i, r.j) == ("s3pPLMBiTxaQ9kYGzzhZRbK+xOo=", "image/png", None, "/a/ b", "a_b_tar", "_x")
