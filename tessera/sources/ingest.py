@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -9,16 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.functions.geometry import TILE, n_levels_expr
-from tessera.functions.messages import image_id
+from tessera.functions.messages import image_id, is_candidate
 from tessera.operators import pyramid
 from tessera.sources import png, tile_store
+from tessera.streaming.ingest import unseen
 
 BANDS = "path string, x0 long, y0 long, width long, height long, data binary"
 
 
-def formats(spark: SparkSession, pattern: str) -> DataFrame:
-    """(path, img, format) of the files a pattern names; the format is told by the first bytes, null if unknown."""
-    paths = png.listed(pattern)
+def formats(spark: SparkSession, pattern: str | list[str]) -> DataFrame:
+    """(path, img, format) of the files a pattern names, or of a list; the format is told by the first bytes, null if unknown."""
+    paths = png.listed(pattern) if isinstance(pattern, str) else sorted(pattern)
 
     def heads(batches):
         for batch in batches:
@@ -64,7 +67,7 @@ def _other_bands(spark: SparkSession, paths: list[str]) -> DataFrame:
     return image.select(F.coalesce(origin, "origin").alias("path"), long(F.lit(0), "x0"), long(F.lit(0), "y0"), long(F.col("width"), "width"), long(sound, "height"), "nChannels", "data").mapInArrow(bgr, schema)
 
 
-def bands(spark: SparkSession, pattern: str, rows: int = 256) -> DataFrame:
+def bands(spark: SparkSession, pattern: str | list[str], rows: int = 256) -> DataFrame:
     """(img, x0, y0, width, height, data) of all images a pattern names, whatever their names' endings.
 
     PNG files go to the streaming reader, JPEG, BMP, TIFF and GIF to Spark's ``image`` source (whole, below 2 GB); ValueError names
@@ -93,7 +96,54 @@ def encode(tiles: DataFrame) -> DataFrame:
     return tiles.mapInArrow(run, "img string, z int, x int, y int, bytes binary")
 
 
-def ingest(spark: SparkSession, pattern: str, store: str, tile: int = TILE, cut=None) -> DataFrame:
+def _remove(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def delete(spark: SparkSession, store: str, img: str | None = None) -> None:
+    """Removes one image's pyramid, or all of a store; the marker goes first."""
+    for part in ("ready", "tiles"):
+        _remove(spark, f"{store}/{part}" + (f"/img={img}" if img is not None else ""))
+
+
+def backlog(files: DataFrame, ready: DataFrame) -> DataFrame:
+    """At the start: files (path, img) without a pyramid wait as PROCESSING, the others are only noted as SEEN."""
+    return files.join(ready.select("img", F.lit("SEEN").alias("s")).distinct(), "img", "left").select("path", "img", F.coalesce("s", F.lit("PROCESSING")).alias("state"))
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, size, mtime in microseconds) of a folder's candidates; contents are not read."""
+    from pyarrow import fs
+
+    files, base = png.located(folder)
+    found = files.get_file_info(fs.FileSelector(base, allow_not_found=True))
+    rows = [(f"{folder}/{i.base_name}", i.base_name, i.size, i.mtime_ns // 1000) for i in found if i.is_file]
+    return spark.createDataFrame(rows, "path string, name string, size long, mtime long").where(is_candidate("name")).drop("name")
+
+
+def sweep(spark: SparkSession, folder: str, store: str, tile: int = TILE, quiet: int = 5, now: float | None = None) -> list[tuple[str, str]]:
+    """One look at a folder: ingests, oldest first and one at a time, its files that are new or changed and have been
+    left alone for ``quiet`` seconds; (path, READY or the error). A scheduler calls it again and again.
+
+    ``store``/seen holds the fingerprints of what went in, so that a restart goes on where it was. A failed file is not
+    noted and so is tried again.
+    """
+    noted = "path string, size long, mtime long"
+    seen = spark.read.schema(noted).parquet(f"{store}/seen") if png.listed(f"{store}/seen/*") else spark.createDataFrame([], noted)
+    still = (time.time() if now is None else now) - quiet
+    out = []
+    for f in unseen(_files(spark, folder), seen).where(F.col("mtime") <= int(still * 1e6)).orderBy("mtime", "path").collect():  # a listing's names
+        try:
+            ingest(spark, [f.path], store, tile)
+            spark.createDataFrame([(f.path, f.size, f.mtime)], noted).coalesce(1).write.mode("append").parquet(f"{store}/seen")
+            out.append((f.path, "READY"))
+        except Exception as error:  # one bad file does not hold up the others; it is told and tried again
+            out.append((f.path, str(error)))
+    return out
+
+
+def ingest(spark: SparkSession, pattern: str | list[str], store: str, tile: int = TILE, cut=None) -> DataFrame:
     """Writes the pyramids of all images of a pattern; returns (img, width, height, tile, levels, tiles).
 
     ``store``/tiles holds the tiles, ``store``/ready one partition an image that is complete: it is removed before the
@@ -108,8 +158,7 @@ def ingest(spark: SparkSession, pattern: str, store: str, tile: int = TILE, cut=
         return spark.createDataFrame([], "img string, width long, height long, tile int, levels int, tiles long")
     table = spark.createDataFrame(known, images.schema)
     for r in known:
-        marker = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/ready/img={r.img}")
-        marker.getFileSystem(spark._jsc.hadoopConfiguration()).delete(marker, True)
+        _remove(spark, f"{store}/ready/img={r.img}")
     numbered = rows.join(F.broadcast(table.select("img", F.col("levels").alias("n"))), "img")  # one row an image of this call
     made = pyramid.build(numbered, max(r.levels for r in known), 3, tile, max(2048, 2 * tile), cut)
     tile_store.write(encode(made), f"{store}/tiles")
@@ -121,3 +170,36 @@ def ingest(spark: SparkSession, pattern: str, store: str, tile: int = TILE, cut=
     ready = table.join(want, "img").select("img", "width", "height", F.lit(tile).alias("tile"), "levels", "tiles")
     ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("img").parquet(f"{store}/ready")
     return ready
+
+
+def scan(spark: SparkSession, pattern: str | list[str], inflate: bool = False) -> DataFrame:
+    """What PNG files say of themselves, pixels unread; with ``inflate`` also the bytes they inflate to.
+
+    (path, width, height, channels, expected, level, block, inflated): ``expected`` bytes of a sound image, ``level`` the
+    compressor's stated effort (0 to 3), ``block`` the first block's kind (0 stored, 1 fixed, 2 dynamic codes).
+    """
+    paths = png.listed(pattern) if isinstance(pattern, str) else sorted(pattern)
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path in batch["path"].to_pylist():
+                with png.opened(path) as file:
+                    h = png.header(file.read(33))
+                    first = b""
+                    for piece in png.compressed(file):
+                        if len(first := first + piece) > 2:
+                            break
+                row = {"path": path, "width": h["width"], "height": h["height"], "channels": h["channels"], "expected": png.expected_bytes(h["width"], h["height"], h["channels"])}
+                row |= {"level": first[1] >> 6, "block": first[2] >> 1 & 3} if len(first) > 2 else {"level": None, "block": None}
+                row["inflated"] = None
+                if inflate:
+                    with png.opened(path) as file:
+                        file.read(33)
+                        row["inflated"] = sum(map(len, png.inflated(file)))
+                rows.append(row)
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    fields = "path string, width int, height int, channels int, expected long, level int, block int, inflated long"
+    schema = to_arrow_schema(spark.createDataFrame([], fields).schema)
+    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 1000))).mapInArrow(run, fields)

@@ -129,6 +129,32 @@ def bands(data: bytes | BinaryIO, rows: int) -> Iterator[tuple[int, int, bytes]]
         raise EOFError(f"truncated at row {y + len(held) // stride}")
 
 
+def region(data: bytes | BinaryIO, x: int, y: int, width: int, height: int) -> bytes:
+    """BGR bytes of a rectangle, cut at the image's edges; rows below it are not decoded."""
+    head = data[:33] if isinstance(data, bytes) else data.read(33)
+    full, out = header(head)["width"], []
+    rest = data if isinstance(data, bytes) else _After(head, data)
+    for y0, n, bgr in bands(rest, 64):
+        rows = np.frombuffer(bgr, np.uint8).reshape(n, full, 3)
+        out.append(rows[max(0, y - y0) : max(0, y + height - y0), x : x + width].tobytes())
+        if y0 + n >= y + height:
+            break
+    return b"".join(out)
+
+
+class _After:
+    """A stream whose first bytes were read already."""
+
+    def __init__(self, head: bytes, file: BinaryIO):
+        self.head, self.file = head, file
+
+    def read(self, n: int) -> bytes:
+        if not self.head:
+            return self.file.read(n)
+        out, self.head = self.head[:n], self.head[n:]
+        return out
+
+
 def encode(bgr: bytes, width: int, height: int) -> bytes:
     """An RGB PNG of row-major BGR bytes, unfiltered."""
     rgb = np.frombuffer(bgr, np.uint8).reshape(height, width, 3)[:, :, ::-1]

@@ -231,6 +231,39 @@ def test_ingest_of_files(spark, tmp_path):
     assert max(len(x) for x in png.inflated(__import__("io").BytesIO(struct.pack(">I4s", len(data), b"IDAT") + data + bytes(4)))) <= png.PIECE
 
 
+def test_sweeps_of_a_folder(spark, tmp_path):
+    """New files once, changed files again, failed files again until they are mended, young files not yet."""
+    import os
+
+    folder, store = f"{tmp_path}/in", f"{tmp_path}/store"
+    os.mkdir(folder)
+    image = np.arange(6 * 5 * 3, dtype=np.uint8).reshape(6, 5, 3)
+
+    def put(name, data, at):
+        with open(f"{folder}/{name}", "wb") as f:
+            f.write(data)
+        os.utime(f"{folder}/{name}", (at, at))
+
+    sweep = lambda now: [(p.rsplit("/", 1)[1], s if s == "READY" else "ERROR") for p, s in ingest_files.sweep(spark, folder, store, 8, now=now)]
+    put("b.png", png.encode(image.tobytes(), 5, 6), 100)
+    put("a.png", b"torn", 101)
+    put("young.png", png.encode(image.tobytes(), 5, 6), 108)
+    assert sweep(110) == [("b.png", "READY"), ("a.png", "ERROR")]
+    put("a.png", png.encode(image.tobytes(), 5, 6), 102)
+    assert sweep(110) == [("a.png", "READY")] and sweep(110) == []
+    put("b.png", png.encode(image[:3].tobytes(), 5, 3), 104)
+    assert sweep(110) == [("b.png", "READY")]
+    assert {r.img: r.height for r in spark.read.parquet(f"{store}/ready").collect()} == {"a": 6, "b": 3}
+    files = ingest_files.formats(spark, f"{folder}/*")
+    assert {r.img: r.state for r in ingest_files.backlog(files, spark.read.parquet(f"{store}/ready")).collect()} == {"a": "SEEN", "b": "SEEN", "young": "PROCESSING"}
+    said = {r.path[-5:]: r for r in ingest_files.scan(spark, f"{folder}/?.png", inflate=True).collect()}
+    assert (said["a.png"].width, said["a.png"].height, said["a.png"].expected, said["a.png"].inflated, said["b.png"].inflated) == (5, 6, 96, 96, 48)
+    with png.opened(f"{folder}/a.png") as file:
+        assert png.region(file, 3, 4, 9, 9) == image[4:, 3:].tobytes() == png.region(png.encode(image.tobytes(), 5, 6), 3, 4, 9, 9)
+    ingest_files.delete(spark, store, "a")
+    assert [r.img for r in spark.read.parquet(f"{store}/ready").collect()] == ["b"]
+
+
 def test_codecs(spark):
     r = spark.range(1).select(M.accept_key(F.lit("dGhlIHNhbXBsZSBub25jZQ==")).alias("k"), M.media_type(F.lit("/a/b.PNG")).alias("m"), M.safe_path(F.lit("/a/../../b")).alias("bad"), M.safe_path(F.lit("/a/%20b")).alias("ok"), M.image_id(F.lit("a b.tar.gz")).alias("i"), M.image_id(F.lit(".x")).alias("j")).first()
     assert (r.k, r.m, r.bad, r.ok, r.i, r.j) == ("s3pPLMBiTxaQ9kYGzzhZRbK+xOo=", "image/png", None, "/a/ b", "a_b_tar", "_x")
