@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -75,8 +76,8 @@ def bands(spark: SparkSession, pattern: str | list[str], rows: int = 256) -> Dat
     """
     found = formats(spark, pattern).collect()  # one small row a file, as any listing
     unknown = sorted(r.path for r in found if r.format is None)
-    ids = [r.img for r in found]
-    clash = sorted(r.path for r in found if ids.count(r.img) > 1)
+    ids = Counter(r.img for r in found)
+    clash = sorted(r.path for r in found if ids[r.img] > 1)
     if unknown or clash:
         raise ValueError(f"of no known format: {unknown}; with clashing ids: {clash}")
     ours, others = ([r.path for r in found if (r.format == "png") == own] for own in (True, False))
@@ -163,7 +164,7 @@ def ingest(spark: SparkSession, pattern: str | list[str], store: str, tile: int
     made = pyramid.build(numbered, max(r.levels for r in known), 3, tile, max(2048, 2 * tile), cut)
     tile_store.write(encode(made), f"{store}/tiles")
     want = pyramid.levels(table.select("img", "width", "height"), tile).groupBy("img").agg(F.sum("tiles").alias("tiles"))
-    have = tile_store.read(spark, f"{store}/tiles").where(F.col("img").isin([r.img for r in known])).groupBy("img").agg(F.count("*").alias("found"))
+    have = tile_store.read(spark, f"{store}/tiles").join(table.select("img"), "img", "left_semi").groupBy("img").agg(F.count("*").alias("found"))
     bad = [r.img for r in want.join(have, "img", "left").where("found is null or found <> tiles").collect()]
     if bad:
         raise RuntimeError(f"not complete: {sorted(bad)}")
