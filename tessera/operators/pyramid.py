@@ -41,8 +41,11 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values.astype(np.uint8), column.offsets.to_numpy(zero_copy_only=False)
 
 
-def _deal(edge: int, channels: int, schema: pa.Schema):
-    """Bands to pieces that lie in one block each; bands that follow one another in a batch are dealt as one."""
+def _deal(edge: int, channels: int, mark: bool, schema: pa.Schema):
+    """Bands to pieces that lie in one block each; bands that follow one another in a batch are dealt as one.
+
+    ``mark`` adds a channel of ones, which tells pixels from holes.
+    """
 
     def deal(batches):
         for batch in batches:
@@ -61,6 +64,7 @@ def _deal(edge: int, channels: int, schema: pa.Schema):
             for i, j in zip(first, np.r_[first[1:], len(img)]):
                 w, left, top = int(width[i]), int(x0[i]), int(y0[i])
                 area = values[ends[i] : ends[j]].reshape(-1, w, channels)
+                area = np.concatenate((area, np.ones((*area.shape[:2], 1), np.uint8)), axis=2) if mark else area
                 for by in range(top // edge, -(-(top + len(area)) // edge)):
                     y = max(top, by * edge)
                     for bx in range(left // edge, -(-(left + w) // edge)):
@@ -78,7 +82,16 @@ def halve(a: np.ndarray) -> np.ndarray:
     return ((a[::2, ::2] + a[1::2, ::2] + a[::2, 1::2] + a[1::2, 1::2] + 2) >> 2).astype(np.uint8)
 
 
-def _reduce(edge: int, tile: int, steps: int, channels: int, repeat: bool, schema: pa.Schema):
+def halve_present(a: np.ndarray) -> np.ndarray:
+    """The same where the last channel is 1 for pixels and 0 for holes: the half-up mean of the pixels that are there."""
+    a = np.pad(a, ((0, a.shape[0] % 2), (0, a.shape[1] % 2), (0, 0))).astype(np.uint16)
+    a[..., :-1] *= a[..., -1:]
+    total = a[::2, ::2] + a[1::2, ::2] + a[::2, 1::2] + a[1::2, 1::2]
+    n = total[..., -1:]
+    return np.concatenate(((2 * total[..., :-1] + n) // np.maximum(2 * n, 1), n > 0), axis=2).astype(np.uint8)
+
+
+def _reduce(edge: int, tile: int, steps: int, channels: int, repeat: bool, holes: bool, schema: pa.Schema):
     """A block's pieces to its tiles at its own level (not where ``repeat``) and the next ``steps`` coarser ones."""
 
     def reduce(key, pieces):
@@ -86,27 +99,33 @@ def _reduce(edge: int, tile: int, steps: int, channels: int, repeat: bool, schem
         x0, y0, width = (pieces[c].to_numpy() for c in ("x0", "y0", "width"))
         data = [np.frombuffer(d.as_buffer(), np.uint8).reshape(-1, w, channels) for d, w in zip(pieces["data"], width)]
         at = [(int(y) - by * edge, int(x) - bx * edge) for y, x in zip(y0, x0)]
-        area = np.empty((max(y + len(d) for (y, _), d in zip(at, data)), max(x + d.shape[1] for (_, x), d in zip(at, data)), channels), np.uint8)
-        if sum(d.size for d in data) != area.size:
+        shape = max(y + len(d) for (y, _), d in zip(at, data)), max(x + d.shape[1] for (_, x), d in zip(at, data)), channels
+        area = (np.zeros if holes else np.empty)(shape, np.uint8)
+        if not holes and sum(d.size for d in data) != area.size:
             raise ValueError(f"image {img}: pixels of block ({bx}, {by}) are missing or repeated at level {z}")
         for (y, x), d in zip(at, data):
-            area[y : y + len(d), x : x + d.shape[1]] = d
+            there = area[y : y + len(d), x : x + d.shape[1]]
+            if holes and (there[..., -1] & d[..., -1]).any():
+                raise ValueError(f"image {img}: pixels of block ({bx}, {by}) are repeated at level {z}")
+            there[...] = np.where(d[..., -1:], d, there) if holes else d
         out = []
         for k in range(min(steps, z) + 1):
             if k:
-                area = halve(area)
+                area = halve_present(area) if holes else halve(area)
             if k or not repeat:
                 per = (edge >> k) // tile
                 for ty in range(-(-len(area) // tile)):
                     for tx in range(-(-area.shape[1] // tile)):
                         t = area[ty * tile : (ty + 1) * tile, tx * tile : (tx + 1) * tile]
+                        if holes and not t[..., -1].any():
+                            continue
                         out.append({"img": img, "z": z - k, "tx": bx * per + tx, "ty": by * per + ty, "w": t.shape[1], "h": len(t), "seam": k == steps and z > k, "data": t.tobytes()})
         return pa.Table.from_pylist(out, schema)
 
     return reduce
 
 
-def build(bands: DataFrame, levels: int, channels: int = 3, tile: int = 256, block: int = 2048, cut=None) -> DataFrame:
+def build(bands: DataFrame, levels: int, channels: int = 3, tile: int = 256, block: int = 2048, cut=None, holes: bool = False) -> DataFrame:
     """Tiles (img, z, tx, ty, w, h, data) of every level of the images whose bands are given.
 
     ``bands`` has (img, n, x0, y0, width, data): the image's number of levels (at most ``levels``), and whole rows of
@@ -116,6 +135,9 @@ def build(bands: DataFrame, levels: int, channels: int = 3, tile: int = 256, blo
     side, which hold whole sub-trees, and a block makes all its levels down to one tile. Only where an image has
     more levels are these last tiles (1 / 4^k of the pixels) shuffled again; ``cut`` (a function of a DataFrame, such as
     a written table) then keeps the blocks from being read twice.
+
+    With ``holes``, pixels may be missing: coarser ones are means of those that are there, tiles without any are left
+    out, and ``data`` has one more channel, 1 for pixels and 0 for holes. A repeated pixel still raises.
     """
     steps = max(0, (block // tile).bit_length() - 1)
     if steps == 0 and levels > 1:
@@ -128,8 +150,8 @@ def build(bands: DataFrame, levels: int, channels: int = 3, tile: int = 256, blo
     place = [F.col(c).cast("long").alias(c) for c in ("x0", "y0", "width")]
     rows, out = bands.where("data is not null and width > 0").select("img", (F.col("n") - 1).cast("int").alias("z"), *place, "data"), None
     for top in range(0, max(levels - 1, 1), steps or 1):
-        dealt = rows.mapInArrow(_deal(edge, channels, to_arrow_schema(pieces)), pieces)
-        made = dealt.groupBy("img", "z", "bx", "by").applyInArrow(_reduce(edge, tile, steps, channels, top > 0, to_arrow_schema(tiles)), tiles)
+        dealt = rows.mapInArrow(_deal(edge, channels + (holes and top > 0), holes and top == 0, to_arrow_schema(pieces)), pieces)
+        made = dealt.groupBy("img", "z", "bx", "by").applyInArrow(_reduce(edge, tile, steps, channels + holes, top > 0, holes, to_arrow_schema(tiles)), tiles)
         if top + steps < levels - 1:
             made = cut(made) if cut else made
             rows = made.where("seam").select("img", "z", (F.col("tx") * tile).alias("x0"), (F.col("ty") * tile).alias("y0"), F.col("w").alias("width"), "data")
@@ -153,22 +175,41 @@ def _by_tile(tiles: DataFrame, channels: int, schema: T.StructType, of) -> DataF
     return tiles.mapInArrow(run, schema)
 
 
-def tile_stats(tiles: DataFrame, channel: int = 0, channels: int = 1) -> DataFrame:
-    """Per tile (img, z, tx, ty, w, h): sum, least and greatest value of one channel."""
+def _inside(p: np.ndarray, holes: bool) -> np.ndarray:
+    return p[..., -1] > 0 if holes else np.ones(p.shape[:2], bool)
+
+
+def tile_stats(tiles: DataFrame, channel: int = 0, channels: int = 1, holes: bool = False) -> DataFrame:
+    """Per tile (img, z, tx, ty, w, h): pixels, and sum, least and greatest value of one channel.
+
+    With ``holes``, of the pixels that are there; w and h are then those of the least box around them.
+    """
     keys = [f for f in tiles.schema.fields if f.name != "data"]
-    schema = T.StructType([*keys, T.StructField("total", T.LongType()), T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType())])
-    return _by_tile(tiles, channels, schema, lambda row, p: {"total": int(p[..., channel].sum(dtype=np.int64)), "low": int(p[..., channel].min()), "high": int(p[..., channel].max())})
+    schema = T.StructType([*keys, T.StructField("n", T.LongType()), T.StructField("total", T.LongType()), T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType())])
+
+    def of(row, p):
+        m = _inside(p, holes)
+        y, x = (np.flatnonzero(m.any(axis=k)) for k in (1, 0))
+        v = p[..., channel][m]
+        return {"w": int(x[-1] - x[0] + 1), "h": int(y[-1] - y[0] + 1), "n": len(v), "total": int(v.sum(dtype=np.int64)), "low": int(v.min()), "high": int(v.max())}
 
+    return _by_tile(tiles, channels + holes, schema, of)
 
-def pixels_of(tiles: DataFrame, channels: list[str], tile: int = 256) -> DataFrame:
+
+def pixels_of(tiles: DataFrame, channels: list[str], tile: int = 256, holes: bool = False) -> DataFrame:
     """Tiles as one row a pixel: (img, z, x, y, channels)."""
     schema = T.StructType([tiles.schema["img"], tiles.schema["z"], T.StructField("x", T.LongType()), T.StructField("y", T.LongType()), *[T.StructField(c, T.IntegerType()) for c in channels]])
 
     def of(row, p):
-        y, x = np.divmod(np.arange(row["w"] * row["h"]), row["w"])
-        return {"x": x + row["tx"] * tile, "y": y + row["ty"] * tile} | {c: p[..., i].ravel().astype(np.int32) for i, c in enumerate(channels)}
+        y, x = np.nonzero(_inside(p, holes))
+        return {"x": x + row["tx"] * tile, "y": y + row["ty"] * tile} | {c: p[y, x, i].astype(np.int32) for i, c in enumerate(channels)}
+
+    return _by_tile(tiles, len(channels) + holes, schema, of)
+
 
-    return _by_tile(tiles, len(channels), schema, of)
+def present(tiles: DataFrame, channels: int) -> DataFrame:
+    """Tiles made with holes, ``data`` being the bytes of the pixels that are there, row by row."""
+    return _by_tile(tiles, channels + 1, tiles.schema, lambda row, p: {"data": p[_inside(p, True)][:, :-1].tobytes()})
 
 
 def index(tiles: DataFrame, cols: int, keys: tuple[str, ...] = ("img", "z")) -> DataFrame:

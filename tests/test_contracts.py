@@ -174,6 +174,47 @@ def test_pyramid_of_several_passes(spark, tmp_path):
         pyramid.build(bands.where("y0 <> 5"), 1, 3, tile, 8).count()
 
 
+def _against_sql(spark, name, folder, tables):
+    """Rows of a query and of its SQL over tables of a folder, in order."""
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    df = catalog.QUERIES[name](spark, str(folder))
+    want = con.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in df.columns)} FROM ({catalog.ORACLES[name]})").fetchall()
+    return sorted(map(tuple, df.collect()), key=repr), sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("name", ["pyramid_images"])
+def test_pyramid_queries_at_any_height(spark, tmp_path, name):
+    """More rows than six levels bring down to one tile, a number not divisible by four, and a gap in the rows."""
+    rng = np.random.default_rng(7)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.uniform(-1, 1, (1043, 64)).astype(np.float32)) if i not in (5, 6, 7, 40) and not 96 <= i < 128]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got, want = _against_sql(spark, name, tmp_path, ["embeddings"])
+    assert len(got) > 100 and got == want
+
+
+def test_pyramid_with_holes_over_several_blocks(spark):
+    """Holes weigh nothing at any level, also where tiles go through a second shuffle; repeated pixels raise."""
+    rng = np.random.default_rng(8)
+    tile, size = 2, 40
+    level = {(int(x), int(y)): rng.integers(0, 256, 2) for x, y in rng.integers(0, size, (500, 2))}
+    rows = [("i", 6, x, y, 1, bytes(v.astype(np.uint8))) for (x, y), v in level.items()]
+    bands = spark.createDataFrame(rows, "img string, n int, x0 int, y0 int, width int, data binary")
+    made = pyramid.build(bands, 6, 2, tile, 4, holes=True)
+    got = {(r.z, r.x, r.y): (r.a, r.b) for r in pyramid.pixels_of(made, ["a", "b"], tile, holes=True).collect()}
+    want = {}
+    for z in range(5, -1, -1):
+        want |= {(z, x, y): (int(v[0]), int(v[1])) for (x, y), v in level.items()}
+        cells = {}
+        for (x, y), v in level.items():
+            cells.setdefault((x // 2, y // 2), []).append(v)
+        level = {k: (2 * sum(map(np.int64, v)) + len(v)) // (2 * len(v)) for k, v in cells.items()}
+    assert got == want
+    with pytest.raises(Exception, match="repeated"):
+        pyramid.build(bands.unionByName(bands.limit(1)), 6, 2, tile, 4, holes=True).count()
+
+
 def test_png_round_trip_and_filters(spark, tmp_path):
     import struct
     import zlib
