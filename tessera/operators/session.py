@@ -150,21 +150,21 @@ def as_of(rows: DataFrame, config: DataFrame, values: list[str]) -> DataFrame:
 
 
 def attempts(files: DataFrame) -> DataFrame:
-    """Adds ``taken`` to arrivals (path, ord, fingerprint, ok): false where the fingerprint is that of the last ingest.
+    """(path, ord, taken) of arrivals (path, ord, fingerprint, ok): false where the fingerprint is that of the last ingest.
 
-    A failed ingest is forgotten, so the same file is taken again. One ordered fold a path.
+    A failed ingest is forgotten, so the same file is taken again. After any arrival the last ingest is of its
+    fingerprint or forgotten; so in a run of equal fingerprints all are taken up to the first that goes well, and each
+    follows from windows. A null fingerprint is as good as forgotten: it is taken only where another one was kept.
     """
-    rows = files.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ord", "fingerprint", "ok"))).alias("rows"))
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(None).cast("long").alias("ord"), F.lit(False).alias("taken"))
-
-    def step(kept: Column, r: Column) -> Column:
-        last = F.element_at(kept, -1)
-        taken = ~r["fingerprint"].eqNullSafe(last["last"])
-        now = F.when(~taken, last["last"]).when(r["ok"], r["fingerprint"])
-        return F.concat(kept, F.array(F.struct(now.alias("last"), r["ord"].cast("long").alias("ord"), taken.alias("taken"))))
-
-    done = rows.select("path", F.explode(F.slice(F.aggregate("rows", F.array(start), step), 2, 1_000_000_000)).alias("s"))
-    return done.select("path", "s.ord", "s.taken")
+    by = Window.partitionBy("path").orderBy("ord", "fingerprint", "ok")
+    was = F.lag("fingerprint").over(by)
+    f = files.withColumn("_first", F.coalesce(~F.col("fingerprint").eqNullSafe(was) | (F.row_number().over(by) == 1), F.lit(True)))
+    f = f.withColumn("_run", F.sum(F.col("_first").cast("long")).over(by))
+    run = Window.partitionBy("path", "_run").orderBy("ord", "fingerprint", "ok").rowsBetween(Window.unboundedPreceding, 0)
+    f = f.withColumn("_kept", F.col("fingerprint").isNotNull() & F.coalesce(F.max("ok").over(run), F.lit(False)))
+    f = f.withColumn("_before", F.coalesce(F.lag("_kept").over(by), F.lit(False)))
+    taken = F.when(F.col("fingerprint").isNull(), F.col("_before") & F.col("_first")).otherwise(F.col("_first") | ~F.col("_before"))
+    return f.select("path", F.col("ord").cast("long").alias("ord"), taken.alias("taken"))
 
 
 def last_tiles(arrivals: DataFrame, keep: int = 32) -> DataFrame:

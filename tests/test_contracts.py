@@ -215,6 +215,25 @@ def test_pyramid_with_holes_over_several_blocks(spark):
         pyramid.build(bands.unionByName(bands.limit(1)), 6, 2, tile, 4, holes=True).count()
 
 
+def test_attempts_follow_the_fold(spark):
+    """Long histories of one path, failures and null fingerprints, against the fold; no list of a path's arrivals is made."""
+    from tessera.operators import session
+
+    rng = np.random.default_rng(9)
+    rows, want = [], set()
+    for path, n in (("a", 3000), ("b", 500), ("c", 1)):
+        last = None
+        for k in range(n):
+            fp, ok = [None, "x", "y"][rng.integers(0, 3)], bool(rng.integers(0, 2))
+            taken = fp != last
+            last = (fp if ok else None) if taken else last
+            rows.append((path, k, fp, ok))
+            want.add((path, k, taken))
+    out = session.attempts(spark.createDataFrame(rows, "path string, ord int, fingerprint string, ok boolean"))
+    assert {tuple(r) for r in out.collect()} == want
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
 def test_png_round_trip_and_filters(spark, tmp_path):
     import struct
     import zlib
