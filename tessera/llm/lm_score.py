@@ -14,9 +14,10 @@ table over the whole training text, in buckets by context; it grows with the inp
 of a text are those of its tokens; ``score`` is their log10 probability, ``bits_per_byte`` the total over the
 text's bytes.
 
-The vocabulary is counted in hash buckets and never gathered whole: at most ``TOP`` words reach the workers, and
-tokens beyond them are looked up in their bucket (what followed a token is counted for the ``TOP`` words). All
-occurrences of a context lie in one bucket, 12 bytes each. Bit counts have a fixed number of slots and are summed over training
+The vocabulary is counted in hash buckets and never gathered whole: at most ``TOP`` words reach the workers. Tokens
+beyond them go through their word's bucket, which tells their counts, and from there to the bucket of their context, so
+what followed a token is counted for every word. All occurrences of a context lie in one bucket, 12 bytes each; what
+they add to a document goes on to the document's bucket. Bit counts have a fixed number of slots and are summed over training
 shards, ``FAN`` at a time. Shards are sets of documents by a hash of their id, in order of id, so the model does not
 depend on how the table is split; there are at most ``MAX_SHARDS``.
 
@@ -235,9 +236,9 @@ def _level(n: np.ndarray) -> np.ndarray:
 
 
 def _mixed(st: list[np.ndarray], gate: np.ndarray, w: np.ndarray) -> np.ndarray:
-    z = w[CONTEXTS][gate]
+    z = w[CONTEXTS].take(gate)
     for j, s in enumerate(st):
-        z = z + w[j][gate] * s
+        z = z + w[j].take(gate) * s
     return np.clip(z, -12, 12)
 
 
@@ -250,7 +251,7 @@ class _Shard:
 
     def __init__(self, code: Code):
         self.code, self.seen, size = code, 0, 1 << SLOT_BITS
-        self.n = np.zeros((CONTEXTS, 2, size), np.uint32)
+        self.n = np.zeros((CONTEXTS, size, 2), np.uint32)  # both outcomes of a slot lie side by side
         self.w = np.full((CONTEXTS + 1, GATES), 0.3, np.float32)
         self.w[CONTEXTS] = 0
         self.refine = np.zeros((2, code.n_symbols * STEPS), np.int64)
@@ -265,9 +266,9 @@ class _Shard:
         for a in range(0, len(bit), 1 << 18):
             part = slice(a, a + (1 << 18))
             y, s = bit[part], [x[part] for x in slots]
-            got = [(n[j, 0][s[j]], n[j, 1][s[j]]) for j in range(CONTEXTS)]
+            got = [n[j].view(np.uint64)[:, 0].take(s[j]).view(np.uint32).reshape(-1, 2).T for j in range(CONTEXTS)]
             st = [_stretch(c0, c1) for c0, c1 in got]
-            gate = _level(got[1][0] + got[1][1]) * 4 + _level(got[2][0] + got[2][1])
+            gate = (_level(got[1][0] + got[1][1]) * 4 + _level(got[2][0] + got[2][1])).astype(np.intp)
             z = _mixed(st, gate, w)
             p = 1 / (1 + np.exp(-z))
             err, v = y - p, p * (1 - p)
@@ -280,14 +281,12 @@ class _Shard:
             self.refine[0] += np.bincount(cell, minlength=self.refine.shape[1])
             self.refine[1] += np.bincount(cell[y], minlength=self.refine.shape[1])
             for j in range(CONTEXTS):
-                here = code.n_symbols if j == 0 else n.shape[2]
-                n[j, 0, :here] += np.bincount(s[j][~y], minlength=here).astype(np.uint32)[:here]
-                n[j, 1, :here] += np.bincount(s[j][y], minlength=here).astype(np.uint32)[:here]
+                np.add.at(n[j].reshape(-1), s[j] * np.uint32(2) + y, np.uint32(1))
             self.seen += len(y)
 
     def state(self, shard: int) -> Iterator[pa.RecordBatch]:
         if self.seen:
-            flat = self.n.reshape(CONTEXTS * 2, PARTS, -1)
+            flat = self.n.transpose(0, 2, 1).reshape(CONTEXTS * 2, PARTS, -1)
             for k in range(PARTS):
                 yield _state_row(k, shard, counts=flat[:, k].tobytes())
             yield _state_row(PARTS, shard, weights=self.w.astype(np.float64).tobytes(), refine=self.refine.tobytes(), spelling=self.spelling.tobytes(), seen=self.seen)
@@ -372,18 +371,45 @@ class Model:
         for a in range(0, len(bit), 1 << 18):
             part = slice(a, a + (1 << 18))
             s = [x[part] for x in slots]
-            gate = self.level[0][s[1]] * 4 + self.level[1][s[2]]
-            z = _mixed([self.st[j][s[j]] for j in range(CONTEXTS)], gate, self.w)
+            gate = (self.level[0].take(s[1]) * 4 + self.level[1].take(s[2])).astype(np.intp)
+            z = _mixed([self.st[j].take(s[j]) for j in range(CONTEXTS)], gate, self.w)
             p = 1 / (1 + np.exp(-z))
             p = (p + self.refine[node[part].astype(np.int64) * STEPS + _step(z)]) / 2
             out += np.bincount(tok[part], weights=np.log(np.where(bit[part], p, 1 - p)), minlength=len(sym))
         return out / np.log(10)
 
 
-_KEPT = "doc_id long, n_tokens long, n_known long, counted double, coded double, n_bytes long, gain double, bucket int, docs binary, keys binary, spelt binary"
-_SCORED = f"{_KEPT}, ask int, asking binary, sizes binary, learnt binary, contexts binary, words binary, shares binary"
+#: What is added up for a document: tokens, known ones, log10 counts, log10 probability, bytes.
+NOTES = 5
+_KEPT = "dest int, docs binary, notes binary, gains binary"
+_SCORED = "ask int, docs binary, notes binary, asking binary, sizes binary, learnt binary, contexts binary, words binary, shares binary"
+_BEYOND = "bucket int, docs binary, keys binary, spelt binary, contexts binary, masses binary, learnt binary"
+_TOTAL = "doc_id long, n_tokens long, n_known long, counted double, score double, n_bytes long"
 _TYPES = {"long": pa.int64(), "double": pa.float64(), "int": pa.int32(), "binary": pa.binary()}
-_KEPT_ARROW, _SCORED_ARROW = (pa.schema([(f.split()[0], _TYPES[f.split()[1]]) for f in x.split(", ")]) for x in (_KEPT, _SCORED))
+_KEPT_ARROW, _SCORED_ARROW, _BEYOND_ARROW, _TOTAL_ARROW = (pa.schema([(f.split()[0], _TYPES[f.split()[1]]) for f in x.split(", ")]) for x in (_KEPT, _SCORED, _BEYOND, _TOTAL))
+
+
+def _among(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key's place in sorted ``known``, and whether it is there."""
+    at = np.searchsorted(known, keys)
+    at[at == len(known)] = 0
+    return at, known[at] == keys if len(known) else np.zeros(len(keys), bool)
+
+
+def _cut(values: np.ndarray, bound: np.ndarray) -> list[bytes]:
+    return [values[x:y].tobytes() for x, y in zip(bound[:-1], bound[1:], strict=True)]
+
+
+def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, kind) for x in column.to_pylist()])
+
+
+def _dealt(ids: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order that sorts documents by bucket, with the bucket numbers present and their bounds."""
+    bucket = (ids % n_buckets).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    there, begin = np.unique(bucket[order], return_index=True)
+    return order, there, np.append(begin, len(order))
 
 
 def _rows(schema: pa.Schema, **cells) -> pa.RecordBatch:
@@ -392,27 +418,34 @@ def _rows(schema: pa.Schema, **cells) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cells[f.name], f.type) if f.name in cells else pa.nulls(m, f.type) for f in schema], schema=schema)
 
 
-def _asked(ids: np.ndarray, keys: np.ndarray, kind: np.ndarray, first: np.ndarray, in_class: np.ndarray, share: np.ndarray, learnt: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """The words and contexts of a chunk by bucket, with runs of them by document.
+def _noted(ids: np.ndarray, notes: np.ndarray, n_buckets: int) -> pa.RecordBatch:
+    """Notes (NOTES, documents) by the documents' bucket."""
+    order, there, bound = _dealt(ids, n_buckets)
+    return _rows(_SCORED_ARROW, ask=there, docs=_cut(ids[order].astype(np.int64), bound), notes=_cut(np.ascontiguousarray(notes.T[order]), bound))
 
-    ``share`` is the log10 share of a word in its class, NaN beyond the shared vocabulary; contexts are told apart by
-    32 bits within a bucket, and words by 32 bits within a context.
-    """
-    at = np.flatnonzero(in_class)
-    if not len(at):
-        return
+
+def _contexts(keys: np.ndarray, kind: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The context of the tokens ``at``: the token before, in its document, and the own class."""
     before = np.concatenate((np.zeros(1, np.uint64), keys[:-1]))
     before[first[:-1]] = 0
-    context = mix(before[at] + (kind[at].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    return mix(before[at] + (kind[at].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _asked(docs: np.ndarray, learnt: np.ndarray, context: np.ndarray, keys: np.ndarray, share: np.ndarray, n_buckets: int) -> pa.RecordBatch:
+    """Words and contexts, ordered by document, by the contexts' bucket, with runs of them by document.
+
+    ``share`` is the log10 share of a word in its class, NaN for words not in the training text; contexts are told apart
+    by 32 bits within a bucket, and words by 32 bits within a context.
+    """
     order, there, bound = split_by_bucket(context, n_buckets)
-    owner = np.repeat(np.arange(len(ids)), np.diff(np.searchsorted(at, first)))[order]
-    starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])) | np.isin(np.arange(len(order)), bound[:-1]))
-    runs, sizes = owner[starts], np.diff(np.append(starts, len(order))).astype(np.uint32)
+    owner = docs[order]
+    fresh = np.concatenate(([True], owner[1:] != owner[:-1]))
+    fresh[bound[:-1]] = True
+    starts = np.flatnonzero(fresh)
     edge = np.searchsorted(starts, bound)
-    cut = lambda v, at: [v[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
-    of_run = {"asking": ids[runs].astype(np.int64), "sizes": sizes, "learnt": learnt[runs].astype(np.uint8)}
-    of_token = {"contexts": context[order].astype(np.uint32), "words": (keys[at][order] >> np.uint64(32)).astype(np.uint32), "shares": share[at][order].astype(np.float32)}
-    yield _rows(_SCORED_ARROW, ask=there, **{k: cut(v, edge) for k, v in of_run.items()}, **{k: cut(v, bound) for k, v in of_token.items()})
+    of_run = {"asking": owner[starts].astype(np.int64), "sizes": np.diff(np.append(starts, len(order))).astype(np.uint32), "learnt": learnt[order][starts].astype(np.uint8)}
+    of_token = {"contexts": context[order].astype(np.uint32), "words": (keys[order] >> np.uint64(32)).astype(np.uint32), "shares": share[order].astype(np.float32)}
+    return _rows(_SCORED_ARROW, ask=there, **{k: _cut(v, edge) for k, v in of_run.items()}, **{k: _cut(v, bound) for k, v in of_token.items()})
 
 
 def told(context: np.ndarray, word: np.ndarray, share: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -433,18 +466,39 @@ def told(context: np.ndarray, word: np.ndarray, share: np.ndarray, times: np.nda
     return gain
 
 
-def _told(table: pa.Table) -> pa.Table:
-    """What the contexts of one bucket add to the score of each document; other rows pass."""
-    asks = table.filter(table.column("asking").is_valid())
-    rest = table.filter(table.column("asking").is_null()).select(_KEPT_ARROW.names).cast(_KEPT_ARROW)
-    if not asks.num_rows:
-        return rest
-    join = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in asks.column(name).to_pylist()])
-    ids, sizes, share = join("asking", np.int64), join("sizes", np.uint32), join("shares", np.float32)
-    times = np.repeat(join("learnt", np.uint8), sizes) * ~np.isnan(share)
-    gain = told(join("contexts", np.uint32), join("words", np.uint32), share, times)
-    docs, place = np.unique(ids, return_inverse=True)
-    return pa.concat_tables([rest, pa.Table.from_batches([_rows(_KEPT_ARROW, doc_id=docs, gain=np.bincount(np.repeat(place, sizes), weights=gain, minlength=len(docs)))])])
+def _told(n_buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        """What the contexts of one bucket add to the score of each document, by the documents' bucket; notes pass."""
+        asks = table.filter(table.column("asking").is_valid())
+        rest = table.filter(table.column("asking").is_null())
+        out = pa.table([rest.column("ask"), rest.column("docs"), rest.column("notes"), pa.nulls(rest.num_rows, pa.binary())], schema=_KEPT_ARROW)
+        if not asks.num_rows:
+            return out
+        ids, sizes, share = (_joined(asks.column(c), kind) for c, kind in (("asking", np.int64), ("sizes", np.uint32), ("shares", np.float32)))
+        times = np.repeat(_joined(asks.column("learnt"), np.uint8), sizes) * ~np.isnan(share)
+        gain = told(_joined(asks.column("contexts"), np.uint32), _joined(asks.column("words"), np.uint32), share, times)
+        docs, place = np.unique(ids, return_inverse=True)
+        gain = np.bincount(np.repeat(place, sizes), weights=gain, minlength=len(docs))
+        order, there, bound = _dealt(docs, n_buckets)
+        return pa.concat_tables([out, pa.Table.from_batches([_rows(_KEPT_ARROW, dest=there, docs=_cut(docs[order], bound), gains=_cut(gain[order], bound))])])
+
+    return run
+
+
+def _total(table: pa.Table) -> pa.Table:
+    """One row a document of a bucket: the sums of its notes and gains."""
+    docs = [np.frombuffer(x, np.int64) for x in table.column("docs").to_pylist()]
+    ids, place = np.unique(np.concatenate(docs), return_inverse=True)
+    total = np.zeros((NOTES, len(ids)))
+    upto = 0
+    for d, notes, gains in zip(docs, table.column("notes").to_pylist(), table.column("gains").to_pylist(), strict=True):
+        at, upto = place[upto : upto + len(d)], upto + len(d)
+        if notes is None:
+            np.add.at(total[3], at, np.frombuffer(gains))
+        else:
+            for k, x in enumerate(np.frombuffer(notes).reshape(-1, NOTES).T):
+                np.add.at(total[k], at, x)
+    return pa.table([pa.array(ids), *(pa.array(x.astype(np.int64) if k in (0, 1, 4) else x) for k, x in enumerate(total))], schema=_TOTAL_ARROW)
 
 
 def _score(shared, n_buckets: int):
@@ -460,9 +514,7 @@ def _score(shared, n_buckets: int):
                 keys, kind, first = tokens(buf, off)
                 owner = np.repeat(np.arange(b - a), np.diff(first))
                 uniq, inverse = np.unique(keys, return_inverse=True)
-                at = np.searchsorted(keys_known, uniq)
-                at[at == len(keys_known)] = 0
-                known = keys_known[at] == uniq if len(keys_known) else np.zeros(len(uniq), bool)
+                at, known = _among(keys_known, uniq)
                 worth = np.where(known, logs[at] if len(keys_known) else 0.0, 0.0)[inverse]
                 known = known[inverse]
                 sym = code.symbols(keys, kind)
@@ -471,31 +523,60 @@ def _score(shared, n_buckets: int):
                 of_class = mass[np.maximum(sym - code.end - 1, 0)]
                 coded = model.log10(sym, first) + np.where(in_class, worth + letters - of_class, 0.0)
                 per = lambda x: np.bincount(owner, weights=x, minlength=b - a)
-                yield _rows(_SCORED_ARROW, ask=ids[a:b] % n_buckets, doc_id=ids[a:b], n_tokens=np.diff(first), n_known=per(known).astype(np.int64), counted=per(worth), coded=per(coded), n_bytes=np.diff(off))
-                yield from _asked(ids[a:b], keys, kind, first, in_class, np.where(known, worth - of_class, np.nan), train[a:b], n_buckets)
-                if not complete and not known.all():
-                    k, d, c = keys[~known], ids[a:b][owner[~known]].astype(np.int64), letters[~known]
-                    order, there, bound = split_by_bucket(k, n_buckets)
-                    k, d, c = k[order], d[order], c[order]
-                    cut = list(zip(bound[:-1], bound[1:], strict=True))
-                    yield _rows(_SCORED_ARROW, ask=there, bucket=there, docs=[d[x:y].tobytes() for x, y in cut], keys=[k[x:y].tobytes() for x, y in cut], spelt=[c[x:y].tobytes() for x, y in cut])
+                yield _noted(ids[a:b], np.stack((np.diff(first), per(known), per(worth), per(coded), np.diff(off))).astype(float), n_buckets)
+                at = np.flatnonzero(in_class if complete else in_class & known)
+                if len(at):
+                    share = np.where(known[at], worth[at] - of_class[at], np.nan)
+                    yield _asked(ids[a:b][owner[at]], train[a:b][owner[at]], _contexts(keys, kind, first, at), keys[at], share, n_buckets)
+
+    return run
+
+
+def _beyond(shared, n_buckets: int):
+    """Tokens that the shared vocabulary lacks, by the bucket of their word, with their contexts and what spelling them costs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, keys_known, _, _ = shared.value
+        mass = np.log10(model.code.mass)
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            train = batch.column("train").to_numpy(zero_copy_only=False)
+            for a, b, buf, off in chunks(batch.column("text"), SCORE_BYTES):
+                keys, kind, first = tokens(buf, off)
+                at = np.flatnonzero(~_among(keys_known, keys)[1])
+                if not len(at):
+                    continue
+                owner = np.repeat(np.arange(b - a), np.diff(first))[at]
+                cells = {"docs": ids[a:b][owner].astype(np.int64), "keys": keys[at], "spelt": spelt(buf, off, model.spelling)[at], "contexts": _contexts(keys, kind, first, at), "masses": mass[kind[at]], "learnt": train[a:b][owner].astype(np.uint8)}
+                order, there, bound = split_by_bucket(keys[at], n_buckets)
+                yield _rows(_BEYOND_ARROW, bucket=there, **{k: _cut(v[order], bound) for k, v in cells.items()})
 
     return run
 
 
-def _rare(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Known tokens by document, their log10 counts and what spelling them had cost, for tokens beyond the shared vocabulary, in one bucket."""
-    doc, total, known, letters = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0)
-    if left.num_rows and right.num_rows:
-        join = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in left.column(name).to_pylist()])
-        docs, keys, cost = join("docs", np.int64), join("keys", np.uint64), join("spelt", np.float64)
-        vocab, n = np.frombuffer(right.column("vocab")[0].as_py(), np.uint64), np.frombuffer(right.column("counts")[0].as_py(), np.int64)
-        at = np.searchsorted(vocab, keys)
-        at[at == len(vocab)] = 0
-        hit = vocab[at] == keys
-        doc, inverse = np.unique(docs[hit], return_inverse=True)
-        total, known, letters = np.bincount(inverse, weights=np.log10(n[at[hit]] + 1.0)), np.bincount(inverse), np.bincount(inverse, weights=cost[hit])
-    return pa.table([pa.array(doc), pa.array(total, pa.float64()), pa.array(known, pa.int64()), pa.array(letters, pa.float64())], names=["doc_id", "total", "known", "letters"])
+def _found(n_buckets: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Notes and asked contexts of the tokens beyond the shared vocabulary whose words lie in one bucket."""
+        if not left.num_rows:
+            return _SCORED_ARROW.empty_table()
+        docs, learnt = _joined(left.column("docs"), np.int64), _joined(left.column("learnt"), np.uint8)
+        order = np.argsort(docs, kind="stable")
+        docs, learnt = docs[order], learnt[order]
+        keys, context = (_joined(left.column(c), np.uint64)[order] for c in ("keys", "contexts"))
+        letters, of_class = (_joined(left.column(c), np.float64)[order] for c in ("spelt", "masses"))
+        vocab, counts = (_joined(right.column(c), kind) if right.num_rows else np.zeros(0, kind) for c, kind in (("vocab", np.uint64), ("counts", np.int64)))
+        at, known = _among(vocab, keys)
+        worth = np.where(known, np.log10(counts[at] + 1.0) if len(vocab) else 0.0, 0.0)
+        word = keys != np.uint64(END_KEY)
+        ids, place = np.unique(docs, return_inverse=True)
+        per = lambda x: np.bincount(place, weights=x, minlength=len(ids))
+        none = np.zeros(len(ids))
+        out = [_noted(ids, np.stack((none, per(known), per(worth), per(np.where(known & word, worth - letters, 0.0)), none)), n_buckets)]
+        if word.any():
+            out.append(_asked(docs[word], learnt[word], context[word], keys[word], np.where(known, worth - of_class, np.nan)[word], n_buckets))
+        return pa.Table.from_batches(out)
+
+    return run
 
 
 def lm_score(docs: DataFrame, train: Column, top: int = TOP) -> DataFrame:
@@ -531,14 +612,13 @@ def lm_score(docs: DataFrame, train: Column, top: int = TOP) -> DataFrame:
     model = Model(code, state.collect())  # a fixed number of slots
     work.drop("state")
     known = spark.sparkContext.broadcast((model, keys, counts, len(keys) == distinct))
-    scored = rows.select("doc_id", "text", "train").mapInArrow(_score(known, n), _SCORED)
-    scored = work.write(scored.groupBy("ask").applyInArrow(_told, _KEPT), "scored")
-    left = scored.where("bucket is not null").select("bucket", "docs", "keys", "spelt")
-    rare = left.groupBy("bucket").cogroup(vocab.select("bucket", F.col("keys").alias("vocab"), "counts").groupBy("bucket")).applyInArrow(_rare, "doc_id long, total double, known long, letters double")
-    rare = rare.groupBy("doc_id").agg(F.sum("total").alias("total"), F.sum("known").alias("known"), F.sum("letters").alias("letters"))
-    gains = scored.where("gain is not null").groupBy("doc_id").agg(F.sum("gain").alias("gain"))
-    one = scored.where("n_tokens is not null").select("doc_id", "n_tokens", "n_known", "counted", "coded", "n_bytes")
-    out = one.join(rare, "doc_id", "left").join(gains, "doc_id", "left").select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), (F.col("counted") + F.coalesce("total", F.lit(0.0))).alias("counted"), (F.col("coded") + F.coalesce(F.col("total") - F.col("letters"), F.lit(0.0)) + F.coalesce("gain", F.lit(0.0))).alias("score"), "n_bytes")
+    texts = rows.select("doc_id", "text", "train")
+    scored = texts.mapInArrow(_score(known, n), _SCORED)
+    if len(keys) < distinct:
+        beyond = texts.mapInArrow(_beyond(known, n), _BEYOND).groupBy("bucket")
+        scored = scored.unionByName(beyond.cogroup(vocab.select("bucket", F.col("keys").alias("vocab"), "counts").groupBy("bucket")).applyInArrow(_found(n), _SCORED))
+    told_of = scored.groupBy("ask").applyInArrow(_told(n), _KEPT)
+    out = work.write(told_of.groupBy("dest").applyInArrow(_total, _TOTAL), "scored")
     base = F.col("counted") - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1)))
     bits = -F.col("score") * F.lit(float(np.log2(10))) / F.greatest("n_bytes", F.lit(1))
     return out.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score", bits.alias("bits_per_byte"))

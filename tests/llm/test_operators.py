@@ -495,6 +495,36 @@ def test_what_followed_a_rare_word_is_learnt(spark, top):
         assert {r.doc_id: r.score for r in twice.collect()}[100] > got[100]
 
 
+def test_scores_do_not_depend_on_the_shared_vocabulary(spark, corpus, monkeypatch):
+    """Words beyond the shared ones have their counts, and what followed their contexts, as all others."""
+    monkeypatch.setattr(lm_score, "WORDS", 4)
+    rows = [*corpus, *((300 + i, "often often often then also " * 9) for i in range(9))]
+    every, few = ({r.doc_id: tuple(r) for r in lm_score.lm_score(docs_of(spark, rows), F.col("doc_id") % 3 != 0, top=top).collect()} for top in (lm_score.TOP, 48))
+    assert every.keys() == few.keys()
+    for i, r in every.items():
+        assert few[i] == pytest.approx(r, rel=1e-6), i
+
+
+def test_gains_go_back_in_one_row_a_bucket():
+    """What a bucket of contexts tells is dealt to the documents' buckets, not one row a document."""
+    import pyarrow as pa
+
+    n, m = 4, 1000
+    ids, same = np.arange(m, dtype=np.int64), np.zeros(m, np.uint64)
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 50, m).astype(np.uint64) << np.uint64(32)
+    asks = lm_score._asked(ids, np.ones(m, bool), same, words, np.full(m, -2.0), n)
+    noted = lm_score._noted(ids, np.stack([np.full(m, k + 1.0) for k in range(lm_score.NOTES)]), n)
+    told = lm_score._told(n)(pa.Table.from_batches([asks, noted]))
+    assert told.num_rows == 2 * n
+    gain = lm_score.told(same, (words >> np.uint64(32)).astype(np.uint32), np.full(m, -2.0, np.float32), np.ones(m, np.int64))
+    for k in range(n):
+        total = lm_score._total(told.filter(pa.compute.equal(told.column("dest"), k)))
+        assert total.column("doc_id").to_pylist() == list(range(k, m, n))
+        assert total.column("score").to_pylist() == pytest.approx((4 + gain[k::n]).tolist())
+        assert set(total.column("n_tokens").to_pylist()) == {1} and set(total.column("n_bytes").to_pylist()) == {5}
+
+
 def test_spelling_is_a_distribution():
     total = np.zeros(257 * 257, np.int64)
     buf = np.frombuffer(b"ab abc  b", np.uint8)
