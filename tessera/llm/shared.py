@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import os
 import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,15 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def trim() -> None:
+    """Give back what a worker's earlier tasks, of other stages too, have freed but the allocators still hold."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where none is configured and Spark is local (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -19,6 +19,8 @@ from tessera.llm.textops import SPACE, span_hashes
 
 #: Pieces a worker keeps; beyond them it forgets all and starts again.
 CACHE_PIECES = 1_500_000
+#: Pieces whose bytes are compared at once.
+SAME_PIECES = 20_000
 
 _ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 _workers: dict[str, "Encoder"] = {}
@@ -107,19 +109,22 @@ class Encoder:
         self.size = np.append(self.size, size)
         self.text = np.append(self.text, np.frombuffer(b"".join(pieces), np.uint8))
         n = np.array([len(i) for i in got], np.int64)
-        self.slot = np.append(self.slot, np.arange(len(keys)) + len(self.first) - 1)
+        slot = np.arange(len(keys)) + len(self.first) - 1
         self.first = np.append(self.first, self.first[-1] + np.cumsum(n))
         self.ids = np.append(self.ids, np.array([x for i in got for x in i], np.uint32))
-        self.keys = np.append(self.keys, keys)
-        order = np.argsort(self.keys, kind="stable")
-        self.keys, self.slot = self.keys[order], self.slot[order]
+        here = np.searchsorted(self.keys, keys)  # new keys come sorted
+        self.keys, self.slot = np.insert(self.keys, here, keys), np.insert(self.slot, here, slot)
 
     def _same(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, slot: np.ndarray) -> bool:
         size = ends - starts
         if (self.size[slot] != size).any():
             return False
-        shift = np.repeat(self.at[slot] - starts, size)
-        return bool((self.text[np.arange(len(buf)) + shift] == buf).all())
+        for a in range(0, len(slot), SAME_PIECES):
+            b = min(a + SAME_PIECES, len(slot))
+            shift = np.repeat(self.at[slot[a:b]] - starts[a:b], size[a:b])
+            if (self.text[np.arange(starts[a], ends[b - 1]) + shift] != buf[starts[a] : ends[b - 1]]).any():
+                return False
+        return True
 
     def _slots(self, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(self.keys, want)

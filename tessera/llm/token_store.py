@@ -22,17 +22,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import dac
-from tessera.llm.shared import Workspace, partitions, prepare
+from tessera.llm.shared import Workspace, partitions, prepare, trim
 from tessera.llm.textops import chunks
 from tessera.llm.token_encode import default_tokenizer, encoder
 
 END_ID = 0
 SEGMENT_IDS = 2_000_000
+#: Bytes of text encoded at once, to keep the workers small.
+ENCODE_BYTES = 1 << 19
 STORE = "part int, segment int, before long, n_ids long, doc_ids binary, bounds binary, data binary"
 
 
 def _write(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         enc, part, segment, before, held, docs, ids = encoder(path), None, 0, 0, 0, [], []
 
         def flush() -> pa.RecordBatch:
@@ -46,7 +49,7 @@ def _write(path: str):
             doc = batch.column("doc_id").to_pylist()
             if len(doc):
                 part = batch.column("part")[0].as_py()
-            for a, b, buf, off in chunks(batch.column("text")):
+            for a, b, buf, off in chunks(batch.column("text"), ENCODE_BYTES):
                 got, bounds = enc.encode(buf, off)
                 for d, x, y in zip(doc[a:b], bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     docs.append(d)

@@ -525,6 +525,28 @@ def test_gains_go_back_in_one_row_a_bucket():
         assert set(total.column("n_tokens").to_pylist()) == {1} and set(total.column("n_bytes").to_pylist()) == {5}
 
 
+def test_pieces_are_kept_sorted_and_compared_in_parts(monkeypatch):
+    """Ids learnt chunk by chunk are the library's, and a piece that differs in any part is told."""
+    from tessera.llm import token_encode
+
+    monkeypatch.setattr(token_encode, "SAME_PIECES", 3)
+    enc = token_encode.Encoder(token_encode.default_tokenizer())
+    rng = np.random.default_rng(2)
+    for _ in range(4):
+        texts = [prose(rng, int(n), 10**4) for n in rng.integers(0, 40, 6)]
+        raw = np.frombuffer("".join(texts).encode(), np.uint8)
+        off = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+        ids, bounds = enc.encode(raw, off)
+        assert [ids[x:y].tolist() for x, y in zip(bounds[:-1], bounds[1:], strict=True)] == enc._library(texts)
+        assert (np.diff(enc.keys.astype(object)) > 0).all()
+    buf = np.frombuffer(b"aa bb cc dd ee ff gg", np.uint8)
+    starts, ends = np.array([0, 2, 5, 8, 11, 14, 17]), np.array([2, 5, 8, 11, 14, 17, 20])
+    enc.at, enc.size, enc.text = starts, ends - starts, buf.copy()
+    assert enc._same(buf, starts, ends, np.arange(7))
+    enc.text[-1] += 1
+    assert not enc._same(buf, starts, ends, np.arange(7))
+
+
 def test_spelling_is_a_distribution():
     total = np.zeros(257 * 257, np.int64)
     buf = np.frombuffer(b"ab abc  b", np.uint8)
