@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import Workspace, partitions, prepare
+from tessera.llm.shared import Workspace, partitions, prepare, trim
 from tessera.llm.textops import LOWER, chunks, mix, span_hashes, split_by_bucket, word_spans
 
 WORDS = 1024
@@ -51,6 +51,8 @@ PARTS = 16
 SHARD_DOCS, MAX_SHARDS, FAN = 8192, 16_384, 32
 #: Bytes of text scored at once: a token has some ten decisions, each with several arrays.
 SCORE_BYTES = 1 << 19
+#: Decisions handled at once, so that their arrays stay in a core's cache.
+BLOCK = 1 << 15
 
 _END = np.array([0xE14D], dtype=np.uint64)
 END_KEY = int(mix(_END)[0])
@@ -263,32 +265,34 @@ class _Shard:
         sym = code.symbols(keys, kind)
         _spelling(buf, off, sym > code.end, self.spelling)
         _, node, bit, slots = code.events(sym, first)
-        for a in range(0, len(bit), 1 << 18):
-            part = slice(a, a + (1 << 18))
-            y, s = bit[part], [x[part] for x in slots]
-            got = [n[j].view(np.uint64)[:, 0].take(s[j]).view(np.uint32).reshape(-1, 2).T for j in range(CONTEXTS)]
-            st = [_stretch(c0, c1) for c0, c1 in got]
-            gate = (_level(got[1][0] + got[1][1]) * 4 + _level(got[2][0] + got[2][1])).astype(np.intp)
-            z = _mixed(st, gate, w)
-            p = 1 / (1 + np.exp(-z))
-            err, v = y - p, p * (1 - p)
-            for j in range(CONTEXTS + 1):
-                x = st[j] if j < CONTEXTS else np.float32(1)
-                up = np.bincount(gate, weights=err * x, minlength=GATES)
-                down = np.bincount(gate, weights=v * x * x, minlength=GATES)
-                w[j] += (0.1 * up / (down + 50)).astype(np.float32)
-            cell = node[part].astype(np.int64) * STEPS + _step(z)
-            self.refine[0] += np.bincount(cell, minlength=self.refine.shape[1])
-            self.refine[1] += np.bincount(cell[y], minlength=self.refine.shape[1])
+        for a in range(0, len(bit), 1 << 18):  # weights and counts stay as they are within one
+            end = min(a + (1 << 18), len(bit))
+            up, down = np.zeros((CONTEXTS + 1, GATES)), np.zeros((CONTEXTS + 1, GATES))
+            for part in (slice(x, min(x + BLOCK, end)) for x in range(a, end, BLOCK)):
+                y, s = bit[part], [x[part] for x in slots]
+                got = [n[j].view(np.uint64)[:, 0].take(s[j]).view(np.uint32).reshape(-1, 2).T for j in range(CONTEXTS)]
+                st = [_stretch(c0, c1) for c0, c1 in got]
+                gate = (_level(got[1][0] + got[1][1]) * 4 + _level(got[2][0] + got[2][1])).astype(np.intp)
+                z = _mixed(st, gate, w)
+                p = 1 / (1 + np.exp(-z))
+                err, v = y - p, p * (1 - p)
+                for j in range(CONTEXTS + 1):
+                    x = st[j] if j < CONTEXTS else np.float32(1)
+                    up[j] += np.bincount(gate, weights=err * x, minlength=GATES)
+                    down[j] += np.bincount(gate, weights=v * x * x, minlength=GATES)
+                cell = node[part].astype(np.int64) * STEPS + _step(z)
+                np.add.at(self.refine[0], cell, 1)
+                np.add.at(self.refine[1], cell[y], 1)
+            w += (0.1 * up / (down + 50)).astype(np.float32)
             for j in range(CONTEXTS):
-                np.add.at(n[j].reshape(-1), s[j] * np.uint32(2) + y, np.uint32(1))
-            self.seen += len(y)
+                np.add.at(n[j].reshape(-1), slots[j][a:end] * np.uint32(2) + bit[a:end], np.uint32(1))
+            self.seen += end - a
 
     def state(self, shard: int) -> Iterator[pa.RecordBatch]:
         if self.seen:
-            flat = self.n.transpose(0, 2, 1).reshape(CONTEXTS * 2, PARTS, -1)
+            parts = self.n.reshape(CONTEXTS, PARTS, -1, 2)
             for k in range(PARTS):
-                yield _state_row(k, shard, counts=flat[:, k].tobytes())
+                yield _state_row(k, shard, counts=parts[:, k].transpose(0, 2, 1).tobytes())
             yield _state_row(PARTS, shard, weights=self.w.astype(np.float64).tobytes(), refine=self.refine.tobytes(), spelling=self.spelling.tobytes(), seen=self.seen)
 
 
@@ -302,6 +306,7 @@ def _state_row(part: int, shard: int, counts: bytes | None = None, weights: byte
 
 def _train(code: Code):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         now, model = None, None
         for batch in batches:
             shards = batch.column("shard").to_numpy()
@@ -367,16 +372,16 @@ class Model:
     def log10(self, sym: np.ndarray, first: np.ndarray) -> np.ndarray:
         """log10 probability of each token's symbol."""
         tok, node, bit, slots = self.code.events(sym, first)
-        out = np.zeros(len(sym))
-        for a in range(0, len(bit), 1 << 18):
-            part = slice(a, a + (1 << 18))
+        out = np.empty(len(bit), np.float32)
+        for a in range(0, len(bit), BLOCK):
+            part = slice(a, a + BLOCK)
             s = [x[part] for x in slots]
             gate = (self.level[0].take(s[1]) * 4 + self.level[1].take(s[2])).astype(np.intp)
             z = _mixed([self.st[j].take(s[j]) for j in range(CONTEXTS)], gate, self.w)
             p = 1 / (1 + np.exp(-z))
             p = (p + self.refine[node[part].astype(np.int64) * STEPS + _step(z)]) / 2
-            out += np.bincount(tok[part], weights=np.log(np.where(bit[part], p, 1 - p)), minlength=len(sym))
-        return out / np.log(10)
+            out[part] = np.log(np.where(bit[part], p, 1 - p))
+        return np.bincount(tok, weights=out, minlength=len(sym)) / np.log(10)
 
 
 #: What is added up for a document: tokens, known ones, log10 counts, log10 probability, bytes.
@@ -503,6 +508,7 @@ def _total(table: pa.Table) -> pa.Table:
 
 def _score(shared, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         model, keys_known, counts, complete = shared.value
         code = model.code
         mass = np.log10(code.mass)
@@ -536,18 +542,19 @@ def _beyond(shared, n_buckets: int):
     """Tokens that the shared vocabulary lacks, by the bucket of their word, with their contexts and what spelling them costs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, keys_known, _, _ = shared.value
-        mass = np.log10(model.code.mass)
+        trim()
+        keys_known, spelling, mass = shared.value
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             train = batch.column("train").to_numpy(zero_copy_only=False)
             for a, b, buf, off in chunks(batch.column("text"), SCORE_BYTES):
                 keys, kind, first = tokens(buf, off)
-                at = np.flatnonzero(~_among(keys_known, keys)[1])
+                uniq, inverse = np.unique(keys, return_inverse=True)
+                at = np.flatnonzero(~_among(keys_known, uniq)[1][inverse])
                 if not len(at):
                     continue
                 owner = np.repeat(np.arange(b - a), np.diff(first))[at]
-                cells = {"docs": ids[a:b][owner].astype(np.int64), "keys": keys[at], "spelt": spelt(buf, off, model.spelling)[at], "contexts": _contexts(keys, kind, first, at), "masses": mass[kind[at]], "learnt": train[a:b][owner].astype(np.uint8)}
+                cells = {"docs": ids[a:b][owner].astype(np.int64), "keys": keys[at], "spelt": spelt(buf, off, spelling)[at], "contexts": _contexts(keys, kind, first, at), "masses": mass[kind[at]], "learnt": train[a:b][owner].astype(np.uint8)}
                 order, there, bound = split_by_bucket(keys[at], n_buckets)
                 yield _rows(_BEYOND_ARROW, bucket=there, **{k: _cut(v[order], bound) for k, v in cells.items()})
 
@@ -615,7 +622,8 @@ def lm_score(docs: DataFrame, train: Column, top: int = TOP) -> DataFrame:
     texts = rows.select("doc_id", "text", "train")
     scored = texts.mapInArrow(_score(known, n), _SCORED)
     if len(keys) < distinct:
-        beyond = texts.mapInArrow(_beyond(known, n), _BEYOND).groupBy("bucket")
+        spelling = spark.sparkContext.broadcast((keys, model.spelling, np.log10(code.mass)))
+        beyond = texts.mapInArrow(_beyond(spelling, n), _BEYOND).groupBy("bucket")
         scored = scored.unionByName(beyond.cogroup(vocab.select("bucket", F.col("keys").alias("vocab"), "counts").groupBy("bucket")).applyInArrow(_found(n), _SCORED))
     told_of = scored.groupBy("ask").applyInArrow(_told(n), _KEPT)
     out = work.write(told_of.groupBy("dest").applyInArrow(_total, _TOTAL), "scored")
