@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.codepoints import decode, folded
-from tessera.llm.shared import prepare
+from tessera.llm.shared import prepare, tidy
 from tessera.llm.textops import chunks, mix
 
 Q = 8
@@ -262,7 +262,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for block in range(n_blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block).orderBy("item_id", "text").collect()
         index = Index([(r.item_id, r.text) for r in mine])
-        found = docs.mapInArrow(_search(index), "doc_id long, item_id long, edits long, region_start long, region_end long")
+        found = docs.mapInArrow(tidy(_search(index)), "doc_id long, item_id long, edits long, region_start long, region_end long")
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -40,11 +40,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import Workspace, components, partitions, prepare
+from tessera.llm.shared import Workspace, components, partitions, prepare, tidy
 from tessera.llm.textops import chunks, mix, shingle_sets, split_by_bucket
 
 BAND_RATIO = 4 / 3
 FAMILIES = 8
+#: Bytes of text whose shingles are made at once.
+CHUNK = 1 << 19
 #: Members that are compared by their sketches in one task.
 TILE = 2048
 #: Members of one row of a group.
@@ -146,7 +148,7 @@ def differing(one: bytes, other: bytes) -> int:
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b, buf, off in chunks(batch.column("text")):
+        for a, b, buf, off in chunks(batch.column("text"), CHUNK):
             n, h1, h2, sk = [], [], [], []
             for s in shingle_sets(buf, off):
                 n.append(len(s))
@@ -176,7 +178,7 @@ def _emit(keys_of: Callable[[np.ndarray], np.ndarray], n_buckets: int):
 
         for batch in batches:
             doc = batch.column("doc_id").to_pylist()
-            for a, b, buf, off in chunks(batch.column("text")):
+            for a, b, buf, off in chunks(batch.column("text"), CHUNK):
                 for d, s in zip(doc[a:b], shingle_sets(buf, off), strict=True):
                     g = keys_of(s)
                     if len(g):
@@ -243,13 +245,13 @@ def _parts(gid: np.ndarray, leader: np.ndarray, size: np.ndarray, first: np.ndar
 
 def _groups(docs: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray], work: Workspace, name: str, stars: bool = False) -> DataFrame:
     n = partitions(docs.sparkSession)
-    met = docs.mapInArrow(_emit(keys_of, n), "bucket int, docs binary, owner binary, sig binary")
+    met = docs.mapInArrow(tidy(_emit(keys_of, n)), "bucket int, docs binary, owner binary, sig binary")
     return work.write(met.repartition(n, "bucket").groupBy("bucket").applyInArrow(_meet(stars), "gid long, leader long, n long, members array<long>"), name)
 
 
 def _emit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b, buf, off in chunks(batch.column("text")):
+        for a, b, buf, off in chunks(batch.column("text"), CHUNK):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([s.tobytes() for s in shingle_sets(buf, off)], pa.binary())], ["doc_id", "feats"])
 
 
@@ -289,7 +291,7 @@ def _links(pairs: DataFrame, reps: DataFrame, sizes: DataFrame, work: Workspace,
     side = lambda c: sizes.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
     pairs = work.write(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_possible, "a long, b long"), f"{name}-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = work.write(reps.join(_few(ids), "doc_id", "left_semi").mapInArrow(_emit_sets, "doc_id long, feats binary"), f"{name}-sets")
+    sets = work.write(reps.join(_few(ids), "doc_id", "left_semi").mapInArrow(tidy(_emit_sets), "doc_id long, feats binary"), f"{name}-sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("feats").alias("fa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("feats").alias("fb"))
     found = work.write(pairs.join(left, "a").join(right, "b").select("a", "b", "fa", "fb").mapInArrow(_verify, "a long, b long"), f"{name}-links")
@@ -442,7 +444,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
     def size_up(docs: DataFrame, name: str) -> DataFrame:
-        found = docs.mapInArrow(_sizes, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary")
+        found = docs.mapInArrow(tidy(_sizes), "doc_id long, n_shingles long, h1 long, h2 long, sketch binary")
         return work.write(found.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "h1", "h2", "sketch")).alias("s"), F.count("*").alias("n_rows")).select("doc_id", "s.*", "n_rows"), name)
 
     sized = size_up(docs, "sizes")
@@ -470,7 +472,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     hopeful = work.write(hopeful.distinct(), "hopeful")
     if not hopeful.isEmpty():
         cluster = work.write(components(hopeful, work, "clusters"), "clustered").select(F.col("node").alias("doc"), F.col("component").alias("gid"))
-        sets = reps.join(_few(cluster.select(F.col("doc").alias("doc_id"))), "doc_id", "left_semi").mapInArrow(_emit_sets, "doc_id long, feats binary")
+        sets = reps.join(_few(cluster.select(F.col("doc").alias("doc_id"))), "doc_id", "left_semi").mapInArrow(tidy(_emit_sets), "doc_id long, feats binary")
         placed = cluster.join(cluster.groupBy("gid").agg(F.count("*").alias("n")), "gid").join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         more = _tiled(placed).join(sets.withColumnRenamed("doc_id", "doc"), "doc").select(bucket, "gid", "doc", "component", "feats").groupBy("bucket").applyInArrow(_forest, "a long, b long")
         more = work.write(more.distinct(), "more")

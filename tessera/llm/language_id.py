@@ -9,7 +9,7 @@ greatest possible.
 Null, empty and letterless texts are ``und`` with score 0, and so is everything when nothing was learnt. Ties
 go to the smaller n-gram and the smaller language name. Rows with a null lang teach nothing. Every row is predicted for
 itself, repeated ids and rows without one too; other columns are ignored, and an empty table gives an empty result.
-Whole texts are read, some ``CHUNK_BYTES`` at a time, a longer one alone.
+Whole texts are read, some ``CHUNK`` bytes at a time, a longer one alone.
 """
 
 from __future__ import annotations
@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.codepoints import decode, folded
-from tessera.llm.shared import partitions, prepare
+from tessera.llm.shared import partitions, prepare, tidy
 from tessera.llm.textops import chunks
 
 PROFILE = 400
+#: Bytes of text whose n-grams are held at once, some 150 bytes of memory for each.
+CHUNK = 1 << 18
 UND = "und"
 
 
@@ -70,7 +72,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = np.array(batch.column("lang").to_pylist(), dtype=object)
         total: dict[str, dict[int, int]] = {}
-        for a, b, buf, off in chunks(batch.column("text")):
+        for a, b, buf, off in chunks(batch.column("text"), CHUNK):
             cps, off = decode(buf, off)
             stream, off, _ = folded(cps, off, "letter")
             places, codes, alphabet = gram_codes(stream)
@@ -97,7 +99,7 @@ def learn(docs: DataFrame, size: int = PROFILE) -> dict[str, list[int]]:
     """Profiles of every language in ``docs`` (text, lang). Only ``size`` n-grams a language reach the driver."""
     spark = prepare(docs.sparkSession)
     docs = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = docs.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = docs.mapInArrow(tidy(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # the largest of each salted part first, so that no task orders all n-grams of a language
     salt = F.pmod(F.xxhash64("gram"), F.lit(partitions(spark)))
     order = [F.desc("n"), "gram"]
@@ -117,7 +119,7 @@ def _predict(profiles: dict[str, list[int]], size: int, least: float | None = No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pred, score = [], []
-            for _, _, buf, off in chunks(batch.column("text")):
+            for _, _, buf, off in chunks(batch.column("text"), CHUNK):
                 cps, off = decode(buf, off)
                 stream, off, _ = folded(cps, off, "letter")
                 places, codes, alphabet = gram_codes(stream)
@@ -158,13 +160,13 @@ def _predict(profiles: dict[str, list[int]], size: int, least: float | None = No
 def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE) -> DataFrame:
     """(doc_id, lang_pred, score) of every row; texts are the only input."""
     prepare(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_predict(profiles, size), "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(_predict(profiles, size)), "doc_id long, lang_pred string, score double")
 
 
 def keep(docs: DataFrame, profiles: dict[str, list[int]], least: float, size: int = PROFILE) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text is of a learnt language with a score of ``least`` or more."""
     prepare(docs.sparkSession)
-    return docs.mapInArrow(_predict(profiles, size, least), docs.schema)
+    return docs.mapInArrow(tidy(_predict(profiles, size, least)), docs.schema)
 
 
 def fold(column: str = "doc_id", parts: int = 5):

@@ -7,6 +7,7 @@ import itertools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -25,8 +26,19 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def trim() -> None:
-    """Give back what a worker's earlier tasks, of other stages too, have freed but the allocators still hold."""
+_kept: dict[str, dict] = {}
+
+
+def kept(name: str) -> dict:
+    """What a worker keeps from task to task under this name, until a task begins that doesn't keep it."""
+    return _kept.setdefault(name, {})
+
+
+def trim(keeps: str = "") -> None:
+    """Give back what a worker's earlier tasks, of other stages too, kept under other names, or have freed but the allocators still hold."""
+    for name, held in _kept.items():
+        if name != keeps:
+            held.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -34,6 +46,17 @@ def trim() -> None:
         pass
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str = ""):
+    """``run`` for mapInArrow, with ``trim`` before and after: idle workers stay, and count beside those of later stages."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim(keeps)
+        yield from run(batches)
+        trim(keeps)
+
+    return tidied
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where none is configured and Spark is local (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

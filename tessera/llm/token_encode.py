@@ -15,15 +15,19 @@ import re
 
 import numpy as np
 
+from tessera.llm.shared import kept
 from tessera.llm.textops import SPACE, span_hashes
 
+#: The name under which workers keep their encoders.
+KEPT = "encoders"
+
 #: Pieces a worker keeps; beyond them it forgets all and starts again.
 CACHE_PIECES = 1_500_000
 #: Pieces whose bytes are compared at once.
 SAME_PIECES = 20_000
 
 _ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-_workers: dict[str, "Encoder"] = {}
+_workers: dict[str, "Encoder"] = kept(KEPT)
 
 
 def default_tokenizer() -> str:

@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import dac
-from tessera.llm.shared import Workspace, partitions, prepare, trim
+from tessera.llm.shared import Workspace, partitions, prepare, tidy
 from tessera.llm.textops import chunks
-from tessera.llm.token_encode import default_tokenizer, encoder
+from tessera.llm.token_encode import KEPT, default_tokenizer, encoder
 
 END_ID = 0
 SEGMENT_IDS = 2_000_000
@@ -35,7 +35,6 @@ STORE = "part int, segment int, before long, n_ids long, doc_ids binary, bounds
 
 def _write(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trim()
         enc, part, segment, before, held, docs, ids = encoder(path), None, 0, 0, 0, [], []
 
         def flush() -> pa.RecordBatch:
@@ -69,7 +68,7 @@ def write_store(docs: DataFrame, work: Workspace, tokenizer: str | None = None)
     spark = prepare(docs.sparkSession)
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     dealt = docs.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    return work.write(dealt.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(_write(tokenizer or default_tokenizer()), STORE), "tokens", compression="none")
+    return work.write(dealt.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(tidy(_write(tokenizer or default_tokenizer()), KEPT), STORE), "tokens", compression="none")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +89,7 @@ def _placed(store: DataFrame) -> DataFrame:
 
 def read_store(store: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
-    return _placed(store).select("doc_ids", "bounds", "data", "start").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _placed(store).select("doc_ids", "bounds", "data", "start").mapInArrow(tidy(_read, KEPT), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_at(store: DataFrame, places: DataFrame) -> DataFrame:

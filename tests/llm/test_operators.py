@@ -670,3 +670,48 @@ def test_language_distances(spark):
             best = min(sorted(away), key=away.get)
             good.append((best, pytest.approx(1 - away[best] / (50 * len(own)))))
         assert any((r.lang_pred, r.score) == g for g in good)
+
+
+def test_language_id_in_little_memory(monkeypatch):
+    """4 MB of text at once take a worker little more than the text; how it is cut changes nothing."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    texts = [prose(rng, 700, 10**6) for _ in range(800)] + [None, "", prose(rng, 20000, 10**6)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["aa", "bb", "cc"] * 267 + ["aa", "bb"], "text": texts})
+    taught = [{"aa": [1, 2], "bb": [3]}, 400, 0.0]
+
+    def counts():
+        total = collections.Counter()
+        for out in language_id._count(iter([batch])):
+            for row in out.to_pylist():
+                total[row["lang"], row["gram"]] += row["n"]
+        return total
+
+    def told():
+        return [out.to_pydict() for out in language_id._predict(*taught)(iter([batch]))]
+
+    counts()  # the letter tables stay
+    seen = []
+    for run in (counts, told):
+        tracemalloc.start()
+        seen.append(run())
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 90e6, most
+    monkeypatch.setattr(language_id, "CHUNK", 1 << 21)
+    assert seen == [counts(), told()]
+
+
+def test_what_a_stage_keeps_goes_when_another_begins():
+    from tessera.llm import token_encode
+    from tessera.llm.shared import tidy
+
+    path = token_encode.default_tokenizer()
+    mine = token_encode.encoder(path)
+    assert list(tidy(lambda batches: (token_encode.encoder(path) for _ in batches), token_encode.KEPT)(iter([1]))) == [mine]
+    assert list(tidy(language_id._count)(iter([]))) == []
+    assert not token_encode._workers
+    assert token_encode.encoder(path) is not mine
